@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, pii, poisson_mix, secret_scan, url_filter
+from tidemark.llm import decontaminate, language_id, pii, poisson_mix, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ownership": lambda spark, sf_dir: secret_scan.digest(table(spark, sf_dir, "documents")),
         "op6_url_trees": lambda spark, sf_dir: url_filter.digest(table(spark, sf_dir, "pages")),
+        "op7_benchmark_cgk": lambda spark, sf_dir: decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op8_poisson_mix": lambda spark, sf_dir: poisson_mix.digest(table(spark, sf_dir, "documents")),
         "op9_pii_anchors": lambda spark, sf_dir: pii.digest(table(spark, sf_dir, "documents")),
         "op10_language_pieces": lambda spark, sf_dir: language_id.digest(table(spark, sf_dir, "documents")),
