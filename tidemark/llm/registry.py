@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language_id, pii, poisson_mix, secret_scan, url_filter
+from tidemark.llm import decontaminate, language_id, pii, poisson_mix, prefix_forest, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ownership": lambda spark, sf_dir: secret_scan.digest(table(spark, sf_dir, "documents")),
+        "op3_prefix_forest": lambda spark, sf_dir: prefix_forest.digest(table(spark, sf_dir, "embeddings")),
         "op6_url_trees": lambda spark, sf_dir: url_filter.digest(table(spark, sf_dir, "pages")),
         "op7_benchmark_cgk": lambda spark, sf_dir: decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op8_poisson_mix": lambda spark, sf_dir: poisson_mix.digest(table(spark, sf_dir, "documents")),
@@ -27,5 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_ownership": secret_scan.ORACLE_SQL,
+        "op3_prefix_forest": prefix_forest.ORACLE_SQL,
         "op8_poisson_mix": poisson_mix.ORACLE_SQL,
     }
