@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language_id, partenum, pii, poisson_mix, prefix_forest, secret_scan, url_filter
+from tidemark.llm import decontaminate, language_id, partenum, phrase_automata, pii, poisson_mix, prefix_forest, secret_scan, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ownership": lambda spark, sf_dir: secret_scan.digest(table(spark, sf_dir, "documents")),
+        "op2_phrase_automata": lambda spark, sf_dir: phrase_automata.digest(table(spark, sf_dir, "documents")),
         "op3_prefix_forest": lambda spark, sf_dir: prefix_forest.digest(table(spark, sf_dir, "embeddings")),
+        "op4_suffix_induction": lambda spark, sf_dir: suffix_dedup.digest(table(spark, sf_dir, "documents")),
         "op5_partenum_join": lambda spark, sf_dir: partenum.digest(table(spark, sf_dir, "documents")),
         "op6_url_trees": lambda spark, sf_dir: url_filter.digest(table(spark, sf_dir, "pages")),
         "op7_benchmark_cgk": lambda spark, sf_dir: decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
