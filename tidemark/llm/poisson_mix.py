@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import stage
+
 SEED = 17
 #: Sources get shares in proportion to their size to this power, unless weights are given: under 1, small ones gain.
 SMOOTHING = 0.5
@@ -52,25 +54,32 @@ def thresholds(rate: Column) -> Column:
 
 #: Rates above this are drawn as a sum of parts: exp(-rate) would vanish, and the sum of Poisson numbers is one.
 PART = 500.0
+#: Up to so many sources (some 300 bytes each) are sent to every task.
+FEW_SOURCES = 20_000
 
 
 def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float] | None = None, smoothing: float = SMOOTHING, seed: int = SEED) -> DataFrame:
     """docs' columns, copies long, replica long (from 0) and shuffle_key string, each row as often as drawn, in the order of shuffle_key.
 
     The draw depends on seed and id alone: repeated rows get equal counts, and a null id counts as ''. Rows whose
-    source has no weight go. Empty docs give no rows.
+    source has no weight go. Empty docs give no rows. Columns of docs with the names of the new ones are replaced.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    by_source = (
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    by_source = stage(
         rates(docs, source_col, weights, smoothing)
-        .withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
-        .select(F.col("source").alias("_source"), "_parts", thresholds(F.col("rate") / F.col("_parts")).alias("_cdf"))
+        .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+        .select("source", "parts", thresholds(F.col("rate") / F.col("parts")).alias("cdf")),
+        "mix-rates",
     )
-    draw = lambda i: F.size(F.filter("_cdf", lambda c: c <= uniform(F.concat_ws("#", key, i), seed))).cast("long")
-    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_parts")), draw), F.lit(0).cast("long"), lambda a, x: a + x)
-    drawn = docs.join(by_source, F.coalesce(F.col(source_col), F.lit("")) == F.col("_source")).withColumn("copies", copies)
-    out = drawn.where(F.col("copies") > 0).withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, F.col("replica")))).drop("_source", "_parts", "_cdf").orderBy("shuffle_key", id_col)
+    # A hot source doesn't meet in one task: the few sources go to the documents, or skewed partitions are split.
+    few = F.broadcast(by_source) if by_source.count() <= FEW_SOURCES else by_source
+    draw = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.concat_ws("#", "key", i), seed))).cast("long")
+    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), draw), F.lit(0).cast("long"), lambda a, x: a + x)
+    drawn = own.join(few, "source").select("row", "key", copies.alias("copies")).where(F.col("copies") > 0)
+    out = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    made = {"copies": F.col("copies"), "replica": F.col("replica"), "shuffle_key": F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "key", F.col("replica").cast("string")))}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made]
+    return out.select(*kept, *(c.alias(n) for n, c in made.items())).orderBy("shuffle_key", id_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:
