@@ -17,7 +17,7 @@ ENTRIES = relational.ENTRIES | series.ENTRIES | splits.ENTRIES | learning.ENTRIE
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ENTRIES["a4_w2_pivot_numeric"][0](spark, sf_dir)
+    return ENTRIES["w5_daily_grid_previous"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

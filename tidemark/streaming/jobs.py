@@ -70,7 +70,7 @@ def windowed_errors(rows: DataFrame, time: str, length: str, y: str = "y", p: st
     return timed.groupBy(F.window(time, length).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae")).select(F.col("w.start").alias("start"), "n", "mae")
 
 
-def _filler(last: int) -> Callable:
+def _filler(last: int | None) -> Callable:
     def fill(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -82,14 +82,18 @@ def _filler(last: int) -> Callable:
             known = v if pd.notna(v) else known
             out.append(known)
         state.update((known,))
-        state.setTimeoutDuration(last)
+        if last is not None:
+            state.setTimeoutDuration(last)
         yield pd.DataFrame({"ICUSTAY_ID": key[0], "hours": rows["hours"].to_numpy(), "v": pd.array(out, dtype="Float64")})
 
     return fill
 
 
-def forward_filled(rows: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
-    """(ICUSTAY_ID, hours, v) with v filled from the stay's rows before, over batches; the state goes after keep_ms without rows."""
-    return rows.select("ICUSTAY_ID", "hours", "v").groupBy("ICUSTAY_ID").applyInPandasWithState(
-        _filler(keep_ms), "ICUSTAY_ID long, hours double, v double", "v double", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def forward_filled(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """(ICUSTAY_ID, hours, v) with v filled from the stay's rows before, over batches.
+
+    With keep_ms the state goes after so long without rows (for queries that go on; one that ends with the rows that are
+    there would wait for the time to pass).
+    """
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.select("ICUSTAY_ID", "hours", "v").groupBy("ICUSTAY_ID").applyInPandasWithState(_filler(keep_ms), "ICUSTAY_ID long, hours double, v double", "v double", "append", timeout)
