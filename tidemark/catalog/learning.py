@@ -203,7 +203,10 @@ def _source(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream over copies of the table in several files, in the order of time."""
     folder = _folder(spark)
     e = P.events(spark, d).select("SUBJECT_ID", "ICUSTAY_ID", "EVENT_ID", "CHARTTIME", "INTIME", "hours", "VARIABLE", "VALUE")
-    e.repartitionByRange(4, "CHARTTIME").sortWithinPartitions("CHARTTIME").write.parquet(f"{folder}/in")
+    day = codes.hours_between(P.start(), F.col("CHARTTIME")) / 24
+    for first in range(0, 32, 8):  # a stay's rows of a span are in one file, and later spans in later files
+        span = e.where((day >= first) & ((day < first + 8) if first < 24 else F.lit(True)))
+        span.repartition("ICUSTAY_ID").write.mode("append").parquet(f"{folder}/in")
     return jobs.event_stream(spark, f"{folder}/in", e.schema, files=2)
 
 
