@@ -24,8 +24,12 @@ def common_subjects(tables: Sequence[DataFrame], key: str = "SUBJECT_ID") -> Dat
 
 
 def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "SUBJECT_ID", append: bool = False, buckets: int = BUCKETS) -> None:
-    """The rows of subjects that all tables have, a folder a table, in a fixed number of hash buckets."""
-    ids = common_subjects(list(tables.values()), key)
+    """The rows of subjects that all tables have, a folder a table, in a fixed number of hash buckets.
+
+    The common subjects are kept beside them, in _subjects."""
+    spark = next(iter(tables.values())).sparkSession
+    common_subjects(list(tables.values()), key).write.mode("overwrite").parquet(f"{folder}/_subjects")  # once, not with each table
+    ids = spark.read.parquet(f"{folder}/_subjects")
     for name, t in tables.items():
         out = t.join(ids, key, "left_semi").withColumn("bucket", bucket(F.col(key), buckets)).repartition("bucket")
         out.write.mode("append" if append else "overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
