@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import stage
+from tidemark.llm._common import Scratch, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     then its lower ones and itself. A node's neighbours are never gathered, only their least is, so that a node with
     very many does not fill a task.
     """
-    now = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -24,9 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: the lower neighbours of a node, and itself, are tied to the least of them
         small = large.join(lower, "a")
-        after = stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        after = scratch.stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         gone = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
         now = after
         if gone:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = stage(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "components")
+    scratch.clear()
+    return out

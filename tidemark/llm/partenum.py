@@ -1,14 +1,20 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its distinct word shingles. Sets are put into bands of sizes; a pair whose Jaccard similarity
-reaches the threshold shares a band, and differs in at most k elements there. The domain of shingles is cut into more
-than k parts by hash, so that such a pair has parts in which it agrees to the element: every part's content is a
-signature (of which the pair must share one), and sets that share one are compared exactly.
+reaches the threshold shares a band, and differs in at most k elements there. The domain of shingles is cut by hash into
+n1 parts, each of n2 smaller ones. Such a pair has a part in which it differs by at most k2 = k // n1 elements, and so
+agrees in n2 - k2 of its smaller parts: every choice of n2 - k2 smaller parts of a part is a signature, and the pair
+shares one. Sets that share a signature are compared exactly.
+
+Signatures of n2 = 1 are few and serve for all sets; those who share one with many others, and are not linked to them,
+are told apart by the longer ones of n2 = 5, k2 = 2. Before any set is fetched, pairs are checked by their counts of
+shingles in CLASSES hash classes: the sum of their differences is at most the number of elements in which they differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -16,17 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import BASE, mix, pieces, powers, stage, word_hashes, words_of
+from tidemark.llm._common import BASE, Scratch, mix, pieces, powers, stage, word_hashes, words_of
 from tidemark.llm._components import components
 
 #: Link when PERCENT_OF * |A and B| >= PERCENT * |A or B|.
 WORDS, PERCENT = 4, 85
 #: Each band's largest size is its least size over this.
 BAND = 0.65
-#: Parts beyond k + 1: so many parts of a set may be empty before empty ones count as signatures, too.
-SPARE = 0.06
-#: Buckets of more nodes than this are cut by signatures of another seed before all their open pairs are compared.
+#: Parts beyond k + 1, as a share of the size: so many parts of a set may be empty before empty ones count as signatures.
+SPARE = 0.01
+#: Nodes of buckets with more nodes than this are told apart by the longer signatures; smaller buckets' pairs are few.
 LARGE = 40
+#: Orders of the nodes, the first node of each of which in a bucket is compared with the others.
+ORDERS = 6
+#: The longer signatures: choices of LONG - 2 of LONG smaller parts.
+LONG, LONG_K = 5, 2
+#: Hash classes in which shingles are counted.
+CLASSES = 64
+#: Up to so many rows of two numbers are sent to every task.
+FEW_NODES = 500_000
 
 
 class Bands:
@@ -68,6 +82,29 @@ class Bands:
         return k, k + 1 + int(SPARE * high)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Shingles in each hash class, 255 at most: two sets differ in at least as many elements as their sketches."""
+    return np.minimum(np.bincount((mix(hashes ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.int16)
+
+
+def long_signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
+    """The signatures of LONG smaller parts; empty choices count, too."""
+    out = []
+    where, content = mix(hashes + np.uint64(0x632BE59BD9B4E019)), mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+    choices = np.array([[i in c for i in range(LONG)] for c in combinations(range(LONG), LONG - LONG_K)])
+    for band in bands.of(len(hashes)):
+        parts = bands.parts(band)[0] // (LONG_K + 1) + 1
+        cell = ((where >> np.uint64(33)) * np.uint64(parts * LONG) >> np.uint64(31)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]])
+        sums = np.zeros(parts * LONG, np.uint64)
+        sums[cell[order][first]] = np.add.reduceat(content[order], first)
+        cells = mix(sums ^ mix(np.arange(parts * LONG, dtype=np.uint64) + np.uint64((band * 0x1000003 + 7) * BASE & (2**64 - 1)))).reshape(parts, LONG)
+        for n, c in enumerate(choices):
+            out.append(mix(np.add.reduce(cells[:, c], axis=1) + np.uint64(n)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def signatures(hashes: np.ndarray, bands: Bands, seed: int = 0, cache: dict | None = None) -> np.ndarray:
     """Signatures of a set of distinct 64-bit hashes, at least one shared by every pair that links."""
     out, cache = [], {} if cache is None else cache
@@ -122,8 +159,8 @@ def _as_long(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """base (id, n, node), sets (node, hashes) of nodes with candidates, and edges (a, b) of nodes.
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """base (id, n, node, classes) and edges (a, b) of nodes.
 
     node names the document's shingle set (null without shingles). The edges are links between different sets, enough of
     them to hold every linked pair together in one component; equal sets share a node.
@@ -136,7 +173,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             for a, b, data, offsets in pieces(batch):
                 sets = list(shingles(data, offsets, words))
                 nodes = pa.array(np.array([set_hash(s) for s in sets], np.uint64).view(np.int64), mask=np.array([not len(s) for s in sets], bool))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), nodes], ["id", "n", "node"])
+                told = pa.array([sketch(s) for s in sets], pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), nodes, told], ["id", "n", "node", "classes"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, cache = set(), {}  # a task tells a set once, however many copies it meets
@@ -169,8 +207,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         for a in range(0, len(sig), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (sig, node, pivot)], ["sig", "node", "pivot"])
 
-    base = stage(text.mapInArrow(name, "id long, n long, node long"), "sets-base")
-    members = stage(text.mapInArrow(sign, "sig long, node long").repartition("sig").mapInArrow(buckets, "sig long, node long, pivot long"), "sets-buckets")
+    base = stage(text.mapInArrow(name, "id long, n long, node long, classes array<short>"), "sets-base")
+    scratch = Scratch(docs.sparkSession, "partenum")  # all but base and the links goes at the end
+    members = scratch.stage(text.mapInArrow(sign, "sig long, node long").repartition("sig").mapInArrow(buckets, "sig long, node long, pivot long"))
+    named = base.where(F.col("id").isNotNull() & F.col("node").isNotNull())
+    looks = named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max(F.struct("n", "classes")).alias("f"))
+    looks = scratch.stage(looks.select("node", "f.n", "f.classes"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,41 +220,93 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
                 sets = list(shingles(data, offsets, words))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
-    # One document of each set that shares a signature gives the set's content.
-    told = base.where(F.col("id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "n")).alias("f")).join(members.select("node").distinct(), "node").select("node", F.col("f.id").alias("id"))
-    sets = stage(text.join(told, "id").select("text", "node").mapInArrow(tell, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The sets of nodes, each from the document of the least id that has it."""
+        some = scratch.stage(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+        few = F.broadcast(some) if some.count() <= FEW_NODES else some
+        return scratch.stage(text.join(few, "id").select("text", "node").mapInArrow(tell, "node long, hashes array<long>").dropDuplicates(["node"]))
+
+    def maybe(pairs: DataFrame) -> DataFrame:
+        """Pairs that size and sketches allow to link."""
+        for c in "ab":
+            pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")), c)
+        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        for c in "ab":
+            pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("classes").alias(f"c{c}")), c)
+        differ = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        fits = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+        return scratch.stage(pairs.where(fits).drop("na", "nb", "ca", "cb"))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        pairs = scratch.stage(pairs)
+        small = pairs.count() <= FEW_NODES
+
+        def side(c: str) -> DataFrame:
+            need = pairs.select(F.col(c).alias("node")).distinct()
+            return sets.join(F.broadcast(need) if small else need, "node", "left_semi").select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
         both = F.size(F.array_intersect("ha", "hb"))
-        return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
-
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stage(verified(stars), "set-links")
-    # Buckets whose nodes are not in one component yet: all their pairs across components are compared.
-    label = components(edges)
-    known = members.select("sig", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    rest = stage(known.join(mixed.select("sig", "m"), "sig"), "set-rest")
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = {}
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        return scratch.stage(met.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
+
+    def apart(pairs: DataFrame, links_: DataFrame) -> DataFrame:
+        """Pairs that links do not hold together yet."""
+        label = components(links_)
+        one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        joined = pairs.join(one, "a", "left").join(two, "b", "left")
+        return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+    def in_order(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # Each node with the first node of the bucket, and that of them first with which it shares most buckets.
+    counted = members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    stars = maybe(counted)
+    sets = sets_of(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct())
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
+    edges = verified(best, sets)
+    edges = edges.unionByName(verified(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), edges), sets))
+    # Buckets that are not of one component yet: pairs of the small ones, and the longer signatures for the others' nodes.
+    known = members.select("sig", "node").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("sig", "m")
+    open_buckets = scratch.stage(known.join(mixed, "sig"))
+    crowd = scratch.stage(open_buckets.where(F.col("m") > LARGE).select("node").distinct())
+    sets = sets.unionByName(sets_of(crowd.join(sets, "node", "left_anti")))
+
+    def across(rows: DataFrame) -> DataFrame:
+        one, two = rows.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), rows.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
+        return one.join(two, "sig").where("a < b AND la <> lb").select("a", "b")
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = batch.column(3).flatten().to_numpy().view(np.uint64), batch.column(3).offsets.to_numpy()
-            ends = ends - ends[0]
-            for i, sig in enumerate(batch.column(0).to_pylist()):
-                finer = signatures(flat[ends[i] : ends[i + 1]], bands, 1, cache)
-                n = len(finer)
-                yield pa.RecordBatch.from_arrays([_as_long(mix(finer ^ np.uint64(sig & (2**64 - 1)))), batch.column(1).take(pa.array(np.full(n, i))), batch.column(2).take(pa.array(np.full(n, i)))], ["sig", "node", "label"])
-
-    small = rest.where(F.col("m") <= LARGE).select("sig", "node", "label")
-    cut = rest.where(F.col("m") > LARGE).join(sets, "node").select("sig", "node", "label", "hashes").mapInArrow(again, "sig long, node long, label long")
-    finer = stage(small.unionByName(cut), "set-finer")
-    one, two = finer.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), finer.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = one.join(two, "sig").where("a < b AND la <> lb").select("a", "b").distinct()
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = stage(verified(across.join(seen, ["a", "b"], "left_anti")), "set-links")
-    return base, sets, edges.unionByName(late)
+            flat, ends_ = batch.column(1).flatten().to_numpy().view(np.uint64), batch.column(1).offsets.to_numpy()
+            ends_ = ends_ - ends_[0]
+            for i in range(batch.num_rows):
+                finer = long_signatures(flat[ends_[i] : ends_[i + 1]], bands)
+                yield pa.RecordBatch.from_arrays([_as_long(finer), batch.column(0).take(pa.array(np.full(len(finer), i)))], ["sig", "node"])
+
+    def labelled(rows: DataFrame, links_: DataFrame) -> DataFrame:
+        """rows of buckets whose nodes are of several components, with the components."""
+        out = rows.join(components(links_), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = out.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        return scratch.stage(out.join(several, "sig"))
+
+    longs = scratch.stage(crowd.join(sets, "node").select("node", "hashes").mapInArrow(longer, "sig long, node long"))
+    tried = in_order(stars)
+    # A few nodes of each bucket against the others, which links most; then all pairs that are still open.
+    some = labelled(longs, edges)
+    heads = some.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("head"), F.col("label").alias("of"))).alias(f"p{r}") for r in range(ORDERS)))
+    each = some.join(heads, "sig").select("node", "label", F.explode(F.array_distinct(F.array(*(f"p{r}" for r in range(ORDERS))))).alias("p")).where("p.of <> label")
+    pairs = each.groupBy(F.col("node").alias("b"), F.col("p.head").alias("a")).agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    second = maybe(in_order(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
+    edges = edges.unionByName(verified(second, sets))
+    late = across(open_buckets.where(F.col("m") <= LARGE)).unionByName(across(labelled(longs, edges))).distinct()
+    third = maybe(apart(late.join(tried.unionByName(second), ["a", "b"], "left_anti"), edges))
+    ends = third.select(F.col("a").alias("node")).unionByName(third.select(F.col("b").alias("node"))).distinct()
+    sets = sets.unionByName(sets_of(ends.join(sets, "node", "left_anti")))
+    edges = stage(edges.unionByName(verified(third, sets)), "set-links")
+    scratch.clear()
+    return base, edges
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -221,7 +315,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Null texts and those without words are linked with nothing: their own component. Null ids take part in no
     component: theirs is null. Rows with equal ids are nodes of their own sets.
     """
-    base, _, edges = links(docs, id_col, text_col, words, percent)
+    base, edges = links(docs, id_col, text_col, words, percent)
     named = base.where(F.col("node").isNotNull() & F.col("id").isNotNull())
     label = components(edges)
     first = named.groupBy("node").agg(F.min("id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
