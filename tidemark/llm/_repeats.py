@@ -143,6 +143,8 @@ def find(docs: DataFrame, unit: Unit, match: Callable, id_col: str, text_col: st
         again = marks.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram")
     else:
         again = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
+    # Staged, so that a gram which very many rows have is a skewed join's, which is split, and not an aggregate's.
+    again = stage(again, "repeats-again")
     listed = marks.join(again, "gram").groupBy("id", "dig").agg(F.collect_set(F.struct("at", "lo", "hi", "gram")).alias("marks"))  # of one document; equal rows' meet
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
