@@ -19,7 +19,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import BASE, Scratch, mix, pieces, powers, stage, word_hashes, words_of
@@ -39,6 +39,8 @@ ORDERS = 6
 LONG, LONG_K = 5, 2
 #: Hash classes in which shingles are counted.
 CLASSES = 64
+#: The same for pairs of which the sets are at hand, as long sets need more classes.
+FINE = 1024
 #: Up to so many rows of two numbers are sent to every task.
 FEW_NODES = 500_000
 
@@ -82,9 +84,9 @@ class Bands:
         return k, k + 1 + int(SPARE * high)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Shingles in each hash class, 255 at most: two sets differ in at least as many elements as their sketches."""
-    return np.minimum(np.bincount((mix(hashes ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.int16)
+    return np.minimum(np.bincount((mix(hashes ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes), 255).astype(np.int16)
 
 
 def long_signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
@@ -155,6 +157,11 @@ def set_hash(hashes: np.ndarray) -> np.uint64:
     return mix(np.add.reduce(mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), keepdims=True) + np.uint64(len(hashes)))[0] if len(hashes) else np.uint64(0)
 
 
+def l1(a: str, b: str) -> Column:
+    """Sum of the differences of two arrays of counts."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+
+
 def _as_long(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
@@ -218,13 +225,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         for batch in batches:
             for a, b, data, offsets in pieces(batch):
                 sets = list(shingles(data, offsets, words))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s, FINE) for s in sets], pa.list_(pa.int16()))], ["node", "hashes", "fine"])
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """The sets of nodes, each from the document of the least id that has it."""
         some = scratch.stage(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
         few = F.broadcast(some) if some.count() <= FEW_NODES else some
-        return scratch.stage(text.join(few, "id").select("text", "node").mapInArrow(tell, "node long, hashes array<long>").dropDuplicates(["node"]))
+        return scratch.stage(text.join(few, "id").select("text", "node").mapInArrow(tell, "node long, hashes array<long>, fine array<short>").dropDuplicates(["node"]))
 
     def maybe(pairs: DataFrame) -> DataFrame:
         """Pairs that size and sketches allow to link."""
@@ -233,21 +240,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         for c in "ab":
             pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("classes").alias(f"c{c}")), c)
-        differ = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        fits = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+        fits = (100 + percent) * l1("ca", "cb") <= (100 - percent) * (F.col("na") + F.col("nb"))
         return scratch.stage(pairs.where(fits).drop("na", "nb", "ca", "cb"))
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = scratch.stage(pairs)
         small = pairs.count() <= FEW_NODES
 
-        def side(c: str) -> DataFrame:
-            need = pairs.select(F.col(c).alias("node")).distinct()
-            return sets.join(F.broadcast(need) if small else need, "node", "left_semi").select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
+        def met(pairs: DataFrame, what: Column) -> DataFrame:
+            for c in "ab":
+                need = pairs.select(F.col(c).alias("node")).distinct()
+                one = sets.join(F.broadcast(need) if small else need, "node", "left_semi").select(F.col("node").alias(c), what.alias(f"h{c}"), F.size("hashes").alias(f"n{c}"))
+                pairs = pairs.join(one, c)
+            return pairs
 
+        near = met(pairs, F.col("fine")).where((100 + percent) * l1("ha", "hb") <= (100 - percent) * (F.col("na") + F.col("nb")))
+        near = scratch.stage(near.select("a", "b"))
         both = F.size(F.array_intersect("ha", "hb"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b")
-        return scratch.stage(met.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
+        return scratch.stage(met(near, F.col("hashes")).where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"))
 
     def apart(pairs: DataFrame, links_: DataFrame) -> DataFrame:
         """Pairs that links do not hold together yet."""
