@@ -85,3 +85,16 @@ def test_prefixes_of_every_hourly_label(spark, hourly):
     for k, t, y in labels:
         r, held = got[k, t / 24], [b for b in grid[k] if b <= t / 24]
         assert (r.n, r.y) == (len(held), y) and r.click == pytest.approx(grid[k][max(held)], rel=1e-5, abs=1e-3)
+
+
+def test_every_lag_of_the_autocorrelation(spark):
+    values = defaultdict(list)
+    for r in P.events(spark, DIR).orderBy("EVENT_ID").collect():
+        values[r.SUBJECT_ID].append(r.VALUE)
+    want = {}
+    for s, v in values.items():
+        v = np.array(v)
+        want |= {(s, lag): (v[lag:] * v[: len(v) - lag]).sum() / (v * v).sum() for lag in range(min(101, len(v)))}
+    got = {(r.SUBJECT_ID, r.lag): r.r for r in queries()["a17_autocorrelation_100_lags"](spark, DIR).collect()}
+    assert got.keys() == want.keys() and max(lag for _, lag in got) > 5
+    assert all(r == pytest.approx(want[k], abs=1e-6) for k, r in got.items())

@@ -217,8 +217,8 @@ def running_mean(spark: SparkSession, d: str) -> DataFrame:
     return stats.running_mean(P.events(spark, d), "VALUE", ["SUBJECT_ID"], "EVENT_ID").select("EVENT_ID", F.round("running_mean", 10).alias("running_mean"))
 
 
-def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    return stats.autocorrelation(P.events(spark, d), "VALUE", ["SUBJECT_ID"], "EVENT_ID", 5).select("SUBJECT_ID", "lag", F.round("r", 6).alias("r"))
+def autocorrelation(spark: SparkSession, d: str, max_lag: int = 5) -> DataFrame:
+    return stats.autocorrelation(P.events(spark, d), "VALUE", ["SUBJECT_ID"], "EVENT_ID", max_lag).select("SUBJECT_ID", "lag", F.round("r", 6).alias("r"))
 
 
 def correlations(spark: SparkSession, d: str) -> DataFrame:
@@ -283,6 +283,8 @@ ENTRIES = {
     "a18_running_mean": (running_mean, "SELECT event_id AS EVENT_ID, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 10) AS running_mean FROM events"),
     "a17_autocorrelation": (autocorrelation, """WITH n AS (SELECT user_id AS s, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), q AS (SELECT s, sum(v * v) AS q FROM n GROUP BY 1)
       SELECT a.s AS SUBJECT_ID, lag, round(sum(a.v * b.v) / any_value(q), 6) AS r FROM n a, (SELECT unnest(range(0, 6))::INT AS lag) JOIN n b ON a.s = b.s AND a.i = b.i + lag JOIN q ON q.s = a.s GROUP BY ALL"""),
+    # All lags of the operator: no SQL, a test holds it against brute force.
+    "a17_autocorrelation_100_lags": (partial(autocorrelation, max_lag=100), None),
     "a15_correlations": (correlations, " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in _PAIRS)),
     "a16_histogram": (histogram, f"{_HIST('l_quantity')} UNION ALL {_HIST('l_discount')}"),
     "a20_column_kinds": (kinds, "SELECT unnest(['c_acctbal', 'c_name', 'nothing']) AS name, unnest([count(c_acctbal) = 0, count(c_name) = 0, true]) AS all_null, unnest([true, count(try_cast(c_name AS DOUBLE)) = count(c_name), true]) AS numeric FROM customer"),
