@@ -1,31 +1,39 @@
-"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: character grams counted by diagonal, exact edit verification.
 
-The walk over a text's words turns edit distance into Hamming distance: at step j it puts out the word it stands on
-and moves on by the j-th random bit of that word, so that two texts that differ by few edits fall into step again.
-Item-sized windows of a document, STRIDE words apart, are embedded from their first word; an item is embedded from
-every one of its words, so that some window of a copy meets the item's embedding at the same word whatever the
-alignment. Windows and items that agree in the sampled coordinates of any table are compared exactly.
+An item is cut into parts of about PART characters; where it lies in a text with k edits, one of its n parts has at
+most k / n of them. A part of m characters with k edits shares at least m + 1 - q - k q of its grams of q characters
+with the text (each edit spoils q), and their diagonals (place in the text less place in the part) are at most k apart.
+Grams are counted by part and band of diagonals; wherever neighbouring bands hold that many, the part's edit distance
+is computed, for many places at once, and where that is near enough the item's. So no leak within the declared edits is lost, wherever its edits are. q is GRAM, or less in short items.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import BASE, mix, pieces, word_hashes, words_of
+from tidemark.llm._common import pieces
 
-#: Steps of the walk, sampled coordinates of a table, tables, and words between windows.
-STEPS, SAMPLED, TABLES, STRIDE = 20, 6, 6, 3
+#: Characters of a gram at most, bits of its hash, neighbouring bands that are counted together.
+GRAM, BITS, BANDS = 4, 18, 3
+#: Characters of a part at most: bits of a machine word.
+PART = 64
+#: Characters of text whose grams are counted at a time, and bands of all parts of a group at most.
+CHUNK, MOST_BINS = 1 << 16, 4_000_000
+#: Places that are compared with their parts at a time.
+LANES = 1 << 13
 #: Edits that a leak has at most, as a share of the item's characters.
 EDITS = 0.2
 #: The benchmark is sent to every task: a larger one is refused (judge it in parts).
 MOST_BYTES = 64_000_000
-_SEED = 0x5EED
+#: Between texts; no normal text or item has it.
+GAP = "\n"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -37,28 +45,6 @@ def normal(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-
-
-def coordinates(table: int) -> list[int]:
-    """The sampled coordinates of a table: fixed by its number, the first of them among the first steps."""
-    rng = np.random.default_rng(_SEED + table)
-    return sorted(rng.choice(STEPS, SAMPLED, replace=False).tolist())
-
-
-def embed(hashes: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
-    """The sampled coordinates, as one 64-bit number, of the walk from each start. hashes ends with STEPS + 1 fillers."""
-    moves = mix(hashes + np.uint64((_SEED * (table + 1) * BASE) & (2**64 - 1)))
-    at, out, sampled = starts.astype(np.int64), np.full(len(starts), table + 1, np.uint64), coordinates(table)
-    for j in range(sampled[-1] + 1):
-        if j in sampled:
-            out = (out ^ hashes[at]) * np.uint64(BASE)
-            out ^= out >> np.uint64(29)
-        at = at + ((moves[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-    return out
-
-
 def distance(item: str, text: str) -> tuple[int, int]:
     """Least edit distance between item and any substring of text, and where the first best one ends (bit-parallel, one word of len(item) bits)."""
     m = len(item)
@@ -84,79 +70,167 @@ def distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+class Group:
+    """Parts of items of one gram length and band width, as a direct-address table from a gram's hash to the places that have it."""
+
+    def __init__(self, q: int, shift: int, members: list[tuple[int, np.ndarray, int, int]]):
+        self.q, self.shift = q, shift
+        self.owners = np.array([n for n, _, _, _ in members])
+        self.sizes = np.array([len(x) for _, x, _, _ in members])
+        self.edits = np.array([k for _, _, k, _ in members])
+        self.places = np.array([at for _, _, _, at in members])
+        self.least = np.maximum(1, self.sizes + 1 - q - q * self.edits)
+        self.longest = int(self.sizes.max())
+        self.chunk = max(CHUNK, 4 * (self.longest + int(self.edits.max())))
+        self.lead = self.longest + (1 << shift)  # no diagonal lies in the first band, which no window has
+        self.bands = ((self.chunk + self.lead) >> shift) + 1 + BANDS
+        codes = [grams(x, q) for _, x, _, _ in members]
+        places = np.concatenate([np.arange(len(c)) for c in codes])
+        base = np.repeat(np.arange(len(members)) * self.bands, [len(c) for c in codes])
+        every = np.concatenate(codes)
+        order = np.argsort(every, kind="stable")
+        # (place in the chunk + this) >> shift is the band of the part's first character
+        self.entries = ((base << shift) + self.lead - places)[order].astype(np.int32)
+        self.counts = np.bincount(every, minlength=1 << BITS).astype(np.int32)
+        self.firsts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
+        self.enough = np.repeat(self.least, self.bands)
+        # For each part and character, the places of the part that have it, as bits; column 0 is of characters of no part.
+        some = np.unique(np.concatenate([x for _, x, _, _ in members]))
+        self.columns = np.zeros(0x110000, np.int32)
+        self.columns[some] = np.arange(1, len(some) + 1)
+        self.masks = np.zeros((len(members), len(some) + 1), np.uint64)
+        for m, (_, x, _, _) in enumerate(members):
+            np.bitwise_or.at(self.masks[m], self.columns[x], np.uint64(1) << np.arange(len(x), dtype=np.uint64))
+
+    def near(self, codes: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end): between which places of a text, given by its grams and characters, an item may begin if it has no edits before the part."""
+        step = self.chunk - self.longest - int(self.edits.max())
+        for a in range(0, len(codes), step):
+            part = codes[a : a + self.chunk]
+            n = self.counts[part]
+            at = np.flatnonzero(n)
+            n = n[at]
+            if not len(at):
+                continue
+            skip = (self.firsts[part[at]] - (np.cumsum(n) - n)).astype(np.int32)
+            entry = np.repeat(skip, n)
+            entry += np.arange(len(entry), dtype=np.int32)
+            band = self.entries[entry]
+            band += np.repeat(at.astype(np.int32), n)
+            band >>= self.shift
+            held = np.cumsum(np.bincount(band, minlength=len(self.enough) + BANDS), dtype=np.int32)
+            m, b = np.divmod(np.flatnonzero(held[BANDS:] - held[:-BANDS] >= self.enough) + 1, self.bands)
+            begin = a + (b << self.shift) - self.lead - self.edits[m]
+            width = (BANDS << self.shift) + 2 * int(self.edits.max())
+            for i in range(0, len(m), LANES):
+                kept = self.close(data, m[i : i + LANES], begin[i : i + LANES], width + self.longest)
+                for k in (i + np.flatnonzero(kept)).tolist():
+                    first = int(begin[k]) - int(self.places[m[k]])
+                    yield int(self.owners[m[k]]), first, first + width
+
+    def close(self, data: np.ndarray, m: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+        """Whether each part m is within its edits somewhere in the width characters from begin (bit-parallel, as in distance)."""
+        one, top = np.uint64(1), (self.sizes[m] - 1).astype(np.uint64)
+        plus, minus = np.full(len(m), 2**64 - 1, np.uint64), np.zeros(len(m), np.uint64)
+        score = self.sizes[m].astype(np.int64)
+        best, row = score.copy(), m * self.masks.shape[1]
+        masks = self.masks.ravel()
+        for j in range(width):
+            at = begin + j
+            x = masks[row + np.where((at >= 0) & (at < len(data)), self.columns[data[np.clip(at, 0, len(data) - 1)]], 0)]
+            d = (((x & plus) + plus) ^ plus) | x | minus
+            hp, hm = minus | ~(d | plus), plus & d
+            score += ((hp >> top) & one).astype(np.int64) - ((hm >> top) & one).astype(np.int64)
+            hp, hm = hp << one, hm << one
+            plus, minus = hm | ~(d | hp), hp & d
+            np.minimum(best, score, out=best)
+        return best <= self.edits[m]
+
+
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """A hash of BITS bits of the q characters from each place."""
+    out = np.zeros(max(0, len(codes) - q + 1), np.uint32)
+    for i in range(q):
+        out = (out ^ codes[i : i + len(out)]) * np.uint32(0x9E3779B1)
+        out ^= out >> np.uint32(15)
+    return out >> np.uint32(32 - BITS)
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Items:
-    """The benchmark, embedded: sorted codes of all tables, with the item and the word of each."""
+    """The benchmark in groups, none of which has more than MOST_BINS bands to count in."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], edits: float):
         self.ids, self.texts = [r[0] for r in rows], [normal(r[1]) for r in rows]
-        codes, owners, places, self.starts = [], [], [], []
-        for n, text in enumerate(self.texts):
-            data = np.frombuffer(text.encode(), np.uint8)
-            start, end, _ = words_of(data, np.array([0, len(data)]))
-            self.starts.append(start)
-            hashes = np.concatenate([word_hashes(data, start, end), np.zeros(STEPS + 1, np.uint64)])
-            # Places too near the end for a whole walk count only in short items, which have no other.
-            last = max(1, len(start) - STEPS // 2)
-            at = np.arange(last if len(start) > STEPS // 2 else len(start))
-            for t in range(TABLES):
-                codes.append(embed(hashes, at, t))
-                owners.append(np.full(len(at), n))
-                places.append(at)
-        self.codes = np.concatenate([*codes, np.empty(0, np.uint64)])
-        self.owners = np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64)
-        self.places = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(self.codes, kind="stable")
-        self.codes, self.owners, self.places = self.codes[order], self.owners[order], self.places[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.codes >> np.uint64(42)).astype(np.int64)] = True
-
-    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, entry) for every entry that has a window's code."""
-        maybe = np.flatnonzero(self.bits[(codes >> np.uint64(42)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.codes, codes[maybe], "left"), np.searchsorted(self.codes, codes[maybe], "right")
-        n = hi - lo
-        return np.repeat(maybe, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items, edits: float) -> list[tuple[int, int, int]]:
-    """(row, item, edits) of each item found in each row of a piece."""
-    data = lowered(data)
-    start, end, first = words_of(data, offsets)
-    if not len(start) or not len(items.codes):
-        return []
-    n = len(offsets) - 1
-    row_of = np.repeat(np.arange(n), np.diff(first))
-    # Fillers between rows, so that no walk goes on into the next text.
-    place = np.arange(len(start)) + row_of * (STEPS + 1)
-    hashes = np.zeros(len(start) + n * (STEPS + 1), np.uint64)
-    hashes[place] = word_hashes(data, start, end)
-    inner = np.arange(len(start)) - first[row_of]
-    windows = np.flatnonzero(inner % STRIDE == 0)
-    seen: dict[tuple[int, int], set[int]] = {}
-    for t in range(TABLES):
-        w, entry = items.candidates(embed(hashes, place[windows], t))
-        at, owner = windows[w], items.owners[entry]
-        # where the item's first byte would stand, coarsely, so that each place is looked at once
-        for row, item, byte in set(zip(row_of[at].tolist(), owner.tolist(), (start[at] - [items.starts[o][p] for o, p in zip(owner, items.places[entry])]).tolist() if len(at) else [], strict=True)):
-            seen.setdefault((row, item), set()).add(byte)
-    out = []
-    for (row, item), begins in sorted(seen.items()):
-        text = items.texts[item]
-        least, most = None, int(edits * len(text))
-        slack, size = most + 64, len(text.encode())
-        done = -1
-        for byte in sorted(begins):
-            if byte <= done:
-                continue
-            a, b = max(int(offsets[row]), int(offsets[row]) + (byte - int(offsets[row])) - slack), min(int(offsets[row + 1]), byte + size + 2 * slack)
-            done = byte + slack // 2
-            d, _ = distance(text, normal(data[max(a, 0) : b].tobytes().decode("utf-8", "ignore")))
-            least = d if least is None else min(least, d)
-            if least <= most:
-                break
-        if least is not None and least <= most:
-            out.append((row, item, least))
-    return out
+        self.most = [int(edits * len(t)) for t in self.texts]
+        kinds: dict[tuple[int, int], list[tuple[int, np.ndarray, int, int]]] = {}
+        always: set[int] = set()
+        for n, (text, k) in enumerate(zip(self.texts, self.most, strict=True)):
+            n_parts = max(1, -(-len(text) // PART))
+            cuts, most = np.linspace(0, len(text), n_parts + 1).astype(int).tolist(), k // n_parts
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                q = min(GRAM, (b - a) // (most + 1))
+                if q:
+                    shift = max(3, math.ceil(math.log2(max(1, most / (BANDS - 1)))))
+                    kinds.setdefault((q, shift), []).append((n, characters(text[a:b]), most, a))
+                else:
+                    always.add(n)
+        self.always = sorted(always)  # so many edits that no gram need stay whole
+        self.groups = []
+        for (q, shift), members in sorted(kinds.items()):
+            members.sort(key=lambda x: len(x[1]))
+            begin = 0
+            while begin < len(members):
+                # The longest item so far sets every item's diagonals; groups are cut where they become too many.
+                end = begin + 1
+                while end < len(members) and (end + 1 - begin) * (CHUNK + 9 * len(members[end][1]) + (6 << shift)) < min(MOST_BINS << shift, 1 << 30):
+                    end += 1
+                self.groups.append(Group(q, shift, members[begin:end]))
+                begin = end
+
+
+def leaks_in(texts: list[str], items: Items) -> list[tuple[int, int, int]]:
+    """(row, item, edits) of each item found in each of some normal texts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    data = characters(GAP.join(texts))
+    found: dict[tuple[int, int], int] = {}
+
+    def look(row: int, item: int, a: int, b: int) -> None:
+        d, _ = distance(items.texts[item], texts[row][a:b])
+        if d <= items.most[item]:
+            found[row, item] = d
+
+    for q in sorted({g.q for g in items.groups}):
+        codes = grams(data, q)
+        for group in (g for g in items.groups if g.q == q):
+            open_: dict[int, tuple[int, int]] = {}
+            for item, a, b in group.near(codes, data):
+                a, b = a - items.most[item], b + len(items.texts[item]) + 2 * items.most[item]
+                # bands that follow on each other are one stretch
+                if item in open_ and open_[item][0] <= a <= open_[item][1]:
+                    open_[item] = (open_[item][0], max(b, open_[item][1]))
+                    continue
+                if item in open_:
+                    judge(item, *open_[item], starts, sizes, found, look)
+                open_[item] = (a, b)
+            for item, (a, b) in open_.items():
+                judge(item, a, b, starts, sizes, found, look)
+    for item in items.always:
+        for row in np.flatnonzero(sizes).tolist():
+            look(row, item, 0, int(sizes[row]))
+    return [(*k, d) for k, d in sorted(found.items())]
+
+
+def judge(item: int, a: int, b: int, starts: np.ndarray, sizes: np.ndarray, found: dict, look: Callable[[int, int, int, int], None]) -> None:
+    """Looks for item in the rows that the stretch from a to b touches."""
+    for row in range(max(0, int(np.searchsorted(starts, a, "right")) - 1), int(np.searchsorted(starts, b, "left"))):
+        begin, end = max(0, a - int(starts[row])), min(int(sizes[row]), b - int(starts[row]))
+        if begin < end and (row, item) not in found:
+            look(row, item, begin, end)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
@@ -174,10 +248,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value)
+        items = Items(sent.value, edits)
         for batch in batches:
             for a, _, data, offsets in pieces(batch):
-                found = leaks_in(data, offsets, items, edits)
+                found = leaks_in([normal(data[x:y].tobytes().decode("utf-8", "ignore")) for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], items)
                 if found:
                     ids = batch.column(0).take(pa.array([a + f[0] for f in found]))
                     like = [1 - f[2] / max(1, len(items.texts[f[1]])) for f in found]
