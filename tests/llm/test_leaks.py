@@ -36,6 +36,14 @@ def test_scattered_character_edits(words, share):
     assert found(item, texts) == set(range(25))
 
 
+@pytest.mark.parametrize("words", range(1, 16))
+def test_exact_copies_of_short_items_at_every_alignment(words):
+    rng = random.Random(words)
+    item = text(rng, words)
+    texts = [f"{text(rng, i)} {item.upper()} {text(rng, j)}" for i in range(8) for j in (0, 1, 30)]
+    assert found(item, texts) == set(range(24))
+
+
 def test_same_as_the_distance_alone():
     rng = random.Random(3)
     items = [text(rng, n) for n in (1, 2, 3, 5, 12, 30)] + ["a", "ab", "né à", "x" * 40]
