@@ -32,6 +32,8 @@ SMOOTH, UNKNOWN = 0.02, 1e-7
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 400_000
 UND = "und"
+#: Least gain of a letter over the flat model that an accepted text has.
+LEAST_GAIN = 0.0
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = "\n"
 
@@ -148,29 +150,56 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.pieces)
+        self.p = model.p
         self.rows: dict[str, int] = {}
-        self.scores = np.empty((0, len(model.langs)))
+        self.scores = np.empty((0, len(self.p)))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text by row of p, and its letters."""
         seen = [words(t) for t in texts]
         flat = [w for s in seen for w in s]
         new = list(dict.fromkeys(w for w in flat if w not in self.rows))
         if new and self.model.langs:
             if len(self.rows) + len(new) > CACHE_WORDS:
-                self.rows, self.scores, new = {}, np.empty((0, len(self.model.langs))), list(dict.fromkeys(flat))
+                self.rows, self.scores, new = {}, np.empty((0, len(self.p))), list(dict.fromkeys(flat))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, self.lattice.forward(new, self.model.p)])
-        if not self.model.langs or not flat:
-            return [UND] * len(texts), [0.0] * len(texts)
-        ids = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
-        sums = np.zeros((len(texts), len(self.model.langs)))
-        sizes = np.fromiter(map(len, seen), np.int64, len(seen))
-        some = sizes > 0
-        sums[some] = np.add.reduceat(self.scores[ids], (np.cumsum(sizes) - sizes)[some])
+            self.scores = np.concatenate([self.scores, self.lattice.forward(new, self.p)])
+        sums = np.zeros((len(texts), len(self.p)))
+        if self.model.langs and flat:
+            ids = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+            sizes = np.fromiter(map(len, seen), np.int64, len(seen))
+            sums[sizes > 0] = np.add.reduceat(self.scores[ids], (np.cumsum(sizes) - sizes)[sizes > 0])
+        return sums, np.array([sum(map(len, s)) for s in seen], np.int64)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.told(*self.sums(texts))
+
+    def told(self, sums: np.ndarray, letters: np.ndarray) -> tuple[list[str], list[float]]:
+        if not self.model.langs or not letters.any():
+            return [UND] * len(sums), [0.0] * len(sums)
+        sums = sums[:, : len(self.model.langs)]
         odds = np.exp(sums - sums.max(1, keepdims=True))
         odds /= odds.sum(1, keepdims=True)
         best = odds.argmax(1)
-        return [self.model.langs[b] if s else UND for b, s in zip(best, some, strict=True)], [float(o) if s else 0.0 for o, s in zip(odds.max(1), some, strict=True)]
+        return [self.model.langs[b] if s else UND for b, s in zip(best, letters, strict=True)], [float(o) if s else 0.0 for o, s in zip(odds.max(1), letters, strict=True)]
+
+
+class Judge(Scorer):
+    """A scorer that also sets each text's best language against a flat model."""
+
+    def __init__(self, model: Model):
+        super().__init__(model)
+        if model.langs:
+            flat = np.full((1, self.lattice.n + 1), 1 / self.lattice.n)
+            flat[0, -1] = UNKNOWN
+            self.p = np.concatenate([self.p, flat])
+            self.scores = np.empty((0, len(self.p)))
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """predict(), and by how much a letter is likelier in the best language than in the flat model (natural log); it doesn't grow with the text."""
+        sums, letters = self.sums(texts)
+        gains = (sums[:, :-1].max(1) - sums[:, -1]) / np.maximum(1, letters) if self.model.langs else np.zeros(len(sums))
+        return *self.told(sums, letters), gains.tolist()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -229,8 +258,8 @@ def digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return predict(docs, fit(docs, path=path)).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY) -> DataFrame:
-    """docs without the rows whose language can't be told: no letter, or a score of less than ``least``."""
+def accepted(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """docs without the rows whose language can't be told: no letter, a score of less than ``least``, or a gain of less than ``least_gain`` (letter noise, languages that were not learned)."""
     model = fit(docs, path=path)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), model.key
 
@@ -238,11 +267,11 @@ def accepted(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY) -> Dat
     def told(texts):
         if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[key] = Scorer(sent.value)
+            _SCORERS[key] = Judge(sent.value)
         out = []
         for a in range(0, len(texts), 500):
-            langs, scores = _SCORERS[key].predict([t if isinstance(t, str) else None for t in texts.iloc[a : a + 500]])
-            out += [x != UND and s >= least for x, s in zip(langs, scores, strict=True)]
+            langs, scores, gains = _SCORERS[key].judged([t if isinstance(t, str) else None for t in texts.iloc[a : a + 500]])
+            out += [x != UND and s >= least and g >= least_gain for x, s, g in zip(langs, scores, gains, strict=True)]
         return pd.Series(out, index=texts.index, dtype=bool)
 
     return docs.where(told(F.col("text")))
