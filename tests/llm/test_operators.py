@@ -92,18 +92,49 @@ def test_near_copies_against_brute_force(spark, odd_rows):
     assert kept == {i for i, (_, c) in _components(rows, 5, 80).items() if i == c}
 
 
-@pytest.mark.parametrize("long", [False, True])
-def test_linking_sets_share_a_signature(long):
-    rng, bands = np.random.default_rng(1), partenum.Bands()
-    for size in [1, 2, 5, 6, 7, 12, 13, 14, 20, 33, 57, 120, 400]:
-        for _ in range(20):
-            whole = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
-            differ = int(size * 0.15)
-            a, b = whole[:size], whole[: size - int(rng.integers(0, differ + 1))]
-            if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
-                continue
-            sign = (lambda s: partenum.long_signatures(s, bands)) if long else (lambda s: partenum.signatures(s, bands))
-            assert len(np.intersect1d(sign(np.sort(a)), sign(np.sort(b))))
+def test_near_copies_in_families_against_brute_force(spark):
+    """Copies of one text with edits of their own, so that all share signatures and many don't link; some link only with each other."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([90, 140, 300]))]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 10])):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+            rows.append(words)
+            if rng.random() < 0.3:  # a copy of the copy
+                words = list(words)
+                for _ in range(rng.choice([1, 2, 3])):
+                    words[rng.randrange(len(words))] = f"u{rng.randrange(10**6)}"
+                rows.append(words + [f"t{j}" for j in range(rng.choice([0, 0, 9]))])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rng.sample(rows, len(rows)))]
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows])
+    want = _components(rows, 4, 85)
+    assert len({c for _, c in want.values()}) > 30
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.digest(docs).collect()} == want
+    kept = {r.doc_id for r in partenum.one_of_each(docs).collect()}
+    assert kept == {i for i, (_, c) in _components(rows, 5, 80).items() if i == c}
+
+
+def test_repeated_ids_keep_their_own_sets(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = table(spark, [(1, one, "en", "a"), (1, two, "en", "a"), (2, two + " z", "en", "a"), (0, one + " y", "en", "a")])
+    assert sorted((r.doc_id, r.component_id) for r in partenum.digest(docs).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
+def test_linking_sets_share_a_signature():
+    rng = np.random.default_rng(1)
+    for percent in (85, 80, 60):
+        bands = partenum.Bands(percent)
+        for size in [1, 2, 5, 6, 7, 12, 13, 14, 20, 33, 57, 120, 400]:
+            for _ in range(20):
+                whole = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
+                differ, extra = (int(rng.integers(0, int(size * (100 - percent) / 100) + 1)) for _ in range(2))
+                a, b = whole[:size], np.r_[whole[: size - differ], whole[size : size + extra]]
+                if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+                    continue
+                assert len(np.intersect1d(partenum.signatures(np.sort(a), bands), partenum.signatures(np.sort(b), bands)))
 
 
 def test_secrets(spark):

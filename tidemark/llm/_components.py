@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import Scratch, stage
 
 
+def _sum(edges: DataFrame) -> tuple:
+    """Number and sum of hashes of an edge table, to tell whether a round changed it."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the least node that links reach. Hot nodes only meet sums.
 
@@ -17,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "components")
     now = scratch.stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    told = _sum(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -26,9 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the lower neighbours of a node, and itself, are tied to the least of them
         small = large.join(lower, "a")
         after = scratch.stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        gone = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        told, before = _sum(after), told
         now = after
-        if gone:
+        if told == before:
             break
     out = stage(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "components")
     scratch.clear()

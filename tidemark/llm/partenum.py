@@ -2,19 +2,22 @@
 
 A document is the set of its distinct word shingles. Sets are put into bands of sizes; a pair whose Jaccard similarity
 reaches the threshold shares a band, and differs in at most k elements there. The domain of shingles is cut by hash into
-n1 parts, each of n2 smaller ones. Such a pair has a part in which it differs by at most k2 = k // n1 elements, and so
-agrees in n2 - k2 of its smaller parts: every choice of n2 - k2 smaller parts of a part is a signature, and the pair
-shares one. Sets that share a signature are compared exactly.
-
-Signatures of n2 = 1 are few and serve for all sets; those who share one with many others, and are not linked to them,
-are told apart by the longer ones of n2 = 5, k2 = 2. Before any set is fetched, pairs are checked by their counts of
-shingles in CLASSES hash classes: the sum of their differences is at most the number of elements in which they differ.
+k + 1 + t parts, so such a pair agrees in at least t + 1 of them. Each set leaves out its t weakest parts (fewest
+elements, then hash); the strongest part in which a pair agrees is left out by neither, as t weaker ones would have to
+be. Every other part is a signature: sets share one by chance or by a line that many texts have only where a whole part
+of several elements is alike.
+
+Sets that share a signature are a bucket; its most central node is its pivot, with which all others are compared. Of
+buckets that are not of one component then, the nodes are told apart by how they differ from their pivot: what two sets
+differ from the pivot by differs as the sets do, so a pair that links has many of these differences in common, and one
+of the first few of each (elements that the pivot lacks first). Families of copies of one text, which all share their
+signatures, so don't meet in pairs. Before sets are fetched, pairs are checked by counts of shingles in hash classes:
+the sum of their differences is at most the number of elements in which the sets differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -28,25 +31,19 @@ from tidemark.llm._components import components
 #: Link when PERCENT_OF * |A and B| >= PERCENT * |A or B|.
 WORDS, PERCENT = 4, 85
 #: Each band's largest size is its least size over this.
-BAND = 0.65
-#: Parts beyond k + 1, as a share of the size: so many parts of a set may be empty before empty ones count as signatures.
-SPARE = 0.01
-#: Nodes of buckets with more nodes than this are told apart by the longer signatures; smaller buckets' pairs are few.
-LARGE = 40
-#: Orders of the nodes, the first node of each of which in a bucket is compared with the others.
-ORDERS = 6
-#: The longer signatures: choices of LONG - 2 of LONG smaller parts.
-LONG, LONG_K = 5, 2
-#: Hash classes in which shingles are counted.
-CLASSES = 64
-#: The same for pairs of which the sets are at hand, as long sets need more classes.
-FINE = 1024
+BAND = 0.75
+#: Parts beyond k + 1, as a share of k + 1.
+SPARE = 0.2
+#: Elements of a set to one hash class of its counts.
+TO_CLASS = 4
 #: Up to so many rows of two numbers are sent to every task.
 FEW_NODES = 500_000
+#: Sets that a task remembers having signed, so as to sign copies once.
+SIGNED = 2_000_000
 
 
 class Bands:
-    """Sizes to bands; a band's k and number of parts."""
+    """Sizes to bands; a band's k and spare parts."""
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
@@ -77,56 +74,37 @@ class Bands:
         return out
 
     def parts(self, band: int) -> tuple[int, int]:
-        """(k, parts): the most elements in which a linking pair of this band differs, and parts of the domain."""
+        """(k, t): the most elements in which a linking pair of this band differs, and the spare parts."""
         high = self.limits(band)[1]
         p, both = self.percent, high + self.most(high)
         k = both * (100 - p) // (100 + p)
-        return k, k + 1 + int(SPARE * high)
-
-
-def sketch(hashes: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Shingles in each hash class, 255 at most: two sets differ in at least as many elements as their sketches."""
-    return np.minimum(np.bincount((mix(hashes ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes), 255).astype(np.int16)
-
-
-def long_signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of LONG smaller parts; empty choices count, too."""
-    out = []
-    where, content = mix(hashes + np.uint64(0x632BE59BD9B4E019)), mix(hashes ^ np.uint64(0xA0761D6478BD642F))
-    choices = np.array([[i in c for i in range(LONG)] for c in combinations(range(LONG), LONG - LONG_K)])
-    for band in bands.of(len(hashes)):
-        parts = bands.parts(band)[0] // (LONG_K + 1) + 1
-        cell = ((where >> np.uint64(33)) * np.uint64(parts * LONG) >> np.uint64(31)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        first = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]])
-        sums = np.zeros(parts * LONG, np.uint64)
-        sums[cell[order][first]] = np.add.reduceat(content[order], first)
-        cells = mix(sums ^ mix(np.arange(parts * LONG, dtype=np.uint64) + np.uint64((band * 0x1000003 + 7) * BASE & (2**64 - 1)))).reshape(parts, LONG)
-        for n, c in enumerate(choices):
-            out.append(mix(np.add.reduce(cells[:, c], axis=1) + np.uint64(n)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        return k, ceil(SPARE * (k + 1))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Shingles in each of a power of two of hash classes: two sets differ in at least as many elements as their counts."""
+    bits = max(4, (len(hashes) // TO_CLASS).bit_length() - 1)
+    of = (mix(hashes ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(of, minlength=1 << bits), 32767).astype(np.int16)
 
 
-def signatures(hashes: np.ndarray, bands: Bands, seed: int = 0, cache: dict | None = None) -> np.ndarray:
+def signatures(hashes: np.ndarray, bands: Bands, cache: dict | None = None) -> np.ndarray:
     """Signatures of a set of distinct 64-bit hashes, at least one shared by every pair that links."""
     out, cache = [], {} if cache is None else cache
     size = len(hashes)
-    key = ("of", size)
-    if key not in cache:
-        cache[key] = [(b, *bands.parts(b)) for b in bands.of(size)]
-    spread, content = mix(hashes + np.uint64((seed * 2 + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))), mix(hashes ^ np.uint64(0xA0761D6478BD642F))
-    for band, k, parts in cache[key]:
-        part = ((spread >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sorted_parts = part[order]
-        first = np.flatnonzero(np.r_[True, sorted_parts[1:] != sorted_parts[:-1]])
-        sums = np.add.reduceat(content[order], first)
-        which, empty = sorted_parts[first], parts - len(first)
-        # With fewer empty parts than parts that must agree, a linking pair agrees in one that isn't empty.
-        if empty >= parts - k:
-            lacking = np.setdiff1d(np.arange(parts), which)
-            which, sums = np.r_[which, lacking], np.r_[sums, np.zeros(len(lacking), np.uint64)]
-        out.append(mix(sums ^ mix(which.astype(np.uint64) + np.uint64((band * 0x1000003 + seed) * BASE & (2**64 - 1)))))
+    if size not in cache:
+        cache[size] = [(b, *bands.parts(b)) for b in bands.of(size)]
+    spread = mix(hashes + np.uint64(0x632BE59BD9B4E019))
+    order = np.argsort(spread)  # parts are ranges of this, in every band
+    spread, content = spread[order] >> np.uint64(33), mix(hashes ^ np.uint64(0xA0761D6478BD642F))[order]
+    for band, k, spare in cache[size]:
+        n = k + 1 + spare
+        part = (spread * np.uint64(n) >> np.uint64(31)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sums = np.zeros(n, np.uint64)
+        sums[part[first]] = np.add.reduceat(content, first)
+        names = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(band * 0x1000003 * BASE & (2**64 - 1))))
+        out.append(names[np.lexsort((names, np.bincount(part, minlength=n)))[spare:]])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -157,15 +135,38 @@ def set_hash(hashes: np.ndarray) -> np.uint64:
     return mix(np.add.reduce(mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)), keepdims=True) + np.uint64(len(hashes)))[0] if len(hashes) else np.uint64(0)
 
 
-def l1(a: str, b: str) -> Column:
-    """Sum of the differences of two arrays of counts."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+def apart_by(a: str, b: str) -> Column:
+    """Sum of the differences of two sketches; the longer one is folded to the other's classes (0 if they are over an octave apart)."""
+    half = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda i: F.get(c, 2 * i) + F.get(c, 2 * i + 1))
+    one, two = F.col(a).cast("array<int>"), F.col(b).cast("array<int>")
+    one, two = F.when(F.size(one) > F.size(two), half(one)).otherwise(one), F.when(F.size(two) > F.size(one), half(two)).otherwise(two)
+    return F.when(F.size(one) == F.size(two), F.aggregate(F.zip_with(one, two, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)).otherwise(0)
 
 
 def _as_long(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (sig, node) in order, without repeats, those whose sig several nodes have; holds one batch, whatever the size of a bucket."""
+    last = None  # a row that waits for its successor, and whether its predecessor has the same sig
+    rows = lambda sig, node: pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+    for batch in batches:
+        sig, node = (batch.column(i).to_numpy() for i in (0, 1))
+        if not len(sig):
+            continue
+        if last is not None:
+            sig, node = np.r_[last[0], sig], np.r_[last[1], node]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node = sig[fresh], node[fresh]
+        like = np.r_[last is not None and last[2], sig[1:] == sig[:-1]]
+        keep = like[:-1] | like[1:]
+        yield rows(sig[:-1][keep], node[:-1][keep])
+        last = sig[-1:], node[-1:], bool(like[-1])
+    if last is not None and last[2]:
+        yield rows(last[0], last[1])
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """base (id, n, node, classes) and edges (a, b) of nodes.
 
@@ -184,54 +185,42 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), nodes, told], ["id", "n", "node", "classes"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, cache = set(), {}  # a task tells a set once, however many copies it meets
+        seen, cache = set(), {}
         for batch in batches:
             for _, _, data, offsets in pieces(batch):
                 sigs, nodes = [], []
                 for s in shingles(data, offsets, words):
                     if len(s) and (node := set_hash(s)) not in seen:
+                        if len(seen) >= SIGNED:
+                            seen.clear()
                         seen.add(node)
-                        sigs.append(signatures(s, bands, 0, cache))
+                        sigs.append(signatures(s, bands, cache))
                         nodes.append(np.full(len(sigs[-1]), node))
                 if sigs:
                     yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(sigs)), _as_long(np.concatenate(nodes))], ["sig", "node"])
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a partition's signatures, those that several nodes have, with the nodes."""
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        sig, node = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        del parts
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[fresh], node[fresh]
-        first = np.r_[True, sig[1:] != sig[:-1]]
-        shared = ~(first & np.r_[first[1:], True])
-        sig, node = sig[shared], node[shared]
-        pivot = node[np.maximum.accumulate(np.where(first[shared], np.arange(len(sig)), 0))] if len(sig) else node
-        for a in range(0, len(sig), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (sig, node, pivot)], ["sig", "node", "pivot"])
-
-    base = stage(text.mapInArrow(name, "id long, n long, node long, classes array<short>"), "sets-base")
-    scratch = Scratch(docs.sparkSession, "partenum")  # all but base and the links goes at the end
-    members = scratch.stage(text.mapInArrow(sign, "sig long, node long").repartition("sig").mapInArrow(buckets, "sig long, node long, pivot long"))
-    named = base.where(F.col("id").isNotNull() & F.col("node").isNotNull())
-    looks = named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max(F.struct("n", "classes")).alias("f"))
-    looks = scratch.stage(looks.select("node", "f.n", "f.classes"))
-
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in pieces(batch):
                 sets = list(shingles(data, offsets, words))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s, FINE) for s in sets], pa.list_(pa.int16()))], ["node", "hashes", "fine"])
+                named_ = batch.column(1).slice(a, b - a).to_numpy()
+                own = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64) == named_  # rows of other texts may have the id, too
+                kept = pa.array([s.view(np.int64) for s, o in zip(sets, own, strict=True) if o], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(named_[own]), kept], ["node", "hashes"])
+
+    base = stage(text.mapInArrow(name, "id long, n long, node long, classes array<short>"), "sets-base")
+    scratch = Scratch(docs.sparkSession, "partenum")  # all but base and the links goes at the end
+    members = scratch.stage(text.mapInArrow(sign, "sig long, node long").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(shared, "sig long, node long"))
+    named = base.where(F.col("id").isNotNull() & F.col("node").isNotNull())
+    looks = named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "n", "classes")).alias("f"))
+    looks = scratch.stage(looks.select("node", "f.id", "f.n", "f.classes"))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """The sets of nodes, each from the document of the least id that has it."""
-        some = scratch.stage(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+    def sets_of(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The sets of the nodes in these columns, each from the document of the least id that has it."""
+        nodes = pairs.select(F.explode(F.array(*columns)).alias("node")).distinct()
+        some = scratch.stage(looks.join(nodes, "node", "left_semi").select("id", "node"))
         few = F.broadcast(some) if some.count() <= FEW_NODES else some
-        return scratch.stage(text.join(few, "id").select("text", "node").mapInArrow(tell, "node long, hashes array<long>, fine array<short>").dropDuplicates(["node"]))
+        return scratch.stage(text.join(few, "id").select("text", "node").mapInArrow(tell, "node long, hashes array<long>").dropDuplicates(["node"]))
 
     def maybe(pairs: DataFrame) -> DataFrame:
         """Pairs that size and sketches allow to link."""
@@ -240,81 +229,46 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         for c in "ab":
             pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("classes").alias(f"c{c}")), c)
-        fits = (100 + percent) * l1("ca", "cb") <= (100 - percent) * (F.col("na") + F.col("nb"))
-        return scratch.stage(pairs.where(fits).drop("na", "nb", "ca", "cb"))
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        pairs = scratch.stage(pairs)
-        small = pairs.count() <= FEW_NODES
-
-        def met(pairs: DataFrame, what: Column) -> DataFrame:
-            for c in "ab":
-                need = pairs.select(F.col(c).alias("node")).distinct()
-                one = sets.join(F.broadcast(need) if small else need, "node", "left_semi").select(F.col("node").alias(c), what.alias(f"h{c}"), F.size("hashes").alias(f"n{c}"))
-                pairs = pairs.join(one, c)
-            return pairs
-
-        near = met(pairs, F.col("fine")).where((100 + percent) * l1("ha", "hb") <= (100 - percent) * (F.col("na") + F.col("nb")))
-        near = scratch.stage(near.select("a", "b"))
+        fits = (100 + percent) * apart_by("ca", "cb") <= (100 - percent) * (F.col("na") + F.col("nb"))
+        return scratch.stage(pairs.where(fits).select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs, "a", "b")
+        for c in "ab":
+            pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")), c)
         both = F.size(F.array_intersect("ha", "hb"))
-        return scratch.stage(met(near, F.col("hashes")).where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"))
-
-    def apart(pairs: DataFrame, links_: DataFrame) -> DataFrame:
-        """Pairs that links do not hold together yet."""
-        label = components(links_)
-        one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        joined = pairs.join(one, "a", "left").join(two, "b", "left")
-        return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    def in_order(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    # Each node with the first node of the bucket, and that of them first with which it shares most buckets.
-    counted = members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    stars = maybe(counted)
-    sets = sets_of(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct())
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
-    edges = verified(best, sets)
-    edges = edges.unionByName(verified(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), edges), sets))
-    # Buckets that are not of one component yet: pairs of the small ones, and the longer signatures for the others' nodes.
-    known = members.select("sig", "node").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("sig", "m")
-    open_buckets = scratch.stage(known.join(mixed, "sig"))
-    crowd = scratch.stage(open_buckets.where(F.col("m") > LARGE).select("node").distinct())
-    sets = sets.unionByName(sets_of(crowd.join(sets, "node", "left_anti")))
-
-    def across(rows: DataFrame) -> DataFrame:
-        one, two = rows.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), rows.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-        return one.join(two, "sig").where("a < b AND la <> lb").select("a", "b")
-
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends_ = batch.column(1).flatten().to_numpy().view(np.uint64), batch.column(1).offsets.to_numpy()
-            ends_ = ends_ - ends_[0]
-            for i in range(batch.num_rows):
-                finer = long_signatures(flat[ends_[i] : ends_[i + 1]], bands)
-                yield pa.RecordBatch.from_arrays([_as_long(finer), batch.column(0).take(pa.array(np.full(len(finer), i)))], ["sig", "node"])
-
-    def labelled(rows: DataFrame, links_: DataFrame) -> DataFrame:
-        """rows of buckets whose nodes are of several components, with the components."""
-        out = rows.join(components(links_), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = out.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        return scratch.stage(out.join(several, "sig"))
-
-    longs = scratch.stage(crowd.join(sets, "node").select("node", "hashes").mapInArrow(longer, "sig long, node long"))
-    tried = in_order(stars)
-    # A few nodes of each bucket against the others, which links most; then all pairs that are still open.
-    some = labelled(longs, edges)
-    heads = some.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("head"), F.col("label").alias("of"))).alias(f"p{r}") for r in range(ORDERS)))
-    each = some.join(heads, "sig").select("node", "label", F.explode(F.array_distinct(F.array(*(f"p{r}" for r in range(ORDERS))))).alias("p")).where("p.of <> label")
-    pairs = each.groupBy(F.col("node").alias("b"), F.col("p.head").alias("a")).agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    second = maybe(in_order(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(verified(second, sets))
-    late = across(open_buckets.where(F.col("m") <= LARGE)).unionByName(across(labelled(longs, edges))).distinct()
-    third = maybe(apart(late.join(tried.unionByName(second), ["a", "b"], "left_anti"), edges))
-    ends = third.select(F.col("a").alias("node")).unionByName(third.select(F.col("b").alias("node"))).distinct()
-    sets = sets.unionByName(sets_of(ends.join(sets, "node", "left_anti")))
-    edges = stage(edges.unionByName(verified(third, sets)), "set-links")
+        return scratch.stage(pairs.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
+
+    # Each node with the pivots of its buckets.
+    of_sig = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    central = members.join(of_sig, "sig").groupBy("node").agg(F.sum("m").alias("c"))
+    pivots = scratch.stage(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("c", "node")).alias("p")).select("sig", F.col("p.node").alias("a")))
+    starred = scratch.stage(members.join(pivots, "sig").where("a <> node").select("sig", "a", F.col("node").alias("b")))
+    edges = verified(maybe(starred.select("a", "b").distinct()))
+    # Of buckets that are not of one component, what each node differs in from the pivot.
+    label = components(edges)
+    of_a, of_b = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    known = starred.join(of_b, "b", "left").withColumn("lb", F.coalesce("lb", "b"))
+    mixed = known.groupBy("sig").agg(F.min("lb").alias("lo"), F.max("lb").alias("hi")).where("lo <> hi").select("sig")
+    open_ = known.join(mixed, "sig").select("a", "b", "lb").distinct()
+    open_ = scratch.stage(open_.join(edges.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
+    sets = sets_of(open_, "a", "b")
+    both = open_.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = both.withColumn("differ", F.concat(F.array_except("hb", "ha"), F.array_except("ha", "hb"))).withColumn("d", F.size("differ"))
+    both = both.withColumn("na", F.size("ha")).withColumn("nb", F.size("hb"))
+    # A partner of a node that is linked with the pivot is not, and so has over (its size + na) * c differences; that of another has d - k at least.
+    c = F.lit(100 - percent) / F.lit(100 + percent)
+    k = F.floor((F.col("nb") + F.floor(100 * F.col("nb") / percent)) * c + 1e-6)
+    length = F.when(F.col("linked"), F.col("d") - F.floor((F.col("d") + (F.col("na") - F.col("nb")) * c) / 2 - 1e-6)).otherwise(k + 1)
+    rows = both.select("a", "b", F.col("lb").alias("label"), "linked", "d", F.col("nb").alias("n"), F.posexplode(F.slice("differ", F.lit(1), F.greatest(F.lit(1), F.least(length, F.col("d"))).cast("int"))).alias("i", "e"))
+    rows = scratch.stage(rows)
+    one = rows.where(~F.col("linked")).select("a", "e", F.col("b").alias("x"), *(F.col(y).alias(f"{y}1") for y in ("label", "d", "n", "i")))
+    two = rows.select("a", "e", F.col("b").alias("y"), "linked", *(F.col(y).alias(f"{y}2") for y in ("label", "d", "n", "i")))
+    most = F.expr(f"((n1 + n2) * {100 - percent}) div {100 + percent}")  # elements in which a linked pair differs
+    common = F.ceil((F.col("d1") + F.col("d2") - most) / 2)  # differences that it has in common; the first of them has so many after it
+    fits = (F.col("label1") != F.col("label2")) & (F.col("linked") | (F.col("x") < F.col("y"))) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.least(F.col("d1") - F.col("i1"), F.col("d2") - F.col("i2")) >= common)
+    met = one.join(two, ["a", "e"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    edges = stage(edges.unionByName(verified(maybe(met))), "set-links")
     scratch.clear()
     return base, edges
 
@@ -344,5 +298,3 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the document of the least id of each group of near copies; texts without words and null ids all stay."""
     gone = linked(docs, id_col, text_col, words, percent).where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
-
-
