@@ -7,7 +7,7 @@ elements, then hash); the strongest part in which a pair agrees is left out by n
 be. Every other part is a signature: sets share one by chance or by a line that many texts have only where a whole part
 of several elements is alike.
 
-Sets that share a signature are a bucket; its most central node is its pivot, with which all others are compared. Of
+Sets that share a signature are a bucket; it has a central node as its pivot, with which all others are compared. Of
 buckets that are not of one component then, the nodes are told apart by how they differ from their pivot: what two sets
 differ from the pivot by differs as the sets do, so a pair that links has many of these differences in common, and one
 of the first few of each (elements that the pivot lacks first). Families of copies of one text, which all share their
@@ -225,11 +225,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     def maybe(pairs: DataFrame) -> DataFrame:
         """Pairs that size and sketches allow to link."""
         for c in "ab":
-            pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")), c)
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        for c in "ab":
-            pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("classes").alias(f"c{c}")), c)
-        fits = (100 + percent) * apart_by("ca", "cb") <= (100 - percent) * (F.col("na") + F.col("nb"))
+            pairs = pairs.join(looks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("classes").alias(f"c{c}")), c)
+        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        fits = sizes & ((100 + percent) * apart_by("ca", "cb") <= (100 - percent) * (F.col("na") + F.col("nb")))
         return scratch.stage(pairs.where(fits).select("a", "b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -239,16 +237,19 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         both = F.size(F.array_intersect("ha", "hb"))
         return scratch.stage(pairs.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
 
-    # Each node with the pivots of its buckets.
+    # A node's hub is the node with which it shares most buckets, of those that are the most central of a bucket; a bucket's pivot is most of its nodes' hub.
     of_sig = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     central = members.join(of_sig, "sig").groupBy("node").agg(F.sum("m").alias("c"))
-    pivots = scratch.stage(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("c", "node")).alias("p")).select("sig", F.col("p.node").alias("a")))
+    middle = scratch.stage(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("c", "node")).alias("p")).select("sig", F.col("p.node").alias("a")))
+    together = members.join(middle, "sig").where("a <> node").groupBy("a", "node").agg(F.count(F.lit(1)).alias("k"))
+    hubs = together.groupBy("node").agg(F.max(F.struct("k", "a")).alias("h")).select("node", F.col("h.a").alias("hub"))
+    votes = members.join(hubs, "node", "left").groupBy("sig", F.coalesce("hub", "node").alias("hub")).agg(F.count(F.lit(1)).alias("m"))
+    pivots = scratch.stage(votes.groupBy("sig").agg(F.max(F.struct("m", "hub")).alias("p")).select("sig", F.col("p.hub").alias("a")))
     starred = scratch.stage(members.join(pivots, "sig").where("a <> node").select("sig", "a", F.col("node").alias("b")))
     edges = verified(maybe(starred.select("a", "b").distinct()))
     # Of buckets that are not of one component, what each node differs in from the pivot.
-    label = components(edges)
-    of_a, of_b = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    known = starred.join(of_b, "b", "left").withColumn("lb", F.coalesce("lb", "b"))
+    label = components(edges).select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    known = starred.join(label, "b", "left").withColumn("lb", F.coalesce("lb", "b"))
     mixed = known.groupBy("sig").agg(F.min("lb").alias("lo"), F.max("lb").alias("hi")).where("lo <> hi").select("sig")
     open_ = known.join(mixed, "sig").select("a", "b", "lb").distinct()
     open_ = scratch.stage(open_.join(edges.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
@@ -298,3 +299,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the document of the least id of each group of near copies; texts without words and null ids all stay."""
     gone = linked(docs, id_col, text_col, words, percent).where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+#: The same in SQL: all pairs that share a shingle, so for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
