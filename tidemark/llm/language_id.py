@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece. A word's probability is the sum over all its segmentations into
 pieces (forward algorithm); a text's is the product over its words. Probabilities are fitted by expectation
-maximisation (forward-backward) on word counts of a bounded sample of labelled documents.
+maximisation (forward-backward) on the words of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.llm._common import stage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Labelled documents per language in the fitting sample, in expectation, and its most frequent words kept.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 30_000
+#: Labelled documents per language in the fitting sample, in expectation.
+SAMPLE_DOCS = 2000
 ROUNDS = 4
 #: Words are cut into parts of so many characters; no piece crosses a cut.
 PART = 24
@@ -39,8 +40,10 @@ _GAP = "\n"
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-case runs of letters, cut into parts of PART characters."""
-    out = [w for w in _WORD.findall(text.lower()) if w.isalpha()] if text else []
+    """Lower-case runs of letters, cut into parts of PART characters. Other characters that Python takes for a word's (as in m²) end a run."""
+    out = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, out)):
+        out = [x for w in out for x in (w,) * w.isalpha() or "".join(c if c.isalpha() else " " for c in w).split()]
     if any(len(w) > PART for w in out):
         out = [w[i : i + PART] for w in out for i in range(0, len(w), PART)]
     return out
@@ -126,23 +129,29 @@ class Model:
     p: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @classmethod
+    def flat(cls, pieces: list[str], langs: list[str]) -> Model:
+        """Every piece is as likely as any other."""
+        p = np.full((len(langs), len(pieces) + 1), 1 / max(1, len(pieces)))
+        p[:, -1] = UNKNOWN
+        return cls(pieces, langs, p)
+
+    def fitted(self, used: np.ndarray) -> Model:
+        """The next round's model: used is how often each language is expected to have used each piece."""
+        used = used.copy()
+        used[:, -1] = 0
+        p = (1 - SMOOTH) * used / np.maximum(used.sum(1, keepdims=True), 1e-300) + SMOOTH * Model.flat(self.pieces, self.langs).p
+        p[:, -1] = UNKNOWN
+        return Model(self.pieces, self.langs, p)
+
     @classmethod
     def fit(cls, pieces: list[str], counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> Model:
-        """counts: by language, how often each word is seen."""
-        lattice, langs = Lattice(pieces), sorted(k for k, v in counts.items() if v)
-        flat = np.full(lattice.n + 1, 1 / lattice.n)
-        flat[-1] = UNKNOWN
-        every = []
-        for lang in langs:
-            some, n = list(counts[lang]), np.fromiter(counts[lang].values(), float, len(counts[lang]))
-            p = flat
-            for _ in range(rounds):
-                used = lattice.expected(some, n, p)
-                used[-1] = 0
-                p = (1 - SMOOTH) * used / max(used.sum(), 1e-300) + SMOOTH * flat
-                p[-1] = UNKNOWN
-            every.append(p)
-        return cls(pieces, langs, np.array(every).reshape(len(langs), lattice.n + 1))
+        """counts: by language, how often each word is seen. All in memory; fit() of this module does the same on Spark."""
+        lattice, model = Lattice(pieces), cls.flat(pieces, sorted(k for k, v in counts.items() if v))
+        for _ in range(rounds):
+            used = [lattice.expected(list(n), np.fromiter(n.values(), float, len(n)), p) for n, p in zip(map(counts.get, model.langs), model.p, strict=True)]
+            model = model.fitted(np.array(used).reshape(model.p.shape))
+        return model
 
 
 class Scorer:
@@ -207,10 +216,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """A model from the labelled documents that aren't held out: whole texts of about sample_docs of each language, chosen by hash.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """A model from the labelled documents that aren't held out: all words of about sample_docs of each language, chosen by hash.
 
-    Collected: one count for each language, and sample_words words of each at most. No labelled documents: a model without languages.
+    Each round's expectation is a Spark job over the words; collected are a count for each language and each piece. No
+    labelled documents: a model without languages.
     """
     lang = F.col(lang_col).cast("string")
     able = docs.where(F.col(id_col).isNotNull() & lang.isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
@@ -221,12 +231,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     near = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < F.element_at(share, lang) * (1 << 30)
     word = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0)))
     counted = able.where(near).select(lang.alias("lang"), word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for r in counted.withColumn("place", place).where(F.col("place") <= sample_words).collect():
-        for w in words(r["word"]):
-            counts[r["lang"]][w] = counts[r["lang"]].get(w, 0) + r["n"]
-    return Model.fit(vocabulary(path), counts)
+    counted = stage(counted.repartition(docs.sparkSession.sparkContext.defaultParallelism), "language-words")  # as bounded as the sample
+    model = Model.flat(vocabulary(path), sorted(r["lang"] for r in counted.select("lang").distinct().collect()))
+    for _ in range(ROUNDS):
+        used = np.zeros_like(model.p)
+        for r in _expected(counted, model).groupBy("lang", "piece").agg(F.sum("used").alias("used")).collect():  # languages x pieces
+            used[r["lang"], r["piece"]] = r["used"]
+        model = model.fitted(used)
+    return model
+
+
+def _expected(counted: DataFrame, model: Model) -> DataFrame:
+    """(lang, piece, used), by places in the model: what the words of each task are expected to have used."""
+    sent = counted.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, used = sent.value, np.zeros(sent.value.p.shape)
+        lattice = Lattice(model.pieces)
+        for batch in batches:
+            counts: dict[str, dict[str, int]] = {}
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = counts.setdefault(lang, {})
+                for w in words(word):
+                    own[w] = own.get(w, 0) + n
+            for lang, own in counts.items():
+                i = model.langs.index(lang)
+                used[i] += lattice.expected(list(own), np.fromiter(own.values(), float, len(own)), model.p[i])
+        i, piece = np.nonzero(used)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(used[i, piece])], ["lang", "piece", "used"])
+
+    return counted.mapInArrow(run, "lang int, piece int, used double")
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -254,7 +288,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """op10's columns for documents."""
+    """op10's columns for documents. An empty table gives no rows; without labelled documents all are und."""
     return predict(docs, fit(docs, path=path)).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
