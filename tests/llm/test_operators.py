@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, partenum, phrase_automata, pii, poisson_mix, prefix_forest, secret_scan, suffix_dedup, url_filter
+from tidemark.llm import decontaminate, language_id, partenum, phrase_automata, pii, poisson_mix, prefix_forest, registry, secret_scan, suffix_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, id long, sig string, n long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -45,8 +45,36 @@ def test_windows_of_hot_anchors(spark, odd_rows, module, monkeypatch):
     from tidemark.llm import _repeats
 
     monkeypatch.setattr(_repeats, "HOT", 1)
-    want = module.brute([(i, t) for i, t, _, _ in odd_rows])
-    assert {r.doc_id: r.n_removed for r in module.digest(table(spark, odd_rows)).collect()} == {i: w[1] for i, w in want.items()}
+    rng = random.Random(8)  # a passage in many different surroundings, some of them in pairs
+    passage = " ".join(rng.choice(WORDS) for _ in range(60))
+    around = [" ".join(f"{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    rows = [(i, t) for i, t, _, _ in odd_rows] + [(20 + i, f"{around[i % 9]} {passage} {around[i % 12]}") for i in range(20)]
+    want = module.brute(rows)
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in module.digest(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert {i: (g[0], g[2]) for i, g in got.items()} == {i: (w[1], w[-1]) for i, w in want.items()}
+
+
+def test_windows_that_end_in_nuls(spark):
+    head, nuls = "abcdefghij" * 6, "\0" * 140
+    rows = [(0, head + nuls), (1, head + nuls), (2, "x" * 150 + head), (3, "y" * 90 + head + "\0" * 60), (4, nuls + head + nuls)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == suffix_dedup.brute(rows) and got[0][1] == 200
+    anchored = [(1, 0, 0, 0, 1, 1, r.encode()) for r in (head + nuls, head, head + nuls)]
+    assert [v.tolist() for v in suffix_dedup.match(anchored)][::2] == [[2], [2]]
+
+
+@pytest.mark.parametrize("name", ["op2_phrase_automata", "op4_suffix_induction", "op5_partenum_join"])
+def test_digests_against_their_sql(spark, name):
+    import duckdb
+
+    where = "/root/testdata/sf0.001/documents.parquet"
+    frame = registry.queries()[name](spark, where.rsplit("/", 1)[0])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{where}')")
+    cursor = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(frame.columns)
+    assert sorted(cursor.fetchall()) == sorted(tuple(r) for r in frame.select(names).collect())
 
 
 def test_repeats_of_rows_and_null_ids(spark):
@@ -167,24 +195,56 @@ def test_nearest(spark):
     rng = np.random.default_rng(0)
     vectors = rng.standard_normal((300, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0] * 7), (304, rows[50][1]), (305, rows[50][1]), (None, rows[3][1]), (10, rows[10][1])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0] * 7), (304, rows[50][1]), (305, rows[50][1]), (None, rows[3][1]), (10, rows[10][1]), (350, [1.0, 2.0] * 6), (351, [1.0, 2.5] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = prefix_forest.digest(frame).collect()
-    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v is not None and i is not None and i not in (301, 302, 303)}
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if v is not None and len(v) == 8 and i is not None and i not in (301, 302, 303)]
     hits = 0
-    for q in range(0, 301, 50):
-        if q not in unit:
-            continue
-        best = sorted((-(unit[q] @ u), i) for i, u in unit.items() if i != q)[:5]
+    for q in range(0, 300, 50):
+        own = dict(unit)[q]
+        best = sorted((-(own @ u), i) for i, u in unit if i != q)[:5]
         mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
         hits += len({i for _, i in best} & set(mine)) / 5
         if q == 50:
             assert mine[:2] == [304, 305]
     assert hits / 6 >= 0.9
+    # another length is searched among its own
+    assert [(r.vec_id, r.rank) for r in got if r.query_id == 350] == [(351, 1)]
     assert prefix_forest.digest(frame.limit(0)).count() == 0
     assert prefix_forest.digest(frame.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_nearest_of_repeated_rows(spark):
+    one, two = [1.0, 0.0, 1.0], [1.0, 1.0, 0.5]
+    frame = spark.createDataFrame([(50, one), (50, one), (50, two), (3, one)], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in prefix_forest.digest(frame).collect() if r.query_id == 50)
+    assert [x for x, _ in got] == [1, 1, 1, 2, 2, 2, 3, 3, 3]  # three queries, each with the other three rows
+    assert sorted(v for x, v in got if x == 1) == [3, 3, 3]
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_nearest_on_the_given_tables(spark, size):
+    frame = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in frame.select("vec_id", "embedding").collect()]
+    ids, unit = np.array([i for i, _ in rows]), np.array([v / np.linalg.norm(v) for _, v in rows])
+    got = {}
+    for r in prefix_forest.digest(frame).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert got.keys() == set(ids[asked].tolist()) and {len(x) for x in got.values()} == {5}
+    hits = 0
+    for q in asked:
+        near = unit @ unit[q]
+        near[q] = -2
+        best = ids[np.argsort(-near)[:5]].tolist()
+        hits += len(set(best) & got[ids[q]].keys())
+        assert all(s == pytest.approx(near[np.flatnonzero(ids == v)[0]], abs=1e-9) for v, s in got[ids[q]].items())
+    assert hits / (5 * len(asked)) >= 0.9
+    forest = prefix_forest.Forest(ids, unit)
+    compared = [len(x) for x in forest.candidates(forest.unit[asked], asked, 5)]
+    assert np.mean(compared) < 0.12 * len(ids)
+
+
 def test_urls(spark):
     urls = [f"http://h{i}.example.{'com' if i % 2 else 'net'}/{'en' if i % 2 else 'de'}/{i}" for i in range(200)] + [None, "", "no scheme", "http://EXAMPLE.com?x#y", "http://a.b/c?d#e"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, label string")
@@ -209,6 +269,25 @@ def test_leaks(spark):
     assert decontaminate.digest(docs, bench.limit(0)).count() == 0 and decontaminate.digest(docs.limit(0), bench).count() == 0
 
 
+def test_letters_beside_other_signs(spark):
+    assert language_id.words("m\u00b2") == ["m"] and language_id.words("x\u00bd hello") == ["x", "hello"] and language_id.words("\u00b2 \u00bd 7") == []
+    assert language_id.words("a1b_c") == ["a", "b", "c"]
+    rows = [(i, "das ist ein haus und " * 5 if i % 2 else "the house is and of " * 5, "de" if i % 2 else "en", "a") for i in range(40)] + [(90, "m\u00b2", None, "a"), (91, "\u00b2 \u00bd", None, "a")]
+    got = {r.doc_id: r.lang_pred for r in language_id.digest(table(spark, rows)).collect()}
+    assert got[90] in ("de", "en") and got[91] == "und"
+
+
+def test_base_spans_against_sql(spark):
+    import duckdb
+
+    where = "/root/testdata/sf0.01/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{where}')")
+    cursor = con.execute(pii.BASE_SQL)
+    names = [c[0] for c in cursor.description]
+    assert sorted(cursor.fetchall()) == sorted(tuple(r) for r in pii.digest(spark.read.parquet(where)).select(names).collect())
+
+
 def test_edit_distance_against_dynamic_programming():
     rng = random.Random(4)
     for _ in range(200):

@@ -16,9 +16,11 @@ PIECE_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors reach")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,10 +51,10 @@ class Scratch:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dig, text): text null as empty; (id, dig) names a row, and equal rows share it. A null id is -1 here, told apart by dig."""
+    """(id, dig, text): text null as empty; (id, dig) names a row, and equal rows share it. A null id is the least long here, before all others, told apart by dig."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"),
         F.xxhash64(text, F.col(id_col).isNull()).alias("dig"),
         F.col(id_col).isNull().alias("no_id"),
         text.alias("text"),

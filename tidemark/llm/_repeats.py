@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import BASE, INVERSE, keyed, mix, pieces, powers, stage
 
-#: Different segments of one anchor beyond which its windows are dealt out one by one, so that no task gets a hot anchor.
+#: Different segments of one anchor beyond which its windows are segments of their own, so that no task gets a hot anchor; they are judged alike.
 HOT = 20_000
 #: Segments that are compared at a time (whole anchors).
 BATCH = 4000
@@ -211,7 +211,12 @@ def find(docs: DataFrame, unit: Unit, match: Callable, id_col: str, text_col: st
     plain = bodies.join(crowded, "gram", "left_anti") if not crowded.isEmpty() else bodies
     judged = plain.repartition("gram").sortWithinPartitions("gram", "name").mapInArrow(compare, runs)
     if not crowded.isEmpty():
-        judged = judged.unionByName(_one_by_one(bodies.join(crowded, "gram"), unit, runs))
+        each, alone = _single(bodies.join(crowded, "gram"), unit)
+        told = alone.repartition("gram").sortWithinPartitions("gram", "name").mapInArrow(compare, runs)
+        told = told.select(F.col("gram").alias("one"), F.col("name").alias("two"), F.col("runs")[0]["v"].alias("v"))
+        run = F.struct(F.col("o").alias("a"), (F.col("o") + 1).alias("b"), F.col("v"))
+        back = each.join(told, ["one", "two"]).groupBy("gram", "name").agg(F.collect_list(run).cast(runs.split("runs ")[1]).alias("runs"))  # of one segment
+        judged = judged.unionByName(back)
     own = segments.where("bytes IS NULL").select("gram", "name", "id", "dig", "lo")
     hits = own.join(judged, ["gram", "name"]).select("id", "dig", "lo", F.explode("runs").alias("r"))
     hit = F.col("r.v") < F.col("id") if unit.smaller else F.col("r.v") > 1
@@ -279,23 +284,25 @@ def _compared(waiting: list[tuple], match: Callable, unit: Unit) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, kind)], ["gram", "name", "runs"])
 
 
-def _one_by_one(bodies: DataFrame, unit: Unit, runs: str) -> DataFrame:
-    """The same for anchors with very many different segments: their windows, named by 128 bits, are summed over the cluster."""
+def _single(bodies: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """Of anchors with very many different segments: their windows (gram, name, o, one, two), named by 128 bits, and each
+    different window once as a body of its own, so that equal ones are summed before they meet in a task."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 data = np.frombuffer(cols["bytes"][i].as_py(), np.uint8)
-                h, _, _, _ = unit.symbols(data, np.array([0, len(data)]))
+                h, _, start, end = unit.symbols(data, np.array([0, len(data)]))
                 one, two = grams(h, unit.window), grams(mix(h ^ _SALT), unit.window)
-                n = len(one)
+                n, raw = len(one), data.tobytes()
                 same = lambda c, n=n, i=i: pa.array(np.full(n, cols[c][i].as_py()))
-                yield pa.RecordBatch.from_arrays([same("gram"), same("name"), pa.array(np.arange(n, dtype=np.int32)), _longs(one), _longs(two), same("low"), same("m")], ["gram", "name", "o", "one", "two", "low", "m"])
-
-    each = stage(bodies.mapInArrow(windows, "gram long, name long, o int, one long, two long, low long, m long"), "repeats-windows")
-    value: Column = F.min("low") if unit.smaller else F.sum("m")
-    summed = each.groupBy("one", "two").agg(value.alias("v"))
-    back = each.select("gram", "name", "o", "one", "two").distinct().join(summed, ["one", "two"])
-    run = F.struct(F.col("o").alias("a"), (F.col("o") + 1).alias("b"), F.col("v"))
-    return back.groupBy("gram", "name").agg(F.collect_list(run).cast(runs.split("runs ")[1]).alias("runs"))
+                held = pa.array([raw[a:b] for a, b in zip(start[:n].tolist(), end[unit.window - 1 :].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([same("gram"), same("name"), pa.array(np.arange(n, dtype=np.int32)), _longs(one), _longs(two), same("low"), same("high"), same("m"), held], ["gram", "name", "o", "one", "two", "low", "high", "m", "bytes"])
+
+    each = bodies.mapInArrow(windows, "gram long, name long, o int, one long, two long, low long, high long, m long, bytes binary")
+    each = stage(each, "repeats-windows")
+    # min() of the bytes, which are the same, as first() would be
+    summed = each.groupBy("one", "two").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m"), F.min("bytes").alias("bytes"))
+    alone = summed.select(F.col("one").alias("gram"), F.col("two").alias("name"), F.lit(0).alias("at"), "low", "high", "m", F.lit(1).alias("windows"), "bytes")
+    return each.select("gram", "name", "o", "one", "two").distinct(), alone

@@ -1,20 +1,22 @@
 """Substring dedup by repeated-phrase automata.
 
-Passages that recur are confirmed shard by shard, a shard holding all stretches of text around some anchors; its
-confirmed phrases are compiled into an Aho-Corasick automaton, and every stretch of every document that can hold one
-of them is streamed through it to locate each occurrence. A phrase is removed where it occurred in an earlier document.
+Shards hold all stretches of text around some anchors, from all documents that have them. In a shard, phrases of 50
+words whose hashes recur in different stretches are compiled into an Aho-Corasick automaton over the shard's words, and
+the stretches of all documents are streamed through it: it tells where each phrase truly occurs, and so the first
+document that has it. Text without a recurring anchor can't hold such a phrase and is not sent to any shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import word_hashes, words_of
-from tidemark.llm._repeats import Unit, find
+from tidemark.llm._common import mix, word_hashes, words_of
+from tidemark.llm._repeats import Unit, find, grams
 
 WINDOW, GRAM = 50, 20
 #: Segments whose phrases share an automaton.
@@ -37,8 +39,12 @@ _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _TO_SPACE = bytes.maketrans(_SPACE, b" " * len(_SPACE))
 
 
+#: Stands for all words that occur once in a shard, which no recurring phrase has.
+_LONE = chr(1)
+
+
 def _letter(n: int) -> str:
-    return chr(n + 1 if n < 0xD000 else n + 0x1000)  # no surrogates
+    return chr(n + 2 if n < 0xD000 else n + 0x1000)  # no surrogates
 
 
 def match(segments: list) -> list[np.ndarray]:
@@ -55,34 +61,36 @@ def match(segments: list) -> list[np.ndarray]:
 
 
 def _located(segments: list) -> list[np.ndarray]:
-    letters: dict[bytes, str] = {}
-    texts = []
-    for s in segments:
-        words = [w for w in s[6].translate(_TO_SPACE).split(b" ") if w]
-        texts.append("".join([letters.get(w) or letters.setdefault(w, _letter(len(letters))) for w in words]))
-    # confirm: phrases of several segments, or of a segment that several documents have
-    seen: dict[str, int] = {}
-    for s, t in zip(segments, texts, strict=True):
-        twice = s[2] < s[3]
-        for i in range(s[5]):
-            phrase = t[i : i + WINDOW]
-            seen[phrase] = 2 if twice else seen.get(phrase, 0) + 1
-    confirmed = [p for p, n in seen.items() if n > 1]
+    words = [[w for w in s[6].translate(_TO_SPACE).split(b" ") if w] for s in segments]
+    often = Counter(w for some in words for w in some)
+    letters = {w: _letter(i) for i, w in enumerate(w for w, n in often.items() if n > 1)}
+    texts = ["".join([letters.get(w, _LONE) for w in some]) for some in words]
+    # confirm: hashes of phrases that recur, of those without a lone word
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    hashes, places = [], []
+    for i, (s, c) in enumerate(zip(segments, codes, strict=True)):
+        h = grams(mix(c.astype(np.uint64)), WINDOW)[: s[5]]
+        lone = np.cumsum(np.r_[0, c == 1])
+        whole = np.flatnonzero(lone[WINDOW : WINDOW + len(h)] == lone[: len(h)])
+        hashes.append(h[whole])
+        places.append(np.stack([np.full(len(whole), i), whole], 1))
+    _, first_of, times = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+    recurring = np.concatenate(places)[first_of[times > 1]].tolist()
     values = [np.full(s[5], s[2], np.int64) for s in segments]
-    if not confirmed:
+    if not recurring:
         return values
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for n, p in enumerate(confirmed):
-        automaton.add_word(p, n)
+    for n, (i, a) in enumerate(recurring):
+        automaton.add_word(texts[i][a : a + WINDOW], n)
     automaton.make_automaton()
-    first = np.full(len(confirmed), np.iinfo(np.int64).max)
-    places = []
+    first = np.full(len(recurring), np.iinfo(np.int64).max)
+    met = []
     for s, t in zip(segments, texts, strict=True):
         found = np.array([(end - WINDOW + 1, n) for end, n in automaton.iter(t)], np.int64).reshape(-1, 2)
         found = found[found[:, 0] < s[5]]
-        places.append(found)
+        met.append(found)
         first[found[:, 1]] = np.minimum(first[found[:, 1]], s[2])
-    for v, found in zip(values, places, strict=True):
+    for v, found in zip(values, met, strict=True):
         v[found[:, 0]] = first[found[:, 1]]
     return values
 
@@ -91,7 +99,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n, removed, spans, sha) per row of docs: words, words removed, runs of them, SHA-256 of the kept words.
 
     A word goes if a window of 50 words over it also starts in a row with a smaller id. Null texts have no words.
-    Repeated rows don't remove each other, as their ids are equal; a null id is before all others (-1).
+    Repeated rows don't remove each other, as their ids are equal; a null id is before all others.
     """
     return find(docs, UNIT, match, id_col, text_col)
 
@@ -101,6 +109,19 @@ def digest(docs: DataFrame) -> DataFrame:
     r = repeats(docs)
     return r.select(r.id.alias("doc_id"), r.n.alias("n_words"), r.removed.alias("n_removed"), r.sha.alias("kept_sha256"), r.spans.alias("n_spans"))
 
+#: The same in SQL: the hash of every window, so for small tables.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM k) WHERE m < doc_id),
+b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50)::INT, 1) AS new FROM g)),
+o AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM b GROUP BY doc_id, run),
+c AS (SELECT doc_id, list(x ORDER BY x) AS gone, any_value(m) AS m FROM (SELECT doc_id, unnest(range(a, z)) AS x, count(*) OVER (PARTITION BY doc_id) AS m FROM o) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS m FROM o GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x))) END, ' ')) AS kept_sha256, coalesce(m.m, 0)::BIGINT AS n_spans
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 
 def brute(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
     """By id: words, removed, sha; for tests."""

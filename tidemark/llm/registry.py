@@ -31,6 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_ownership": secret_scan.ORACLE_SQL,
-        "op3_prefix_forest": prefix_forest.ORACLE_SQL,
+        "op2_phrase_automata": phrase_automata.ORACLE_SQL,
+        "op4_suffix_induction": suffix_dedup.ORACLE_SQL,
+        "op5_partenum_join": partenum.ORACLE_SQL,
         "op8_poisson_mix": poisson_mix.ORACLE_SQL,
     }

@@ -1,10 +1,14 @@
-"""Suffix-array dedup by external sorting and induction.
+"""Suffix-array dedup by sorting sampled suffixes and inducing the others.
 
-Sorted are the suffixes at anchors (content-defined places, as the places that recursive induction names first): Spark
-sorts their tuples externally, so that an anchor's suffixes come together however large the shard. Their order with the
-common-prefix value of neighbours, and the order of what stands before them with its common-suffix value, induce for
-every suffix in between the class of its first 200 bytes: of a suffix that starts o bytes before its anchor, o bytes
-are before the anchor and the rest after it.
+Sampled are the suffixes at anchors (content-defined places). Shards are dealt by anchor, and Spark's external sort,
+which spills to disk, brings an anchor's suffixes together; batches of whole anchors are then put in the order of their
+next 200 bytes, with the common-prefix value of neighbours, and so are the bytes that stand before the anchors, read
+backwards. Both orders induce for every suffix in between the class of its first 200 bytes: of a suffix that starts o
+bytes before its anchor, o bytes are before the anchor and the rest after it.
+
+Where this departs from external induced sorting: one level of samples in place of a recursion, and Spark's sort in
+place of priority queues of its own. The order of all suffixes is never made: its tuples alone would take some 24 bytes
+of disk for each byte of text.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ def _ordered(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each row in the sorted order, and by rank the bytes that a row has in common with the one before."""
     n = len(rows)
     table = np.frombuffer(b"".join(r[:width].ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
-    order = np.argsort(table.view(f"S{width}").ravel(), kind="stable") if width else np.arange(n)
-    sorted_rows, sizes = table[order], np.fromiter((min(len(r), width) for r in rows), np.int64, n)[order]
+    sizes = np.fromiter((min(len(r), width) for r in rows), np.int64, n)
+    # Rows that the padding makes equal differ in their length: the shorter one comes first.
+    order = np.lexsort((sizes, table.view(f"S{width}").ravel())) if width else np.arange(n)
+    sorted_rows, sizes = table[order], sizes[order]
     common = np.zeros(n, np.int64)
     if n > 1 and width:
         differ = sorted_rows[1:] != sorted_rows[:-1]
@@ -83,6 +89,18 @@ def digest(docs: DataFrame) -> DataFrame:
     r = repeats(docs)
     return r.select(r.id.alias("doc_id"), r.n.alias("n_bytes"), r.removed.alias("n_removed"), r.spans.alias("n_spans"), r.sha.alias("kept_sha256"))
 
+#: The same in SQL: the hash of every window, so for small tables.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200)::INT, 1) AS new FROM g)),
+o AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM b GROUP BY doc_id, run),
+q AS (SELECT o.doc_id, a, z, h, coalesce(lag(z) OVER (PARTITION BY o.doc_id ORDER BY a), 0) AS before FROM o JOIN d USING (doc_id)),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS gone, count(*) AS m, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM q GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(m, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+
 
 def brute(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, str]]:
     """By id: bytes, removed, spans, sha; for tests."""
