@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the SQL does a part of it, against brute force on the smallest tables."""
+"""Queries over every label and lag, against brute force on the smallest tables."""
 
 from collections import defaultdict
 
@@ -53,7 +53,7 @@ def statistics(hourly):
 
 
 def test_statistics_of_every_hourly_label(spark, statistics):
-    got = found(spark, "w6_a8_window_statistics_hourly", "channel", "window")
+    got = found(spark, "w6_a8_window_statistics", "channel", "window")
     assert got.keys() == statistics.keys()
     for key, want in statistics.items():
         for n, w in zip(features.STATISTICS, want, strict=True):
@@ -61,7 +61,7 @@ def test_statistics_of_every_hourly_label(spark, statistics):
 
 
 def test_vectors_of_every_hourly_label(spark, hourly, statistics):
-    got = found(spark, "a9_feature_vector_hourly")
+    got = found(spark, "a9_feature_vector")
     known = defaultdict(int)
     for (k, t, _, _), s in statistics.items():
         known[k, t] += sum(x is not None for x in s)
@@ -75,9 +75,9 @@ def test_vectors_of_every_hourly_label(spark, hourly, statistics):
 def test_prefixes_of_every_hourly_label(spark, hourly):
     rows, labels = hourly
     want = {(k, t): [r.hours for r in rows[k] if r.hours < t + EPS] for k, t, _ in labels}
-    got = found(spark, "j13_prefix_rows_hourly")
+    got = found(spark, "j13_prefix_rows")
     assert {k: (r.n, r["last"]) for k, r in got.items()} == {k: (len(h), h[-1]) for k, h in want.items() if h}
-    got = found(spark, "b1_j14_prefix_samples_hourly")
+    got = found(spark, "b1_j14_prefix_samples")
     grid = defaultdict(dict)
     for r in series.grid("previous")(spark, DIR).collect():
         grid[r.SUBJECT_ID, r.ICUSTAY_ID][r.bins] = r.click
@@ -95,6 +95,6 @@ def test_every_lag_of_the_autocorrelation(spark):
     for s, v in values.items():
         v = np.array(v)
         want |= {(s, lag): (v[lag:] * v[: len(v) - lag]).sum() / (v * v).sum() for lag in range(min(101, len(v)))}
-    got = {(r.SUBJECT_ID, r.lag): r.r for r in queries()["a17_autocorrelation_100_lags"](spark, DIR).collect()}
+    got = {(r.SUBJECT_ID, r.lag): r.r for r in queries()["a17_autocorrelation"](spark, DIR).collect()}
     assert got.keys() == want.keys() and max(lag for _, lag in got) > 5
     assert all(r == pytest.approx(want[k], abs=1e-6) for k, r in got.items())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,14 +130,8 @@ def replicated(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.target_replication(weighed, _task(spark, d, "IHM").y)
 
 
-def _los(spark: SparkSession, d: str, hourly: bool) -> DataFrame:
-    """Hourly labels; or those at whole days alone, as far as the SQL's join of labels and events goes."""
+def prefix(spark: SparkSession, d: str) -> DataFrame:
     y = _task(spark, d, "LOS").y
-    return y if hourly else y.where("t % 24 = 0")
-
-
-def prefix(spark: SparkSession, d: str, hourly: bool = False) -> DataFrame:
-    y = _los(spark, d, hourly)
     return timeseries.prefix_rows(P.wide(spark, d), y).groupBy(*KEYS, "t").agg(F.count(F.lit(1)).alias("n"), F.max("hours").alias("last"))
 
 
@@ -148,16 +140,16 @@ def at_time(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.rows_at(P.wide(spark, d), y).select(*KEYS, "t", "y", *P.CHANNELS)
 
 
-def window_statistics(spark: SparkSession, d: str, hourly: bool = False) -> DataFrame:
-    """Six statistics of seven sub-windows of each channel before each daily or hourly label."""
-    y = _los(spark, d, hourly)
+def window_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Six statistics of seven sub-windows of each channel before each hourly label."""
+    y = _task(spark, d, "LOS").y
     told = features.windowed(P.wide(spark, d), y, P.CHANNELS)
     each = told.select(*KEYS, "t", "channel", F.posexplode("stats").alias("window", "s"))
     return each.select(*KEYS, "t", "channel", "window", *((F.round(f"s.{n}", 6) + 0.0).alias(n) for n in features.STATISTICS))
 
 
 _WINDOWS = ", ".join(f"({i}, '{p}', {n})" for i, (p, n) in enumerate(features.SUB_WINDOWS))
-_LABELS = _hourly("los", "t > 4 AND t >= first AND t % 24 = 0", "los - t")
+_LABELS = _hourly("los", "t > 4 AND t >= first", "los - t")
 _STATS = f"""{_T}, {_F}, y AS ({_LABELS}), l AS ({" UNION ALL ".join(f"SELECT SUBJECT_ID, ICUSTAY_ID, hours, '{c}' AS channel, {c} AS v FROM w WHERE {c} IS NOT NULL" for c in P.CHANNELS)}),
 pr AS (SELECT y.SUBJECT_ID, y.ICUSTAY_ID, t, channel, hours, v, min(hours) OVER k AS lo, max(hours) OVER k AS hi FROM y JOIN l USING (SUBJECT_ID, ICUSTAY_ID) WHERE hours < t + 1e-6::DOUBLE WINDOW k AS (PARTITION BY y.SUBJECT_ID, y.ICUSTAY_ID, t, channel)),
 sw AS (SELECT *, CASE part WHEN 'first' THEN lo ELSE hi - (hi - lo) * (pc / 100.0::DOUBLE) END AS a, CASE part WHEN 'first' THEN lo + (hi - lo) * (pc / 100.0::DOUBLE) ELSE hi END AS b FROM pr, (VALUES {_WINDOWS}) z(wd, part, pc)),
@@ -166,9 +158,9 @@ STATS_SQL = f"""{_STATS} SELECT SUBJECT_ID, ICUSTAY_ID, t, channel, "window", ro
   round(CASE WHEN n > 1 AND mi <> ma THEN (m3 - 3 * me * m2 + 2 * me * me * me) / pow(sd, 3) END, 6) + 0.0::DOUBLE AS skew, n::DOUBLE AS len FROM st"""
 
 
-def vector(spark: SparkSession, d: str, hourly: bool = False) -> DataFrame:
-    """The feature vector of each daily or hourly label: how many features are known, and the first channel's mean and length."""
-    y = _los(spark, d, hourly)
+def vector(spark: SparkSession, d: str) -> DataFrame:
+    """The feature vector of each hourly label: how many features are known, and the first channel's mean and length."""
+    y = _task(spark, d, "LOS").y
     x = features.engineered(P.wide(spark, d), y, P.CHANNELS)
     return x.select(*KEYS, "t", F.size("x").alias("n"), F.size(F.filter("x", lambda v: v.isNotNull())).alias("known"), F.round(F.col("x")[0].cast("double"), 3).alias("first_min"), F.col("x")[5].cast("int").alias("first_len"))
 
@@ -203,8 +195,8 @@ o AS (SELECT *, (row_number() OVER (ORDER BY ('0x' || substr(md5('42|' || SUBJEC
 SELECT batch, count(*) AS size, max(n) AS longest, sum(n) AS steps FROM o GROUP BY 1"""
 
 
-def prefix_samples(spark: SparkSession, d: str, hourly: bool = False) -> DataFrame:
-    y = _los(spark, d, hourly).withColumn("t", F.col("t") / 24)
+def prefix_samples(spark: SparkSession, d: str) -> DataFrame:
+    y = _task(spark, d, "LOS").y.withColumn("t", F.col("t") / 24)
     out = samples.prefix_samples(timeseries.imputed(_grid(spark, d), NORMAL), y, P.CHANNELS)
     return out.select(*KEYS, "t", "n", "y", F.round(F.element_at("x", -1)[0].cast("double"), 3).alias("click"))
 
@@ -217,7 +209,7 @@ def running_mean(spark: SparkSession, d: str) -> DataFrame:
     return stats.running_mean(P.events(spark, d), "VALUE", ["SUBJECT_ID"], "EVENT_ID").select("EVENT_ID", F.round("running_mean", 10).alias("running_mean"))
 
 
-def autocorrelation(spark: SparkSession, d: str, max_lag: int = 5) -> DataFrame:
+def autocorrelation(spark: SparkSession, d: str, max_lag: int = 100) -> DataFrame:
     return stats.autocorrelation(P.events(spark, d), "VALUE", ["SUBJECT_ID"], "EVENT_ID", max_lag).select("SUBJECT_ID", "lag", F.round("r", 6).alias("r"))
 
 
@@ -275,16 +267,9 @@ ENTRIES = {
       y AS (SELECT SUBJECT_ID, ICUSTAY_ID, t / 24 AS t, y FROM ({_LABELS})), im AS (SELECT SUBJECT_ID, ICUSTAY_ID, bins, coalesce(last_value(click IGNORE NULLS) OVER (PARTITION BY SUBJECT_ID, ICUSTAY_ID ORDER BY bins ROWS UNBOUNDED PRECEDING), 1.0::DOUBLE) AS click FROM g)
       SELECT SUBJECT_ID, ICUSTAY_ID, t, count(*) AS n, y, round(arg_max(click, bins)::FLOAT::DOUBLE, 3) AS click FROM y JOIN im USING (SUBJECT_ID, ICUSTAY_ID) WHERE bins <= t GROUP BY ALL"""),
     "b3_batch_count": (batch_count, "SELECT count(*) // 64 AS batches FROM orders"),
-    # Every hourly label: no SQL, tests hold them against brute force.
-    "w6_a8_window_statistics_hourly": (partial(window_statistics, hourly=True), None),
-    "a9_feature_vector_hourly": (partial(vector, hourly=True), None),
-    "j13_prefix_rows_hourly": (partial(prefix, hourly=True), None),
-    "b1_j14_prefix_samples_hourly": (partial(prefix_samples, hourly=True), None),
     "a18_running_mean": (running_mean, "SELECT event_id AS EVENT_ID, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 10) AS running_mean FROM events"),
     "a17_autocorrelation": (autocorrelation, """WITH n AS (SELECT user_id AS s, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), q AS (SELECT s, sum(v * v) AS q FROM n GROUP BY 1)
-      SELECT a.s AS SUBJECT_ID, lag, round(sum(a.v * b.v) / any_value(q), 6) AS r FROM n a, (SELECT unnest(range(0, 6))::INT AS lag) JOIN n b ON a.s = b.s AND a.i = b.i + lag JOIN q ON q.s = a.s GROUP BY ALL"""),
-    # All lags of the operator: no SQL, a test holds it against brute force.
-    "a17_autocorrelation_100_lags": (partial(autocorrelation, max_lag=100), None),
+      SELECT a.s AS SUBJECT_ID, lag, round(sum(a.v * b.v) / any_value(q), 6) AS r FROM n a, (SELECT unnest(range(0, 101))::INT AS lag) JOIN n b ON a.s = b.s AND a.i = b.i + lag JOIN q ON q.s = a.s GROUP BY ALL"""),
     "a15_correlations": (correlations, " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in _PAIRS)),
     "a16_histogram": (histogram, f"{_HIST('l_quantity')} UNION ALL {_HIST('l_discount')}"),
     "a20_column_kinds": (kinds, "SELECT unnest(['c_acctbal', 'c_name', 'nothing']) AS name, unnest([count(c_acctbal) = 0, count(c_name) = 0, true]) AS all_null, unnest([true, count(try_cast(c_name AS DOUBLE)) = count(c_name), true]) AS numeric FROM customer"),

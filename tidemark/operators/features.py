@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +39,6 @@ def sub_window(lo: Column, hi: Column, part: str, percent: int) -> tuple[Column,
     return (lo, lo + share) if part == "first" else (hi - share, hi)
 
 
-def moments(values: Column) -> Column:
-    """A8 of an array: min, max, mean, population deviation, biased skew (null for constants and single values), length; all null if empty."""
-    n = F.size(values).cast("double")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total(values) / F.nullif(n, F.lit(0.0))
-
-    def told(m: Column) -> Column:
-        m2 = total(F.transform(values, lambda x: (x - m) * (x - m))) / F.nullif(n, F.lit(0.0))
-        m3 = total(F.transform(values, lambda x: (x - m) * (x - m) * (x - m))) / F.nullif(n, F.lit(0.0))
-        constant = F.array_min(values) == F.array_max(values)
-        return F.struct(
-            F.array_min(values).alias("min"), F.array_max(values).alias("max"), m.alias("mean"), F.sqrt(m2).alias("std"),
-            F.when((n > 1) & ~constant, m3 / F.pow(m2, F.lit(1.5))).alias("skew"), F.nullif(n, F.lit(0.0)).alias("len"),
-        )
-
-    # The mean is bound once, as an array of one.
-    return F.element_at(F.transform(F.array(mean), told), 1)
-
-
 def statistics(rows: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     """A8 as an aggregate over groups of rows."""
     c = F.col(value)
@@ -66,23 +49,98 @@ def statistics(rows: DataFrame, by: Sequence[str], value: str = "v") -> DataFram
     )
 
 
-def windowed(series: DataFrame, labels: DataFrame, values: Sequence[str], by: Sequence[str] = KEYS, windows: Sequence[tuple[str, int]] = SUB_WINDOWS, time: str = "hours", t: str = "t") -> DataFrame:
-    """(by, t, channel, stats), stats an array of a struct for each sub-window of what precedes the label.
+def extremes(v: np.ndarray) -> list[np.ndarray]:
+    """Minima of 1, 2, 4 ... values from each place on, so that any range is covered by two of them."""
+    out = [v]
+    while 2 << (len(out) - 1) <= len(v):
+        half = 1 << (len(out) - 1)
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
+    return out
+
 
-    A channel of a stay is one sorted array, and each label looks into it: rows grow with the labels, not with labels
-    times events. The array is bounded by one stay.
+def least(tables: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum of the values from a to b (exclusive, above a)."""
+    level = np.frexp(b - a)[1] - 1
+    out = np.empty(len(a))
+    for i, t in enumerate(tables):
+        at = np.flatnonzero(level == i)
+        out[at] = np.minimum(t[a[at]], t[b[at] - (1 << i)])
+    return out
+
+
+def looked_up(h: np.ndarray, v: np.ndarray, ts: np.ndarray, windows: Sequence[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a channel's values v at sorted hours h: the labels of ts that have any before them, and their statistics, labels x windows x six.
+
+    A window is a range of places, found by binary search; sums are differences of running sums of the centred values.
     """
-    seen = melt(series, values, by, time).groupBy(*by, "channel").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("h"), "v"))).alias("_r"))
-    before = labels.select(*by, t).distinct().join(seen, list(by)).withColumn("_p", F.filter("_r", lambda x: x["h"] < F.col(t) + EPS)).where(F.size("_p") > 0)
-    lo, hi = F.col("_p")[0]["h"], F.element_at("_p", -1)["h"]
+    before = np.searchsorted(h, ts + EPS, "left")
+    some = np.flatnonzero(before)
+    before = before[some]
+    lo, hi = h[0], h[before - 1]
+    edges = []
+    for part, percent in windows:
+        share = (hi - lo) * (percent / 100)
+        a, b = (np.broadcast_to(lo, hi.shape), lo + share) if part == "first" else (hi - share, hi)
+        edges.append((np.searchsorted(h, a - EPS, "right"), np.minimum(np.searchsorted(h, b + EPS, "left"), before)))
+    first, end = (np.stack([e[i] for e in edges], 1).ravel() for i in (0, 1))
+    n, centre = (end - first).astype(float), v.mean()
+    sums = [np.r_[0.0, np.cumsum((v - centre) ** p)] for p in (1, 2, 3)]
+    m1, m2, m3 = ((x[end] - x[first]) / n for x in sums)
+    low, high = least(extremes(v), first, end), -least(extremes(-v), first, end)
+    constant = low == high
+    second, third = np.maximum(m2 - m1 * m1, 0.0), m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
+    # Differences of running sums lose digits where a window is narrow; there, and in short ones, values are summed anew.
+    anew = np.flatnonzero(~constant & ((n <= 8) | (second < 1e-4 * np.square(v - centre).max())))
+    if len(anew):
+        size = (end - first)[anew]
+        starts = np.cumsum(size) - size
+        some_v = v[np.repeat(first[anew] - starts, size) + np.arange(size.sum())]
+        mean = np.add.reduceat(some_v, starts) / size
+        off = some_v - np.repeat(mean, size)
+        m1[anew], second[anew], third[anew] = mean - centre, np.add.reduceat(off * off, starts) / size, np.add.reduceat(off**3, starts) / size
+    spread = np.where(constant, 0.0, np.sqrt(second))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        skew = np.where(constant, np.nan, third / spread**3)
+    return some, np.stack([low, high, np.where(constant, low, centre + m1), spread, skew, n], 1)
 
-    def of(part: str, percent: int) -> Column:
-        a, b = sub_window(F.col("_lo"), F.col("_hi"), part, percent)
-        picked = F.filter("_p", lambda x: (x["h"] < b + EPS) & (x["h"] > a - EPS))
-        return moments(F.transform(picked, lambda x: x["v"]))
 
-    bounded = before.withColumn("_lo", lo).withColumn("_hi", hi)
-    return bounded.select(*by, t, "channel", F.array(*(of(*w) for w in windows)).alias("stats"))
+def windowed(series: DataFrame, labels: DataFrame, values: Sequence[str], by: Sequence[str] = KEYS, windows: Sequence[tuple[str, int]] = SUB_WINDOWS, time: str = "hours", t: str = "t") -> DataFrame:
+    """(by, t, channel, stats), stats an array of a struct for each sub-window of what precedes the label.
+
+    A channel of a stay is one sorted array, and all labels of the stay look into it by binary search: the work grows
+    with the labels, not with labels times events. What meets in a task's memory is bounded by one stay. A label
+    without known values before it has no row for that channel; skew is null for constants and single values.
+    """
+    seen = melt(series.where(F.col(time).isNotNull()), values, by, time).groupBy(*by, "channel").agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("h"), "v"))).alias("_r"))
+    seen = seen.select(*by, "channel", F.col("_r.h").alias("_h"), F.col("_r.v").alias("_v"))
+    asked = labels.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("_t"))
+    keys = [*by, "channel"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = {c: batch.column(batch.schema.get_field_index(c)) for c in ("_h", "_v", "_t")}
+            ends = {c: x.offsets.to_numpy() - x.offsets[0].as_py() for c, x in flat.items()}
+            flat = {c: x.flatten() for c, x in flat.items()}
+            plain = {c: x.cast(pa.float64()).to_numpy() for c, x in flat.items()}
+            row, which, told = [], [], []
+            for i in range(batch.num_rows):
+                h, v, ts = (plain[c][ends[c][i] : ends[c][i + 1]] for c in ("_h", "_v", "_t"))
+                some, stats = looked_up(h, v, ts, windows)
+                row.append(np.full(len(some), i))
+                which.append(ends["_t"][i] + some)
+                told.append(stats)
+            if not row:
+                continue
+            row, which, told = np.concatenate(row), np.concatenate(which), np.concatenate(told)
+            columns = [pa.array(told[:, j], mask=np.isnan(told[:, j]) if n == "skew" else None) for j, n in enumerate(STATISTICS)]
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * len(windows), pa.int32()), pa.StructArray.from_arrays(columns, STATISTICS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row)) for j in range(len(keys))), flat["_t"].take(pa.array(which)), stats], [*keys, t, "stats"])
+
+    rows = seen.join(asked, list(by)).select(*keys, "_h", "_v", "_t")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    stat = ", ".join(f"`{n}`: double" for n in STATISTICS)
+    out = rows.mapInArrow(look, f"{kinds}, `{t}` {labels.schema[t].dataType.simpleString()}, stats array<struct<{stat}>>")
+    return out.select(*by, t, "channel", "stats")
 
 
 def engineered(series: DataFrame, labels: DataFrame, values: Sequence[str] = tuple(channels.CHANNELS), by: Sequence[str] = KEYS, windows: Sequence[tuple[str, int]] = SUB_WINDOWS, time: str = "hours", t: str = "t") -> DataFrame:

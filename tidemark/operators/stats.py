@@ -39,11 +39,12 @@ def histogram(rows: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFr
 
 def autocorrelation(series: DataFrame, value: str, by: Sequence[str], order: str, max_lag: int = 100) -> DataFrame:
     """(by, lag, r): sum of x times x lagged, over the sum of squares (not centred)."""
-    numbered = series.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("i"))
-    shifted = numbered.select(*by, F.col("v").alias("w"), "i", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("i", F.col("i") + F.col("lag"))
-    total = numbered.groupBy(*by).agg(F.sum(F.col("v") * F.col("v")).alias("_q"))
-    products = numbered.join(shifted, [*by, "i"]).groupBy(*by, "lag").agg(F.sum(F.col("v") * F.col("w")).alias("_s"))
-    return products.join(total, list(by)).select(*by, "lag", (F.col("_s") / F.nullif(F.col("_q"), F.lit(0.0))).alias("r"))
+    w, v = Window.partitionBy(*by).orderBy(order), F.col("v")
+    known = series.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("v"))
+    products = known.select(*by, (v * v).alias("_q"), *((v * F.lag(v, i).over(w)).alias(f"_{i}") for i in range(1, max_lag + 1)))
+    sums = products.groupBy(*by).agg(F.sum("_q").alias("_q"), *(F.sum(f"_{i}").alias(f"_{i}") for i in range(1, max_lag + 1)))
+    each = sums.select(*by, "_q", F.posexplode(F.array("_q", *(f"_{i}" for i in range(1, max_lag + 1)))).alias("lag", "_s"))
+    return each.where(F.col("_s").isNotNull()).select(*by, "lag", (F.col("_s") / F.nullif(F.col("_q"), F.lit(0.0))).alias("r"))
 
 
 def running_mean(series: DataFrame, value: str, by: Sequence[str], order: str) -> DataFrame:
