@@ -39,6 +39,43 @@ def test_discretized_run(spark, source, tmp_path):
     assert sorted((r.SUBJECT_ID, r.y) for r in out["y"].collect()) == [(1, 0), (2, 1)]
 
 
+def test_two_tasks_share_the_extraction(spark, source, tmp_path):
+    run = lambda **k: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), **k)
+    run(task="IHM", preprocess=True)
+    got = run(task="LOS", preprocess=True)
+    alone = pipeline.load_data(spark, str(source), str(tmp_path / "alone"), DEFINITIONS, str(source / "varmap.csv"), task="LOS", preprocess=True)
+    for n in ("X", "y"):
+        assert sorted(map(str, got[n].collect())) == sorted(map(str, alone[n].collect()))
+    extracted = run()
+    assert extracted["history"].count() == 2 and extracted["history"].select("ICUSTAY_ID").distinct().count() == 2
+    one, two = (run(task="LOS", preprocess=True, discretize=True, time_step_size=t)["X"] for t in (1.0, 2.0))
+    assert one.count() > two.count() > 0
+
+
+@pytest.mark.parametrize("ends_at", [5, 8])
+def test_a_run_that_broke_off_is_done_anew(spark, source, tmp_path, monkeypatch, ends_at):
+    """The ends_at-th write fails, once in the middle of a batch and once where only _done was left to write."""
+    from pyspark.sql import DataFrameWriter
+
+    run = lambda: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), task="LOS", preprocess=True)
+    write, left = DataFrameWriter.parquet, [ends_at]
+
+    def failing(self, path, *a, **k):
+        left[0] -= 1
+        if not left[0]:
+            raise OSError("lost")
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", failing)
+    with pytest.raises(OSError, match="lost"):
+        run()
+    monkeypatch.undo()
+    got = run()
+    alone = pipeline.load_data(spark, str(source), str(tmp_path / "alone"), DEFINITIONS, str(source / "varmap.csv"), task="LOS", preprocess=True)
+    for n in ("X", "y"):
+        assert sorted(map(str, got[n].collect())) == sorted(map(str, alone[n].collect()))
+
+
 @pytest.mark.parametrize("bad", [{"subject_ids": [1], "num_subjects": 1}, {"discretize": True}, {"task": "X"}, {"engineer": True, "task": "MULTI"}])
 def test_bad_arguments(spark, source, tmp_path, bad):
     with pytest.raises(ValueError):

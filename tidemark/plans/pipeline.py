@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +28,6 @@ def check_inputs(storage: str | None, subject_ids: Sequence[int] | None, num_sub
         raise ValueError("a storage folder is needed")
 
 
-def done_subjects(spark: SparkSession, folder: str, settings: str, key: str = "SUBJECT_ID") -> DataFrame:
-    """Subjects that were processed with the same settings."""
-    try:
-        return spark.read.parquet(f"{folder}/state").where(F.col("settings") == settings).select(key).distinct()
-    except AnalysisException:
-        return spark.createDataFrame([], f"{key} int")
-
-
 def extract_all(spark: SparkSession, source: str, definitions: Mapping[str, Mapping], varmap_path: str) -> dict[str, DataFrame]:
     """The extracted tables: history, info, diagnoses, events, series, episodic."""
     clinical, admission_info = raw.read_admissions(spark, source)
@@ -55,35 +46,41 @@ def extract_all(spark: SparkSession, source: str, definitions: Mapping[str, Mapp
 
 
 def load_data(spark: SparkSession, source: str, storage: str, definitions: Mapping[str, Mapping], varmap_path: str, subject_ids: Sequence[int] | None = None, num_subjects: int | None = None, time_step_size: float = 1.0, impute_strategy: str = "previous", start_at_zero: bool = True, deep_supervision: bool = False, preprocess: bool = False, engineer: bool = False, discretize: bool = False, task: str | None = None) -> dict[str, DataFrame]:
-    """Runs the stages asked for and returns the tables of the last one; a second call does only new subjects."""
+    """Runs the stages asked for and returns the tables of the last one.
+
+    Every stage has a folder for its own settings, and takes from the one before only the subjects that it doesn't hold
+    yet (R4): extraction is shared by all tasks, samples by all ways to discretize or engineer them.
+    """
     check_inputs(storage, subject_ids, num_subjects, discretize, engineer, preprocess, task)
-    settings = split.fingerprint(task=task, step=time_step_size, strategy=impute_strategy, zero=start_at_zero, deep=deep_supervision, engineer=engineer, discretize=discretize)
     tables = extract_all(spark, source, definitions, varmap_path)
     able = extract.processable(tables["history"], START_HOURS.get(task) if task else None)
     if subject_ids is not None:
         able = able.where(F.col("SUBJECT_ID").isin(*subject_ids))
     elif num_subjects is not None:
         able = extract.first_with_samples(able, tables["episodic"], num_subjects)
-    open_ = able.join(done_subjects(spark, storage, settings), "SUBJECT_ID", "left_anti")
-    chosen = {n: t.join(open_, "SUBJECT_ID", "left_semi") for n, t in tables.items()}
-    stores.write_by_subject(chosen, f"{storage}/extracted", append=True)
-    stage = "extracted"
-    read = lambda n, s="extracted": stores.read_subjects(spark, f"{storage}/{s}", n)
-    if task:
-        groups = sorted(n for n, d in definitions.items() if d["use_in_benchmark"])
-        made = tasks.task_set(task, read("series"), read("episodic").select(*timeseries.KEYS, "AGE", "LOS", "MORTALITY"), read("history"), read("diagnoses"), groups, timeseries.KEYS)
-        stage = f"processed/{task}"
-        stores.write_by_subject({"X": made.x, "y": made.y}, f"{storage}/{stage}")
-        x, y = read("X", stage), read("y", stage)
-        if discretize:
-            out = {"X": timeseries.discretize(x, time_step_size, impute_strategy, start_at_zero), "y": y}
-            if deep_supervision:
-                out["yds"] = timeseries.deep_supervision(out["X"], y)
-            stage = f"discretized/{task}"
-            stores.write_by_subject(out, f"{storage}/{stage}")
-        elif engineer:
-            stage = f"engineered/{task}"
-            stores.write_by_subject({"X": features.engineered(features.ordinals(x), y), "y": y}, f"{storage}/{stage}")
-    spark.read.parquet(f"{storage}/extracted/history").select("SUBJECT_ID").distinct().withColumn("settings", F.lit(settings)).write.mode("append").parquet(f"{storage}/state")
-    names = {"extracted": list(tables)}.get(stage, ["X", "y", *(["yds"] if deep_supervision and discretize else [])])
-    return {n: read(n, stage) for n in names}
+    named = lambda **settings: split.fingerprint(definitions=definitions, variables=varmap_path, **settings)[:16]
+    extracted = f"{storage}/extracted/{named()}"
+    open_ = able.join(stores.done_subjects(spark, extracted), "SUBJECT_ID", "left_anti")
+    stores.write_by_subject({n: t.join(open_, "SUBJECT_ID", "left_semi") for n, t in tables.items()}, extracted)
+    if not task:
+        return {n: stores.read_subjects(spark, extracted, n) for n in tables}
+    processed = f"{storage}/processed/{task}-{named()}"
+    new = lambda folder, of, n: stores.read_subjects(spark, of, n).join(stores.done_subjects(spark, folder), "SUBJECT_ID", "left_anti")
+    own = {n: new(processed, extracted, n) for n in ("series", "episodic", "history", "diagnoses")}
+    groups = sorted(n for n, d in definitions.items() if d["use_in_benchmark"])
+    made = tasks.task_set(task, own["series"], own["episodic"].select(*timeseries.KEYS, "AGE", "LOS", "MORTALITY"), own["history"], own["diagnoses"], groups, timeseries.KEYS)
+    stores.write_by_subject({"X": made.x, "y": made.y}, processed)
+    stage, names = processed, ["X", "y"]
+    if discretize:
+        stage = f"{storage}/discretized/{task}-{named(step=time_step_size, strategy=impute_strategy, zero=start_at_zero, deep=deep_supervision)}"
+        x, y = (new(stage, processed, n) for n in names)
+        out = {"X": timeseries.discretize(x, time_step_size, impute_strategy, start_at_zero), "y": y}
+        if deep_supervision:
+            out["yds"] = timeseries.deep_supervision(out["X"], y)
+        stores.write_by_subject(out, stage)
+        names = list(out)
+    elif engineer:
+        stage = f"{storage}/engineered/{task}-{named()}"
+        x, y = (new(stage, processed, n) for n in names)
+        stores.write_by_subject({"X": features.engineered(features.ordinals(x), y), "y": y}, stage)
+    return {n: stores.read_subjects(spark, stage, n) for n in names}

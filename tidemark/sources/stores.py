@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.codes import random_order
 
-BUCKETS = 64
-
-
-def bucket(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.hash(key), F.lit(buckets))
-
 
 def common_subjects(tables: Sequence[DataFrame], key: str = "SUBJECT_ID") -> DataFrame:
     """Subjects that every table has."""
     return reduce(lambda a, b: a.join(b, key, "left_semi"), (t.select(key).distinct() for t in tables))
 
 
-def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "SUBJECT_ID", append: bool = False, buckets: int = BUCKETS) -> None:
-    """The rows of subjects that all tables have, a folder a table, in a fixed number of hash buckets.
+def done_subjects(spark: SparkSession, folder: str, key: str = "SUBJECT_ID", kind: str = "int") -> DataFrame:
+    """(key, batch) of what a stage's folder holds: the subjects of the batches that were written to their end."""
+    try:
+        return spark.read.parquet(f"{folder}/_done")
+    except AnalysisException:
+        return spark.createDataFrame([], f"{key} {kind}, batch string")
+
+
+def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "SUBJECT_ID") -> None:
+    """The rows of subjects that all tables have and the folder doesn't, as a batch in a folder of each table.
 
-    The common subjects are kept beside them, in _subjects."""
+    A batch counts only once its subjects stand in _done, which is written last: a run that ends before leaves files
+    that nobody reads, and the next one writes these subjects anew. Rows are clustered by ranges of subjects, so that
+    their number of files follows the data and a few subjects are found by the files' least and largest keys.
+    """
     spark = next(iter(tables.values())).sparkSession
-    common_subjects(list(tables.values()), key).write.mode("overwrite").parquet(f"{folder}/_subjects")  # once, not with each table
-    ids = spark.read.parquet(f"{folder}/_subjects")
+    batch = uuid.uuid4().hex
+    kind = next(iter(tables.values())).schema[key].dataType.simpleString()
+    new = common_subjects(list(tables.values()), key).join(done_subjects(spark, folder, key, kind), key, "left_anti")
+    new.write.parquet(f"{folder}/_subjects/{batch}")  # once, not with each table
+    ids = spark.read.schema(new.schema).parquet(f"{folder}/_subjects/{batch}")
     for name, t in tables.items():
-        out = t.join(ids, key, "left_semi").withColumn("bucket", bucket(F.col(key), buckets)).repartition("bucket")
-        out.write.mode("append" if append else "overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+        t.join(ids, key, "left_semi").repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}/batch={batch}")
+    ids.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/_done")
 
 
 def sample_subjects(ids: DataFrame, n: int, seed: int = 42, key: str = "SUBJECT_ID", skip: int = 0) -> DataFrame:
@@ -44,7 +54,8 @@ def read_subjects(spark: SparkSession, folder: str, kind: str, ids: Sequence[int
     """A stage's table, of all subjects, given ones, or a seeded sample; ids and a number together are an error."""
     if ids is not None and num_subjects is not None:
         raise ValueError("give subject ids or their number, not both")
-    table = spark.read.parquet(f"{folder}/{kind}").drop("bucket")
+    batches = [r["batch"] for r in done_subjects(spark, folder, key).select("batch").distinct().collect()]  # one for each run
+    table = spark.read.parquet(f"{folder}/{kind}").where(F.col("batch").isin(*batches)).drop("batch")
     if ids is not None:
         return table.where(F.col(key).isin(*ids)) if ids else table.limit(0)
     if num_subjects is not None:
