@@ -158,7 +158,8 @@ def cap_samples(events: DataFrame, n: int, source: str = "source", time: str = "
     share = share.withColumn("_left", F.lit(n) - F.sum("_k").over(all_of)).withColumn("_i", F.row_number().over(all_of.orderBy(source)))
     share = share.select(source, (F.col("_k") + (F.col("_i") <= F.col("_left")).cast("long")).alias("_k"))
     times = events.select(source, time).distinct().withColumn("_place", F.row_number().over(Window.partitionBy(source).orderBy(time)))
-    kept = times.join(F.broadcast(share), source).where(F.col("_place") <= F.col("_k")).select(source, time)
+    first = times.where(F.col("_place") <= n)  # so many of a source at most, which each task picks before the shuffle
+    kept = first.join(F.broadcast(share), source).where(F.col("_place") <= F.col("_k")).select(source, time)
     return events.join(kept, [source, time], "left_semi")
 
 

@@ -16,16 +16,26 @@ def _one_row(rows: DataFrame, columns: Sequence[str], of) -> DataFrame:
     return rows.agg(*(of(quoted(c)).alias(c) for c in columns))
 
 
-def fit_imputer(rows: DataFrame, columns: Sequence[str], strategy: str = "mean", constant: float = 0.0) -> DataFrame:
-    """One row with each column's fill value, over known values."""
+def quantile(c: Column, share: float, accuracy: int | None) -> Column:
+    """Exact, from all distinct values; or from a sketch of bounded size, with a rank error of 1 / accuracy."""
+    return F.percentile(c, F.lit(share)) if accuracy is None else F.percentile_approx(c, share, accuracy)
+
+
+def _modes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The most frequent value of each column, of equally frequent ones the least; values are counted over the cluster."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("v")) for c in columns)))
+    counts = rows.select(each.alias("x")).select("x.*").where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c: F.max_by("v", F.when(F.col("name") == c, F.struct("n", -F.col("v"))))
+    return counts.agg(*(of(c).cast(rows.schema[c].dataType).alias(c) for c in columns))
+
+
+def fit_imputer(rows: DataFrame, columns: Sequence[str], strategy: str = "mean", constant: float = 0.0, accuracy: int | None = None) -> DataFrame:
+    """One row with each column's fill value, over known values. With accuracy the median comes from a sketch, for data of which the distinct values don't fit a task."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    of = {
-        "mean": F.avg,
-        "median": lambda c: F.percentile(c, F.lit(0.5)),
-        "most_frequent": lambda c: F.mode(c, True),
-        "constant": lambda c: F.first(F.lit(float(constant))),
-    }[strategy]
+    if strategy == "most_frequent":
+        return _modes(rows, columns)
+    of = {"mean": F.avg, "median": lambda c: quantile(c, 0.5, accuracy), "constant": lambda c: F.first(F.lit(float(constant)))}[strategy]
     return _one_row(rows, columns, of)
 
 
@@ -41,15 +51,18 @@ SCALERS: dict[str, tuple] = {
     "minmax": (F.min, lambda c: F.max(c) - F.min(c)),
     "standard": (F.avg, F.stddev_pop),
     "maxabs": (lambda c: F.first(F.lit(0.0)), lambda c: F.max(F.abs(c))),
-    "robust": (lambda c: F.percentile(c, F.lit(0.5)), lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
 }
 
 
-def fit_scaler(rows: DataFrame, columns: Sequence[str], kind: str = "minmax") -> DataFrame:
-    """One row (centre, scale) for each column, as structs; a scale of 0 is 1."""
-    if kind not in SCALERS:
+def _robust(accuracy: int | None) -> tuple:
+    return lambda c: quantile(c, 0.5, accuracy), lambda c: quantile(c, 0.75, accuracy) - quantile(c, 0.25, accuracy)
+
+
+def fit_scaler(rows: DataFrame, columns: Sequence[str], kind: str = "minmax", accuracy: int | None = None) -> DataFrame:
+    """One row (centre, scale) for each column, as structs; a scale of 0 is 1. accuracy as for the imputer, for robust."""
+    if kind not in (*SCALERS, "robust"):
         raise ValueError(f"unknown scaler {kind}")
-    centre, scale = SCALERS[kind]
+    centre, scale = SCALERS[kind] if kind in SCALERS else _robust(accuracy)
     state = rows.agg(*(F.struct(centre(quoted(c)).cast("double").alias("centre"), scale(quoted(c)).cast("double").alias("scale")).alias(c) for c in columns))
     one = lambda c: F.when(quoted(c)["scale"] == 0, 1.0).otherwise(quoted(c)["scale"])
     return state.select(*(F.struct(quoted(c)["centre"].alias("centre"), one(c).alias("scale")).alias(c) for c in columns))

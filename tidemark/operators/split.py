@@ -8,9 +8,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.codes import random_order
-from tidemark.operators.running import prefix_sums
 
 BOUNDS = ("geq", "greater", "leq", "less")
 KEYWORDS = (*BOUNDS, "choice")
@@ -84,17 +84,31 @@ def demographic_subjects(info: DataFrame, settings: Settings, invert: bool = Fal
 def nearest_share(shares: DataFrame, target: float, tries: int = TRIES, key: str = "SUBJECT_ID", seed: int = 0) -> DataFrame:
     """Subjects whose shares add up as near to target as any prefix of tries pseudo-random orders does.
 
-    shares: (key, ratio), one row a subject. Each order's running sums are made in ranges, never in one task. Of equally
-    near ones the first order, and in it the shorter prefix, is taken.
+    shares: (key, ratio), one row a subject. The orders are cut into ranges; totals of the ranges tell where an order
+    meets the target, so only the rows of one range of each order are sorted. Of equally near ones the first order, and
+    in it the shorter prefix, is taken. One row is collected: the order and its place.
     """
     tried = shares.select(key, "ratio", F.explode(F.sequence(F.lit(seed), F.lit(seed + tries - 1))).alias("try"))
-    ordered = tried.withColumn("place", _order(F.col(key), F.col("try")))
-    sums = prefix_sums(ordered, ["try"], "place", ["ratio"], [key], 64)
-    miss = F.round(F.abs(F.col("cum_ratio") - target), 9)
-    best = sums.agg(F.min(F.struct(miss.alias("miss"), F.col("try"), F.round("cum_ratio", 9).alias("cum"))).alias("b")).select(F.col("b.miss").alias("_miss"), F.col("b.try").alias("_try"), F.col("b.cum").alias("_cum"))
-    # One row, joined by its order.
-    picked = sums.join(F.broadcast(best), F.col("try") == F.col("_try"))
-    return picked.where((F.round("cum_ratio", 9) <= F.col("_cum")) & (F.col("_miss") < F.lit(target))).select(key)
+    tried = tried.withColumn("_place", _order(F.col(key), F.col("try"))).withColumn("_range", F.expr(f"_place div {_PLACES // RANGES}"))
+    totals = tried.groupBy("try", "_range").agg(F.sum("ratio").alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy("try").orderBy("_range"))
+    ends = totals.withColumn("cum", upto).withColumn("_before", F.col("cum") - F.col("_t"))
+    met = ends.where((F.col("_before") <= target + 1e-9) & (F.col("cum") >= target - 1e-9)).select("try", "_range", "_before")
+    near = tried.join(F.broadcast(met), ["try", "_range"])  # a range or two of each order
+    inside = Window.partitionBy("try", "_range").orderBy("_place", key)
+    last = ends.select("try", "cum", (F.col("_range") * (_PLACES // RANGES) + (_PLACES // RANGES - 1)).alias("place"), F.lit(None).cast(shares.schema[key].dataType).alias("at"))
+    cums = last.unionByName(near.select("try", (F.col("_before") + F.sum("ratio").over(inside)).alias("cum"), F.col("_place").alias("place"), F.col(key).alias("at")))
+    cums = cums.select(F.round(F.abs(F.col("cum") - target), 9).alias("miss"), "try", F.round("cum", 9).alias("cum"), "place", "at")
+    best = cums.agg(F.min(F.struct("miss", "try", "cum", "place", "at")).alias("b")).first()["b"]  # where the best prefix ends: one row
+    if best is None or best["miss"] >= target:
+        return shares.select(key).limit(0)
+    place = _order(F.col(key), F.lit(best["try"]))
+    upto = (place < best["place"]) | ((place == best["place"]) & (F.col(key) <= best["at"] if best["at"] is not None else F.lit(True)))
+    return shares.where(upto).select(key)
+
+
+#: Places of a pseudo-random order, and the ranges into which they are cut.
+_PLACES, RANGES = 1 << 28, 64
 
 
 def _order(key: Column, seed: Column) -> Column:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import codes
 from tidemark.operators.timeseries import EPS, KEYS, label_grid, within_stay
@@ -132,4 +131,6 @@ def sample_counts(y: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
 
 def sample_shares(counts: DataFrame, key: str = "SUBJECT_ID", n: str = "n") -> DataFrame:
     """Each subject's share of the samples."""
-    return counts.groupBy(key).agg(F.sum(n).alias("n")).withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    each = counts.groupBy(key).agg(F.sum(n).alias("n"))
+    total = counts.agg(F.sum(n).alias("_total"))  # one row
+    return each.crossJoin(F.broadcast(total)).select(key, "n", (F.col("n") / F.col("_total")).alias("ratio"))

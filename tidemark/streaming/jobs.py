@@ -77,14 +77,11 @@ def _filler(last: int | None) -> Callable:
             return
         known = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("hours")
-        out = []
-        for hours, v in zip(rows["hours"], rows["v"], strict=True):
-            known = v if pd.notna(v) else known
-            out.append(known)
-        state.update((known,))
+        filled = pd.concat([pd.Series([known], dtype="Float64"), rows["v"].astype("Float64")]).ffill().iloc[1:]
+        state.update((None if pd.isna(filled.iloc[-1]) else float(filled.iloc[-1]),))
         if last is not None:
             state.setTimeoutDuration(last)
-        yield pd.DataFrame({"ICUSTAY_ID": key[0], "hours": rows["hours"].to_numpy(), "v": pd.array(out, dtype="Float64")})
+        yield pd.DataFrame({"ICUSTAY_ID": key[0], "hours": rows["hours"].to_numpy(), "v": filled.array})
 
     return fill
 
