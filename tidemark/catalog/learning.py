@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,7 +156,8 @@ def _assignment(rows: DataFrame) -> DataFrame:
 def pipeline(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = _model_rows(spark, d)
-        return models.fit_and_test(rows, _assignment(rows), _X, kind)
+        out = models.fit_and_test(rows, _assignment(rows), _X, kind)
+        return rounded(out, "roc_auc") if "roc_auc" in out.columns else out
 
     return query
 
@@ -180,28 +178,30 @@ def penalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, d: str) -> DataFrame:
-    rows = models.assembled(_model_rows(spark, d), _X)
-    found = models.neighbours(rows, rows.where("SUBJECT_ID % 10 = 0"), 5, 0.6, "SUBJECT_ID")
-    return found.select("SUBJECT_ID", "p")
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    rows = _model_rows(spark, d).select("SUBJECT_ID", F.col("y").alias("label"), F.array(*_X).alias("x"))
+    return models.neighbours(rows, rows.where("SUBJECT_ID % 100 = 0"), 5, "SUBJECT_ID").select("SUBJECT_ID", F.round("p", 6).alias("p"))
+
+
+def line(spark: SparkSession, d: str) -> DataFrame:
+    """Hours to delivery by the quantity alone, fitted on train and judged on each split."""
+    rows = _durations(spark, d).withColumnRenamed("split", "flag").withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
+    ready = models.assembled(rows.withColumn("q", F.col("p")).drop("p"), ["q"])
+    told = models.predictions(models.linear(ready.where("split = 'train'")), ready)
+    return rounded(metrics.regression(told, "label", "p", ["split"]).select("split", "mae", "mse", "r2"), "mae", "mse", "r2", n=4)
 
 
 def recalibrated(method: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         s = _scored(spark, d)
-        return metrics.calibration_error(models.calibrated(s, s.where("doc_id % 2 = 0"), method), "y", "p")
+        return rounded(metrics.calibration_error(models.calibrated(s, s.where("doc_id % 2 = 0"), method), "y", "p"), "ece")
 
     return query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
-
-
 def _source(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream over copies of the table in several files, in the order of time."""
-    folder = _folder(spark)
+    folder = P.folder(spark)
     e = P.events(spark, d).select("SUBJECT_ID", "ICUSTAY_ID", "EVENT_ID", "CHARTTIME", "INTIME", "hours", "VARIABLE", "VALUE")
     day = codes.hours_between(P.start(), F.col("CHARTTIME")) / 24
     for first in range(0, 32, 8):  # a stay's rows of a span are in one file, and later spans in later files
@@ -212,7 +212,7 @@ def _source(spark: SparkSession, d: str) -> DataFrame:
 
 def ingested(spark: SparkSession, d: str) -> DataFrame:
     """Events that pass stay recovery as a stream; run twice, the second time with nothing new."""
-    folder = _folder(spark)
+    folder = P.folder(spark)
     stream = _source(spark, d).select("ICUSTAY_ID", F.col("ICUSTAY_ID").alias("HADM_ID"), "EVENT_ID", F.col("VALUE").cast("string").alias("VALUE"))
     stays = P.episodic(spark, d).where("MORTALITY = 1").select(F.col("ICUSTAY_ID").alias("HADM_ID"), "ICUSTAY_ID")
     for _ in range(2):
@@ -222,7 +222,7 @@ def ingested(spark: SparkSession, d: str) -> DataFrame:
 
 def streamed_bins(spark: SparkSession, d: str) -> DataFrame:
     """Daily bins of the stream; the watermark lets all rows pass, and the last bins stay open."""
-    folder = _folder(spark)
+    folder = P.folder(spark)
     stays = P.episodic(spark, d).select("ICUSTAY_ID", "INTIME")
     binned = jobs.hourly_bins(_source(spark, d).drop("INTIME"), stays, 24.0, "3650 days")
     query = binned.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"))
@@ -232,13 +232,13 @@ def streamed_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_scaler(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = P.folder(spark)
     jobs.scaler_states(_source(spark, d), ["VALUE"], f"{folder}/out", f"{folder}/state").awaitTermination()
     return jobs.merged_states(spark, f"{folder}/out").select("name", *(F.round(c, 6).alias(c) for c in ("mean", "std", "lo", "hi")))
 
 
 def streamed_errors(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = P.folder(spark)
     rows = _source(spark, d).select(F.col("VARIABLE").alias("split"), F.col("VALUE").alias("y"), F.lit(20.0).alias("p"))
     query = jobs.running_errors(rows).writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out"))
     query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
@@ -246,7 +246,7 @@ def streamed_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_fill(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = P.folder(spark)
     rows = _source(spark, d).select("ICUSTAY_ID", "hours", F.when(F.col("VARIABLE") == "click", F.col("VALUE")).alias("v"))
     query = jobs.forward_filled(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     query.trigger(availableNow=True).start().awaitTermination()
@@ -285,6 +285,11 @@ def _kappa(rows: str, weight: str, by: str = "") -> str:
   (SELECT {lead}sum({weight} * r * c)::DOUBLE AS e FROM (SELECT {lead}y, count(*) AS r FROM {rows} GROUP BY ALL) JOIN (SELECT {lead}p, count(*) AS c FROM {rows} GROUP BY ALL) {using} GROUP BY ALL) e {using}"""
 
 
+_ROWS = "r AS (SELECT vec_id AS SUBJECT_ID, (label < 4)::INT AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(12)) + ", CASE vec_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM embeddings)"
+#: Gaussian naive Bayes: class 1 against class 0 in log odds, which order as the scores do.
+_BAYES = f"""WITH {_ROWS}, t AS (SELECT y AS c, count(*) AS n, {", ".join(f"avg({x}) AS m_{x}, var_pop({x}) AS v_{x}" for x in _X)} FROM r WHERE split = 'train' GROUP BY 1),
+b AS (SELECT SUBJECT_ID, split, y, c, ln(n) - 0.5 * ({" + ".join(f"ln(v_{x}) + pow({x} - m_{x}, 2) / v_{x}" for x in _X)}) AS l FROM r, t),
+s AS (SELECT split, y, sum(CASE c WHEN 1 THEN l ELSE -l END) AS p FROM b GROUP BY SUBJECT_ID, split, y)"""
 _RATE = "CASE WHEN {b} = 0 THEN CASE WHEN {a} = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {a} / {b} END"
 _M = [f"{m}::DOUBLE" for m in codes.LOS_MEANS]
 
@@ -323,13 +328,18 @@ ENTRIES = {
     "m16_windowed_errors": (windowed, f"SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '{P.START}')) // 86400000000 AS day, count(*) AS n, round(avg(abs(value - 20)), 6) AS mae FROM events GROUP BY 1"),
     "g1_g8_logistic_pipeline": (pipeline("logistic"), None),
     "g3_linear_pipeline": (pipeline("linear"), None),
-    "g4_naive_bayes_pipeline": (pipeline("naive_bayes"), None),
+    "g3_line": (line, f"""WITH {_DU}, z AS (SELECT y, p, CASE l_orderkey % 5 WHEN 0 THEN 'test' ELSE 'train' END AS split FROM u), f AS (SELECT regr_slope(y, p) AS a, regr_intercept(y, p) AS b FROM z WHERE split = 'train'),
+      t AS (SELECT split, y, a * p + b AS p FROM z, f) SELECT split, round(avg(abs(y - p)), 4) AS mae, round(avg(pow(y - p, 2)), 4) AS mse, round(1 - avg(pow(y - p, 2)) / var_pop(y), 4) + 0.0::DOUBLE AS r2 FROM t GROUP BY 1"""),
+    "g4_naive_bayes_pipeline": (pipeline("naive_bayes"), f"{_BAYES} {_auc('s', 'split')}"),
     "g6_tree_pipeline": (pipeline("tree"), None),
     "g6_forest_pipeline": (pipeline("forest"), None),
     "g2_multi_output": (multi_output, None),
-    "g5_neighbours": (nearest, None),
+    "g5_neighbours": (nearest, f"""WITH {_ROWS}, p AS (SELECT a.SUBJECT_ID, b.y, row_number() OVER (PARTITION BY a.SUBJECT_ID ORDER BY {" + ".join(f"pow(a.{x} - b.{x}, 2)" for x in _X)}, b.SUBJECT_ID) AS i
+      FROM r a JOIN r b ON a.SUBJECT_ID <> b.SUBJECT_ID WHERE a.SUBJECT_ID % 100 = 0) SELECT SUBJECT_ID, round(avg(y), 6) AS p FROM p WHERE i <= 5 GROUP BY 1"""),
     "g9_penalised": (penalised, None),
-    **{f"g7_calibrated_{m}": (recalibrated(m), None) for m in ("isotonic", "histogram", "logistic", "temperature", "beta")},
+    **{f"g7_calibrated_{m}": (recalibrated(m), None) for m in ("isotonic", "logistic", "temperature", "beta")},
+    "g7_calibrated_histogram": (recalibrated("histogram"), f"""WITH {_L}, h AS (SELECT least(9, floor(p * 10)) AS bin, avg(y) AS share FROM s WHERE doc_id % 2 = 0 GROUP BY 1), c AS (SELECT y, coalesce(share, p) AS p FROM s LEFT JOIN h ON bin = least(9, floor(p * 10))),
+      b AS (SELECT least(9, floor(p * 10)) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM c GROUP BY 1) SELECT round(sum(abs(c - a) * n) / sum(n), 8) AS ece FROM b"""),
     "s8_r1_r2_ingested": (ingested, f"WITH {P.E_SQL} SELECT ICUSTAY_ID, EVENT_ID, VALUE FROM e WHERE SUBJECT_ID % 3 = 0"),
     "r3_streamed_bins": (streamed_bins, f"WITH {P.E_SQL} SELECT ICUSTAY_ID, VARIABLE, trunc(hours / 24 - 1e-6::DOUBLE)::INT AS bins, arg_max(VALUE, hours) AS VALUE FROM e GROUP BY ALL"),
     "r5_streamed_scaler": (streamed_scaler, "SELECT 'VALUE' AS name, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi FROM events"),

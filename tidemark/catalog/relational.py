@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.catalog import proxies as P
 from tidemark.functions import cleaning, codes
@@ -194,6 +195,57 @@ SELECT EVENT_ID, CASE VARIABLE {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _A
 FROM u"""
 
 
+_TEXTS = {"click": "Systolic blood pressure", "error": "Diastolic blood pressure", "purchase": "Capillary refill rate", "signup": "Respiratory rate", "view": "Glucose"}
+REFILLS = ["Normal <3 secs", "Brisk", "Abnormal >3 secs", "Delayed", "Comfortable"]
+
+
+def cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Pressures as pairs, capillary refill and breath rates as words, and laboratory values that are not all numbers."""
+    names = F.create_map(*(F.lit(x) for kv in _TEXTS.items() for x in kv))
+    n, i = F.floor("VALUE").cast("string"), F.col("EVENT_ID")
+    pair = F.when(i % 3 != 0, F.concat(n, F.lit("/"), F.floor(F.col("VALUE") / 2).cast("string"))).when(i % 2 == 0, n).otherwise("n/a")
+    refill = F.element_at(F.array(*map(F.lit, REFILLS)), (i % 5 + 1).cast("int"))
+    breath = F.when(i % 4 == 0, ">60/min retracts").when(i % 4 == 1, ">60/minute").when(i % 4 == 2, n).otherwise("fast")
+    of = F.when(F.col("VARIABLE").isin("click", "error"), pair).when(F.col("VARIABLE") == "purchase", refill).when(F.col("VARIABLE") == "signup", breath).otherwise(F.when(i % 3 == 0, F.concat(n, F.lit(" mg"))).otherwise(n))
+    e = P.events(spark, d).select("EVENT_ID", F.element_at(names, F.col("VARIABLE")).alias("NAME"), of.alias("VALUE"), F.lit(None).cast("string").alias("VALUEUOM"))
+    return cleaning.clean(e.withColumnRenamed("NAME", "VARIABLE")).select("EVENT_ID", "VARIABLE", F.col("VALUE").try_cast("double").alias("VALUE"))
+
+
+TEXTS_SQL = f"""
+WITH {P.E_SQL}, u AS (SELECT EVENT_ID, VARIABLE, floor(VALUE)::DOUBLE AS n, floor(VALUE / 2)::DOUBLE AS h FROM e)
+SELECT * FROM (SELECT EVENT_ID, CASE VARIABLE {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEXTS.items())} END AS VARIABLE,
+  CASE WHEN VARIABLE IN ('click', 'error') THEN CASE WHEN EVENT_ID % 3 <> 0 THEN CASE VARIABLE WHEN 'click' THEN n ELSE h END WHEN EVENT_ID % 2 = 0 THEN n END
+    WHEN VARIABLE = 'purchase' THEN CASE EVENT_ID % 5 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE END
+    WHEN VARIABLE = 'signup' THEN CASE EVENT_ID % 4 WHEN 0 THEN 60.0::DOUBLE WHEN 1 THEN 60.0::DOUBLE WHEN 2 THEN n END
+    WHEN EVENT_ID % 3 <> 0 THEN n END AS VALUE FROM u) WHERE VALUE IS NOT NULL"""
+
+
+def episodic(spark: SparkSession, d: str) -> DataFrame:
+    """Static data of each stay that has a flagged event: codes, first height and weight, and a flag for each event type of a high value."""
+    sex = F.element_at(F.array(F.lit("F"), F.lit("M"), F.lit("X"), F.lit("")), (F.col("SUBJECT_ID") % 4 + 1).cast("int"))
+    told = F.element_at(F.array(F.lit("WHITE - RUSSIAN"), F.lit("ASIAN"), F.lit("MARTIAN")), (F.col("SUBJECT_ID") % 3 + 1).cast("int"))
+    history = P.episodic(spark, d).select(*P.KEYS, "AGE", "LOS", "MORTALITY", sex.alias("GENDER"), told.alias("ETHNICITY"))
+    series = P.wide(spark, d).withColumnsRenamed({"click": "Height", "view": "Weight"})
+    high = P.events(spark, d).where("VALUE > 30").select("ICUSTAY_ID", F.col("VARIABLE").alias("ICD9_CODE"))
+    return extract.episodic_data(history, series, extract.code_flags(high, P.CHANNELS, prefix="d_"))
+
+
+EPISODIC_SQL = f"""
+WITH {P.E_SQL}, {P.W_SQL}, {P.P_SQL}, g AS (SELECT ICUSTAY_ID, {", ".join(f"max((VARIABLE = '{c}')::INT) AS d_{c}" for c in P.CHANNELS)} FROM e WHERE VALUE > 30 GROUP BY 1),
+f AS (SELECT SUBJECT_ID, ICUSTAY_ID, arg_min(click, hours) FILTER (click IS NOT NULL) AS "Height", arg_min("view", hours) FILTER ("view" IS NOT NULL) AS "Weight" FROM w GROUP BY ALL)
+SELECT SUBJECT_ID, ICUSTAY_ID, (SUBJECT_ID % 80 + 10)::DOUBLE AS AGE, LOS, MORTALITY, [1, 2, 3, 0][(SUBJECT_ID % 4 + 1)::INT] AS GENDER, [4, 1, 5][(SUBJECT_ID % 3 + 1)::INT] AS ETHNICITY, "Height", "Weight", {", ".join(f"d_{c}" for c in P.CHANNELS)}
+FROM p JOIN f USING (SUBJECT_ID, ICUSTAY_ID) JOIN g USING (ICUSTAY_ID)"""
+
+
+def grouped(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's place among its subject's rows, as they lie in one task after grouping."""
+    rows = extract.by_subject(P.events(spark, d).select("SUBJECT_ID", "CHARTTIME", "EVENT_ID"), ["CHARTTIME", "EVENT_ID"]).withColumn("_at", F.monotonically_increasing_id())
+    w = Window.partitionBy("SUBJECT_ID")
+    place = F.row_number().over(w.orderBy("_at"))
+    tasks = F.size(F.collect_set(F.shiftright("_at", 33)).over(w))
+    return rows.select("SUBJECT_ID", "EVENT_ID", place.alias("place"), tasks.alias("tasks"))
+
+
 def scalar_codes(spark: SparkSession, d: str) -> DataFrame:
     li = P.table(spark, d, "lineitem")
     h = F.col("l_quantity") * 24
@@ -266,7 +318,10 @@ ENTRIES = {
     "s18_p8_stage_subjects": (stage_subjects, "SELECT c_custkey AS SUBJECT_ID, c_mktsegment FROM customer WHERE c_custkey IN (SELECT user_id FROM events)"),
     "o8_difference": (difference, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <> 3"),
     "p1_p2_p3_converted": (converted, "SELECT event_id::INT AS EVENT_ID, user_id::SMALLINT AS USER_ID, value::FLOAT::DOUBLE AS VALUE, NULL::DOUBLE AS PROPS, event_type AS EVENT_TYPE FROM events"),
-    "f1_f11_p13_cleaned": (cleaned, CLEAN_SQL),
+    "f1_f2_f6_f8_f9_f10_p13_cleaned": (cleaned, CLEAN_SQL),
+    "f3_f4_f5_f7_f11_cleaned_texts": (cleaned_texts, TEXTS_SQL),
+    "j11_episodic_data": (episodic, EPISODIC_SQL),
+    "o1_o2_by_subject": (grouped, "SELECT user_id AS SUBJECT_ID, event_id AS EVENT_ID, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place, 1 AS tasks FROM events"),
     "f17_f21_codes": (scalar_codes, CODES_SQL),
     "f15_f16_demographic_codes": (demographic_codes, "SELECT c_custkey, [4, 2, 3, 1, 5, 0][(c_custkey % 6 + 1)::INT] AS ethnicity, [1, 2, 3, 0][(c_nationkey % 4 + 1)::INT] AS gender FROM customer"),
     "a14_rows_by_source": (source_rows, "SELECT event_type AS VARIABLE, count(*) AS n FROM events GROUP BY 1"),

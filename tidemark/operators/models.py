@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame
@@ -58,12 +60,43 @@ def predictions(model: Model, rows: DataFrame) -> DataFrame:
     return out.withColumn("p", vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction"))
 
 
-def neighbours(train: DataFrame, rows: DataFrame, k: int, radius: float, id_col: str = "id", bucket: float = 1.0, tables: int = 8) -> DataFrame:
-    """(id, p): the mean label of the k nearest of train within radius that share a hash bucket."""
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(train)
-    near = model.approxSimilarityJoin(rows, train, radius, "d").select(F.col(f"datasetA.{id_col}").alias(id_col), F.col(f"datasetB.{id_col}").alias("_other"), F.col("datasetB.label").alias("label"), "d").where(F.col(id_col) != F.col("_other"))
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy("d", "_other"))
-    return near.withColumn("_i", place).where(F.col("_i") <= k).groupBy(id_col).agg(F.avg("label").alias("p"))
+def neighbours(train: DataFrame, rows: DataFrame, k: int, id_col: str = "id", block_rows: int = 16_384) -> DataFrame:
+    """(id, p): the mean label of the k rows of train that are nearest to each of rows by Euclidean distance, itself not among them.
+
+    Both have columns id, label and x (an array of numbers, of one length); ties go to the smaller id. train is dealt
+    into blocks, every row of rows visits each block with a running top k, and the blocks' best are merged.
+    """
+    blocks = train.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_blocks"))  # one row
+    own = train.crossJoin(F.broadcast(blocks)).select(F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int").alias("block"), F.lit(0).alias("part"), F.col(id_col).cast("long").alias("id"), F.col("label").cast("double").alias("label"), F.col("x").cast("array<double>").alias("x"))
+    asked = rows.crossJoin(F.broadcast(blocks)).select(F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(1).alias("part"), F.col(id_col).cast("long").alias("id"), F.lit(None).cast("double").alias("label"), F.col("x").cast("array<double>").alias("x"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            b, part, ids, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            at = np.flatnonzero(np.r_[True, (np.diff(b) != 0) | (np.diff(part) != 0)]) if len(b) else []
+            for first, end in zip(at, [*at[1:], len(b)], strict=True):
+                x = batch.column(4).slice(first, end - first).flatten().to_numpy(zero_copy_only=False).reshape(end - first, -1)
+                if b[first] != block:
+                    block, held = b[first], []
+                if part[first] == 0:
+                    held.append((ids[first:end], labels[first:end], x))
+                    continue
+                if not held:
+                    continue
+                held = [tuple(np.concatenate(h) for h in zip(*held, strict=True))]
+                others, label, points = held[0]
+                for i, q in zip(ids[first:end], x, strict=True):
+                    d = np.square(points - q).sum(1)
+                    d[others == i] = np.inf
+                    some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                    some = some[np.lexsort((others[some], d[some]))][:k]
+                    some = some[np.isfinite(d[some])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(others[some]), pa.array(label[some]), pa.array(d[some])], ["id", "other", "label", "d"])
+
+    found = own.unionByName(asked).repartition("block").sortWithinPartitions("block", "part").mapInArrow(search, "id long, other long, label double, d double")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
+    return found.withColumn("_i", place).where(F.col("_i") <= k).groupBy(F.col("id").alias(id_col)).agg(F.avg("label").alias("p"))
 
 
 def histogram_calibration(rows: DataFrame, fit: DataFrame, y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
