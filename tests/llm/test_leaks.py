@@ -62,3 +62,16 @@ def test_items_far_longer_than_a_chunk_and_across_chunks(monkeypatch):
     texts = [f"{text(rng, 7 * i)} {spoiled(rng, x, len(x) // 6)} {text(rng, 20)}" for i in range(20) for x in items]
     got = {(r, i) for r, i, _ in decontaminate.leaks_in(texts, decontaminate.Items(list(enumerate(items)), 0.2))}
     assert {(r, r % 4) for r in range(len(texts))} <= got
+
+
+def test_shards_of_the_benchmark_and_white_space(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [text(rng, n) for n in (5, 12, 20, 30, 45)]
+    docs = [f"{text(rng, 9)} {x.replace(' ', ' ' * (4 * i + 1))} {text(rng, 9)}" for i, x in enumerate(items)] + [items[2].replace(" ", "\n\t" * 20), "é " * 30000 + items[3], None, ""]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (None, None)], "item_id long, text string")
+    want = {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 2), (6, 3)}
+    for most in (decontaminate.SHARD_BYTES, 60):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", most)
+        got = [(r.doc_id, r.item_id) for r in decontaminate.digest(frame, bench).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

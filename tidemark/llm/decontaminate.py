@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,13 @@ GRAM, BITS, BANDS = 4, 18, 3
 #: Characters of a part at most: bits of a machine word.
 PART = 64
 #: Characters of text whose grams are counted at a time, and bands of all parts of a group at most.
-CHUNK, MOST_BINS = 1 << 16, 4_000_000
+CHUNK, MOST_BINS = 1 << 14, 4_000_000
 #: Places that are compared with their parts at a time.
 LANES = 1 << 13
 #: Edits that a leak has at most, as a share of the item's characters.
 EDITS = 0.2
-#: The benchmark is sent to every task: a larger one is refused (judge it in parts).
-MOST_BYTES = 64_000_000
+#: Of the benchmark, so many bytes (in expectation) are sent to every task at a time; a larger one is judged shard by shard.
+SHARD_BYTES = 2_000_000
 #: Between texts; no normal text or item has it.
 GAP = "\n"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -93,7 +94,8 @@ class Group:
         self.entries = ((base << shift) + self.lead - places)[order].astype(np.int32)
         self.counts = np.bincount(every, minlength=1 << BITS).astype(np.int32)
         self.firsts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
-        self.enough = np.repeat(self.least, self.bands)
+        self.enough = np.repeat(self.least.astype(np.int16), self.bands)
+        self.run = np.arange(1 << 20, dtype=np.int32)
         # For each part and character, the places of the part that have it, as bits; column 0 is of characters of no part.
         some = np.unique(np.concatenate([x for _, x, _, _ in members]))
         self.columns = np.zeros(0x110000, np.int32)
@@ -104,7 +106,10 @@ class Group:
 
     def near(self, codes: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, begin, end): between which places of a text, given by its grams and characters, an item may begin if it has no edits before the part."""
-        step = self.chunk - self.longest - int(self.edits.max())
+        edits = int(self.edits.max())
+        step, width = self.chunk - self.longest - edits, (BANDS << self.shift) + 2 * edits
+        pad = np.zeros(self.lead + width + self.longest, np.int32)  # around the text stands the character of no part
+        columns = np.concatenate([pad, self.columns[data], pad])
         for a in range(0, len(codes), step):
             part = codes[a : a + self.chunk]
             n = self.counts[part]
@@ -112,39 +117,47 @@ class Group:
             n = n[at]
             if not len(at):
                 continue
-            skip = (self.firsts[part[at]] - (np.cumsum(n) - n)).astype(np.int32)
-            entry = np.repeat(skip, n)
-            entry += np.arange(len(entry), dtype=np.int32)
+            # the entries of each place's gram, and the bands in which they are
+            entry = np.repeat(self.firsts[part[at]] - (np.cumsum(n, dtype=np.int32) - n), n)
+            entry += self.run[: len(entry)] if len(entry) <= len(self.run) else np.arange(len(entry), dtype=np.int32)
             band = self.entries[entry]
             band += np.repeat(at.astype(np.int32), n)
             band >>= self.shift
-            held = np.cumsum(np.bincount(band, minlength=len(self.enough) + BANDS), dtype=np.int32)
-            m, b = np.divmod(np.flatnonzero(held[BANDS:] - held[:-BANDS] >= self.enough) + 1, self.bands)
+            held = np.bincount(band, minlength=len(self.enough) + BANDS).astype(np.int16)
+            some = held[:-BANDS].copy()
+            for i in range(1, BANDS):
+                some += held[i : i - BANDS]
+            m, b = np.divmod(np.flatnonzero(some >= self.enough), self.bands)
             begin = a + (b << self.shift) - self.lead - self.edits[m]
-            width = (BANDS << self.shift) + 2 * int(self.edits.max())
             for i in range(0, len(m), LANES):
-                kept = self.close(data, m[i : i + LANES], begin[i : i + LANES], width + self.longest)
+                kept = self.close(columns, len(pad), m[i : i + LANES], begin[i : i + LANES], width + self.longest)
                 for k in (i + np.flatnonzero(kept)).tolist():
                     first = int(begin[k]) - int(self.places[m[k]])
                     yield int(self.owners[m[k]]), first, first + width
 
-    def close(self, data: np.ndarray, m: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    def close(self, columns: np.ndarray, pad: int, m: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
         """Whether each part m is within its edits somewhere in the width characters from begin (bit-parallel, as in distance)."""
-        one, top = np.uint64(1), (self.sizes[m] - 1).astype(np.uint64)
+        one, top, edits = np.uint64(1), (self.sizes[m] - 1).astype(np.uint64), self.edits[m]
         plus, minus = np.full(len(m), 2**64 - 1, np.uint64), np.zeros(len(m), np.uint64)
-        score = self.sizes[m].astype(np.int64)
-        best, row = score.copy(), m * self.masks.shape[1]
-        masks = self.masks.ravel()
+        score, found, lanes = self.sizes[m].astype(np.int64), np.zeros(len(m), bool), np.arange(len(m))
+        best, row, masks, at = score.copy(), m * self.masks.shape[1], self.masks.ravel(), np.clip(begin + pad, 0, len(columns) - width)
         for j in range(width):
-            at = begin + j
-            x = masks[row + np.where((at >= 0) & (at < len(data)), self.columns[data[np.clip(at, 0, len(data) - 1)]], 0)]
+            x = masks[row + columns[at + j]]
             d = (((x & plus) + plus) ^ plus) | x | minus
             hp, hm = minus | ~(d | plus), plus & d
-            score += ((hp >> top) & one).astype(np.int64) - ((hm >> top) & one).astype(np.int64)
-            hp, hm = hp << one, hm << one
+            score += (((hp >> top) & one) - ((hm >> top) & one)).view(np.int64)
+            hp <<= one
+            hm <<= one
             plus, minus = hm | ~(d | hp), hp & d
             np.minimum(best, score, out=best)
-        return best <= self.edits[m]
+            if j % 8 == 7 or j == width - 1:
+                found[lanes[best <= edits]] = True
+                left = (best > edits) & (score - edits <= width - 1 - j)  # a step changes the score by one at most
+                if not left.all():
+                    lanes, row, at, plus, minus, score, best, top, edits = (v[left] for v in (lanes, row, at, plus, minus, score, best, top, edits))
+                    if not len(lanes):
+                        break
+        return found
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -240,11 +253,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     nothing; repeated rows are judged each; an item_id that is repeated with another text is an item of its own. edits
     is the distance found at the first place that is near enough.
     """
-    rows = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
-    held = rows.agg(F.sum(F.octet_length(F.col(rows.columns[1]))).alias("n")).first()["n"] or 0
-    if held > MOST_BYTES:
-        raise ValueError(f"a benchmark of {held} bytes is over the {MOST_BYTES} that are sent to every task; judge it in parts")
-    sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows.distinct().collect() if normal(r[1])])
+    rows = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).distinct()
+    held = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-held // SHARD_BYTES))
+    of = F.pmod(F.xxhash64("id", "text"), F.lit(shards))
+    return reduce(DataFrame.unionByName, (_leaks_of(docs, rows.where(of == s), id_col, text_col, edits) for s in range(shards)))
+
+
+def _leaks_of(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, edits: float) -> DataFrame:
+    """leaks() of items (id, text) that every task can hold."""
+    sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect() if normal(r[1])])
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
