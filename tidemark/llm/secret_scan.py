@@ -118,8 +118,9 @@ def _named(name: str) -> Callable[[Column], Column]:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """op1's columns for documents, and n_added, n_live and n_copied (spans by verdict)."""
+    """op1's columns for documents, n_added, n_live and n_copied (spans by verdict), most_owners and most_repos (that hold one of the values)."""
     spans = F.col("spans")
+    most = lambda c: F.coalesce(F.array_max(F.transform(spans, lambda x: x[c])), F.lit(0)).cast("long")
     count = lambda rule: F.size(F.filter(spans, rule)).cast("long")
     return scan(docs).select(
         F.col("id").alias("doc_id"),
@@ -129,6 +130,8 @@ def digest(docs: DataFrame) -> DataFrame:
         count(lambda x: ~x["base"]).alias("n_added"),
         count(lambda x: x["live"]).alias("n_live"),
         count(lambda x: x["copied"]).alias("n_copied"),
+        most("n_owners").alias("most_owners"),
+        most("n_repos").alias("most_repos"),
     )
 
 
@@ -156,16 +159,16 @@ def _sql_hits(number: int, kind: Kind) -> str:
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
 hit AS ({" UNION ALL ".join(_sql_hits(i, k) for i, k in enumerate(KINDS))}),
-spread AS (SELECT v, count(DISTINCT owner) AS n_owners FROM hit GROUP BY v),
+spread AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT repo) AS n_repos FROM hit GROUP BY v),
 judged AS (
-  SELECT doc_id, kind, name, base, s, name || ':' || s || ':' || (s + n) AS span, looks AND n_owners < {COPIED_OWNERS} AS live, n_owners >= {COPIED_OWNERS} AS copied
+  SELECT doc_id, kind, name, base, s, name || ':' || s || ':' || (s + n) AS span, looks AND n_owners < {COPIED_OWNERS} AS live, n_owners >= {COPIED_OWNERS} AS copied, n_owners, n_repos
   FROM hit JOIN spread USING (v) WHERE base OR (looks AND n_owners < {COPIED_OWNERS})),
 told AS (
   SELECT doc_id, {", ".join(f"count(*) FILTER (name = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)},
          coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (base), '') AS base_spans, string_agg(span, ',' ORDER BY s, kind) AS spans,
-         count(*) FILTER (NOT base) AS n_added, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+         count(*) FILTER (NOT base) AS n_added, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied, max(n_owners) AS most_owners, max(n_repos) AS most_repos
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS if k.base)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN told USING (doc_id)
 """
