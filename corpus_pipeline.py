@@ -3,6 +3,9 @@
 Language ID drops texts whose language can't be told, the Jaccard join keeps one document of each group of near
 copies, decontamination drops documents that hold a benchmark item, the secret scan drops those that hold a
 live-looking credential of few owners, and mixing repeats documents to their source's target rate in a global order.
+
+Null texts go with the first stage. Rows with a null id are judged like others, but as no near copy of any row; rows of
+one id go together where one of them holds an item or a credential. An empty table gives an empty one.
 """
 
 from __future__ import annotations
