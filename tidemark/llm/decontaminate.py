@@ -23,6 +23,8 @@ from tidemark.llm._common import pieces
 
 #: Characters of a gram at most, bits of its hash, neighbouring bands that are counted together.
 GRAM, BITS, BANDS = 4, 18, 3
+#: Bands that are looked at together where each of them has enough grams.
+MERGED = 2
 #: Characters of a part at most: bits of a machine word.
 PART = 64
 #: Characters of text whose grams are counted at a time, and bands of all parts of a group at most.
@@ -107,7 +109,7 @@ class Group:
     def near(self, codes: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, begin, end): between which places of a text, given by its grams and characters, an item may begin if it has no edits before the part."""
         edits = int(self.edits.max())
-        step, width = self.chunk - self.longest - edits, (BANDS << self.shift) + 2 * edits
+        step, width = self.chunk - self.longest - edits, ((BANDS + MERGED - 1) << self.shift) + 2 * edits
         pad = np.zeros(self.lead + width + self.longest, np.int32)  # around the text stands the character of no part
         columns = np.concatenate([pad, self.columns[data], pad])
         for a in range(0, len(codes), step):
@@ -127,7 +129,13 @@ class Group:
             some = held[:-BANDS].copy()
             for i in range(1, BANDS):
                 some += held[i : i - BANDS]
-            m, b = np.divmod(np.flatnonzero(some >= self.enough), self.bands)
+            # bands that follow on each other are looked at together
+            full = np.flatnonzero(some >= self.enough)
+            if not len(full):
+                continue
+            first = np.flatnonzero(np.r_[True, (full[1:] != full[:-1] + 1) | (full[1:] % self.bands == 0)])
+            full = full[(np.arange(len(full)) - np.repeat(first, np.diff(np.r_[first, len(full)]))) % MERGED == 0]
+            m, b = np.divmod(full, self.bands)
             begin = a + (b << self.shift) - self.lead - self.edits[m]
             for i in range(0, len(m), LANES):
                 kept = self.close(columns, len(pad), m[i : i + LANES], begin[i : i + LANES], width + self.longest)
