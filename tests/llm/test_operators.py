@@ -257,6 +257,32 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.digest(pages.where("page_id >= 200")).collect()} == {"allow"}
 
 
+def test_rules_against_sql_and_trees_on_held_out_rows(spark):
+    import duckdb
+
+    where = "/root/testdata/sf0.01/pages.parquet"
+    pages = spark.read.parquet(where)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{where}')")
+    want = con.execute(f"SELECT page_id, host, path, rule FROM ({url_filter.RULES_SQL})").fetchall()
+    got = url_filter.digest(pages).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    pages = spark.read.parquet(where.replace("sf0.01", "sf0.1"))
+    told = url_filter.scored(pages, train_rows=300).where("label IS NOT NULL AND NOT sampled").collect()
+    # two rules hang on the page number's first digit, which no lexical feature holds
+    right = lambda some: sum((r.p > 0.5) == (r.label == "block") for r in some) / len(some)
+    plain = [r for r in told if r.rule in ("com/en/", "net/de/", "org/es/")]
+    assert len(plain) > 200 and right(plain) >= 0.9 and right(told) >= 0.75
+
+
+def test_odd_urls(spark):
+    urls = [f"http://a{i}.example.{'com' if i % 2 else 'net'}/{'en' if i % 2 else 'de'}/{i}" for i in range(60)] + ["http://x.y/" + "a/" * 20000, "http://busy.com/en/1"] + ["http://busy.com/en/1"] * 300
+    pages = spark.createDataFrame([(None if i % 7 == 0 else i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string").withColumn("p", F.lit(1))
+    got = url_filter.digest(pages).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got if r.host == "busy.com"} == {"block"}
+    assert url_filter.scored(pages, train_rows=50).where("sampled").count() < 120
+
+
 def test_leaks(spark):
     item = "the quick brown fox jumps over the lazy dog while seventeen green parrots recite forgotten poems to the moon"
     edited = item.replace("lazy", "sleepy").replace("green ", "")
