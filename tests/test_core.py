@@ -221,3 +221,26 @@ def test_batches_and_statistics(spark):
     assert sorted(len(r.x) for r in got) == [1, 2, 2] and all(len({len(x) for x in r.x}) == 1 for r in got)
     assert samples.batch_count(arrays, 2).first()[0] == 2
     assert {r.bin: r.n for r in stats.histogram(grid, ["v"], 4).collect()} == {0: 5, 1: 4, 2: 3, 3: 3}
+
+
+def test_rows_behind_the_watermark_go(spark, tmp_path):
+    """Hourly bins of a stream with a delay of two hours: bins that the watermark has passed are closed, and take no late row."""
+    from datetime import datetime, timedelta
+
+    from tidemark.streaming import jobs
+
+    begun = datetime(2100, 1, 1)
+    stays = spark.createDataFrame([(1, begun)], "ICUSTAY_ID int, INTIME timestamp")
+    batches = [[(0.5, 1.0), (1.5, 2.0)], [(9.5, 3.0), (1.7, 4.0)], [(0.7, 99.0), (9.7, 5.0)], [(20.5, 6.0)], [(21.5, 7.0)]]
+    schema = "ICUSTAY_ID int, CHARTTIME timestamp, VARIABLE string, VALUE double"
+    out = {}
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame([(1, begun + timedelta(hours=h), "HR", v) for h, v in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        binned = jobs.hourly_bins(jobs.event_stream(spark, f"{tmp_path}/in", frame.schema), stays)
+        query = binned.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+        out = {r.bins: r.VALUE for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        assert n < 2 or 99.0 not in out.values()
+    # the second batch was still in time for bin 1, the third too late for bin 0; what is behind 21 less two hours is closed
+    assert out == {0: 1.0, 1: 4.0, 9: 5.0}

@@ -141,12 +141,16 @@ def windowed(spark, d):
     return rounded(out.select(F.round(codes.hours_between(P.start(), F.col("start")) / 24).cast("long").alias("day"), "n", "mae"), "mae", n=6)
 
 
+#: Components of the given vectors.
+DIMS = 64
+
+
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     e = P.table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("SUBJECT_ID"), (F.col("label") < 4).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(12)))
+    return e.select(F.col("vec_id").alias("SUBJECT_ID"), (F.col("label") < 4).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMS)))
 
 
-_X = [f"x{i}" for i in range(12)]
+_X = [f"x{i}" for i in range(DIMS)]
 
 
 def _assignment(rows: DataFrame) -> DataFrame:
@@ -285,7 +289,7 @@ def _kappa(rows: str, weight: str, by: str = "") -> str:
   (SELECT {lead}sum({weight} * r * c)::DOUBLE AS e FROM (SELECT {lead}y, count(*) AS r FROM {rows} GROUP BY ALL) JOIN (SELECT {lead}p, count(*) AS c FROM {rows} GROUP BY ALL) {using} GROUP BY ALL) e {using}"""
 
 
-_ROWS = "r AS (SELECT vec_id AS SUBJECT_ID, (label < 4)::INT AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(12)) + ", CASE vec_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM embeddings)"
+_ROWS = "r AS (SELECT vec_id AS SUBJECT_ID, (label < 4)::INT AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(DIMS)) + ", CASE vec_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM embeddings)"
 #: Gaussian naive Bayes: class 1 against class 0 in log odds, which order as the scores do.
 _BAYES = f"""WITH {_ROWS}, t AS (SELECT y AS c, count(*) AS n, {", ".join(f"avg({x}) AS m_{x}, var_pop({x}) AS v_{x}" for x in _X)} FROM r WHERE split = 'train' GROUP BY 1),
 b AS (SELECT SUBJECT_ID, split, y, c, ln(n) - 0.5 * ({" + ".join(f"ln(v_{x}) + pow({x} - m_{x}, 2) / v_{x}" for x in _X)}) AS l FROM r, t),

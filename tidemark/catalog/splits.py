@@ -50,6 +50,14 @@ RATIO_SQL = f"""WITH {_S}, {_nearest("s", 0.2, "te")}, s2 AS (SELECT * FROM s WH
 SELECT SUBJECT_ID, CASE WHEN SUBJECT_ID IN (SELECT SUBJECT_ID FROM te) THEN 'test' WHEN SUBJECT_ID IN (SELECT SUBJECT_ID FROM va) THEN 'val' ELSE 'train' END AS split FROM s"""
 
 
+def restored(spark: SparkSession, d: str) -> DataFrame:
+    """The ratio split, made and kept once and then read, as its settings are the same."""
+    folder = P.folder(spark)
+    for _ in range(2):
+        out = split.restored(folder, lambda: ratio_split(spark, d), spark, test=0.2, val=0.1)
+    return out
+
+
 def kept(settings, invert: bool = False):
     return lambda spark, d: split.demographic_subjects(_info(spark, d), settings, invert)
 
@@ -162,6 +170,7 @@ def pooled_moments(spark: SparkSession, d: str) -> DataFrame:
 _BAD = "bool_or(coalesce(BALANCE < 500, false) OR coalesce(BALANCE >= 6000, false) OR coalesce(PRICE > 480000, false))"
 ENTRIES = {
     "d1_d2_ratio_split": (ratio_split, RATIO_SQL),
+    "d11_restored_split": (restored, RATIO_SQL),
     "d3_range_filter": (kept(RANGE), f"WITH {_I} SELECT SUBJECT_ID FROM i GROUP BY 1 HAVING NOT {_BAD}"),
     "d3_choice_filter": (kept(CHOICE), f"WITH {_I} SELECT SUBJECT_ID FROM i GROUP BY 1 HAVING NOT bool_or(coalesce(SEGMENT NOT IN ('BUILDING', 'MACHINERY'), true))"),
     "d4_inverted_filter": (kept(RANGE, True), f"WITH {_I} SELECT SUBJECT_ID FROM i GROUP BY 1 HAVING NOT (bool_or(NOT coalesce(BALANCE < 500, false)) AND bool_or(NOT coalesce(BALANCE >= 6000, false)) AND bool_or(NOT coalesce(PRICE > 480000, false)))"),

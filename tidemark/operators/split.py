@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -197,6 +198,17 @@ def fingerprint(**settings: object) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def restored(folder: str, make: Callable[[], DataFrame], spark: SparkSession, **settings: object) -> DataFrame:
+    """The assignment that was made with the same settings and kept in folder; else make(), which is kept for the next time."""
+    path = f"{folder}/{fingerprint(**settings)[:16]}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        made = make()
+        made.write.mode("overwrite").parquet(path)
+        return spark.read.schema(made.schema).parquet(path)
+
+
 def with_fixed(subjects: DataFrame, test: DataFrame, val: DataFrame, key: str = "SUBJECT_ID") -> DataFrame:
     """Published test and val lists; train is the rest."""
     rest = subjects.select(key).distinct().join(test, key, "left_anti").join(val, key, "left_anti").withColumn("split", F.lit("train"))

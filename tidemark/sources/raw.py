@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns that the engine reads, by table; 'time' columns are parsed leniently or strictly, see read_table.
+#: Columns that the engine reads, by table; 'time' columns are parsed leniently or strictly, see read_table.
 SCHEMAS: dict[str, dict[str, str]] = {
     "PATIENTS": {"SUBJECT_ID": "int", "GENDER": "string", "DOB": "time", "DOD": "time"},
     "ADMISSIONS": {
