@@ -141,8 +141,8 @@ def windowed(spark, d):
     return rounded(out.select(F.round(codes.hours_between(P.start(), F.col("start")) / 24).cast("long").alias("day"), "n", "mae"), "mae", n=6)
 
 
-#: Components of the given vectors.
-DIMS = 64
+#: The features: the first components of the given vectors, of which each is as good as any other.
+DIMS = 12
 
 
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
