@@ -9,7 +9,6 @@ document that has it. Text without a recurring anchor can't hold such a phrase a
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -40,11 +39,7 @@ _TO_SPACE = bytes.maketrans(_SPACE, b" " * len(_SPACE))
 
 
 #: Stands for all words that occur once in a shard, which no recurring phrase has.
-_LONE = chr(1)
-
-
-def _letter(n: int) -> str:
-    return chr(n + 2 if n < 0xD000 else n + 0x1000)  # no surrogates
+_LONE = 1
 
 
 def match(segments: list) -> list[np.ndarray]:
@@ -61,16 +56,18 @@ def match(segments: list) -> list[np.ndarray]:
 
 
 def _located(segments: list) -> list[np.ndarray]:
-    words = [[w for w in s[6].translate(_TO_SPACE).split(b" ") if w] for s in segments]
-    often = Counter(w for some in words for w in some)
-    letters = {w: _letter(i) for i, w in enumerate(w for w, n in often.items() if n > 1)}
-    texts = ["".join([letters.get(w, _LONE) for w in some]) for some in words]
+    numbers: dict[bytes, int] = {}
+    codes = [np.array([numbers.setdefault(w, len(numbers)) for w in s[6].translate(_TO_SPACE).split(b" ") if w]) for s in segments]
+    often = np.bincount(np.concatenate(codes), minlength=len(numbers)) > 1
+    letter = np.cumsum(often) - 1
+    letter = np.where(often, np.where(letter < 0xD000, letter + 2, letter + 0x1000), _LONE).astype(np.uint32)  # no surrogates
+    codes = [letter[c] for c in codes]
+    texts = [c.tobytes().decode("utf-32-le") for c in codes]
     # confirm: hashes of phrases that recur, of those without a lone word
-    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
     hashes, places = [], []
     for i, (s, c) in enumerate(zip(segments, codes, strict=True)):
         h = grams(mix(c.astype(np.uint64)), WINDOW)[: s[5]]
-        lone = np.cumsum(np.r_[0, c == 1])
+        lone = np.cumsum(np.r_[0, c == _LONE])
         whole = np.flatnonzero(lone[WINDOW : WINDOW + len(h)] == lone[: len(h)])
         hashes.append(h[whole])
         places.append(np.stack([np.full(len(whole), i), whole], 1))
