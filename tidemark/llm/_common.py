@@ -148,3 +148,9 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         acc[r] = acc[r] * base + np.add.reduce(mix(rest + np.uint64(1)) * powers(BASE, len(rest)))
     out[rows] = acc
     return mix(out ^ (length.astype(np.uint64) * np.uint64(BASE)))
+
+
+#: For SQL without the function: the table of crc32's remainders, and the crc32 of a decimal id by it.
+CRC_TABLE = """crc_table AS (SELECT list(x ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS x FROM (SELECT unnest(range(0, 256)) AS i)))"""
+CRC_SQL = "xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split({id}::VARCHAR, '')], lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295)"

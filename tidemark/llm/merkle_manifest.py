@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._common import Scratch, stage
+from tidemark.llm._common import CRC_SQL, CRC_TABLE, Scratch, stage
 
 FANOUT = 8
 #: Levels inside a block, so a block has 512 leaves at most.
@@ -213,12 +213,8 @@ def _sql_fold(steps: list[tuple[str, tuple[str, str]]]) -> str:
     return out
 
 
-#: crc32 of the decimal doc_id, by its table of remainders.
-_CRC = """crc_table AS (SELECT list(x ORDER BY i) AS tab FROM (
-    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS x FROM (SELECT unnest(range(0, 256)) AS i)))"""
-CRC_SQL = "xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split({id}::VARCHAR, '')], lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295)"
 ORACLE_SQL = f"""
-WITH {_CRC},
+WITH {CRC_TABLE},
   d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS key, {_sql_leaf("text")} AS h,
     CASE WHEN {CRC_SQL.format(id="doc_id")} % 3 = 0 THEN {_sql_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS t FROM documents, crc_table),
   leaf AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n, '' AS proof FROM d),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language_id, merkle_manifest, partenum, phrase_automata, pii, poisson_mix, prefix_forest, secret_scan, suffix_dedup, url_filter
+from tidemark.llm import decontaminate, language_id, merkle_manifest, partenum, periodic_runs, phrase_automata, pii, poisson_mix, prefix_forest, secret_scan, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_poisson_mix": lambda spark, sf_dir: poisson_mix.digest(table(spark, sf_dir, "documents")),
         "op9_pii_anchors": lambda spark, sf_dir: pii.digest(table(spark, sf_dir, "documents")),
         "op10_language_pieces": lambda spark, sf_dir: language_id.digest(table(spark, sf_dir, "documents")),
+        "op11_recompressed_runs": lambda spark, sf_dir: periodic_runs.digest(table(spark, sf_dir, "documents")),
         "op12_merkle_butterfly": lambda spark, sf_dir: merkle_manifest.digest(table(spark, sf_dir, "documents")),
     }
 
@@ -36,5 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_induction": suffix_dedup.ORACLE_SQL,
         "op5_partenum_join": partenum.ORACLE_SQL,
         "op8_poisson_mix": poisson_mix.ORACLE_SQL,
+        "op11_recompressed_runs": periodic_runs.ORACLE_SQL,
         "op12_merkle_butterfly": merkle_manifest.ORACLE_SQL,
     }
