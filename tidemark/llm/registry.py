@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language_id, merkle_manifest, partenum, periodic_runs, phrase_automata, pii, poisson_mix, prefix_forest, secret_scan, suffix_dedup, url_filter
+from tidemark.llm import context_tree, decontaminate, language_id, merkle_manifest, partenum, periodic_runs, phrase_automata, pii, poisson_mix, prefix_forest, secret_scan, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_pieces": lambda spark, sf_dir: language_id.digest(table(spark, sf_dir, "documents")),
         "op11_recompressed_runs": lambda spark, sf_dir: periodic_runs.digest(table(spark, sf_dir, "documents")),
         "op12_merkle_butterfly": lambda spark, sf_dir: merkle_manifest.digest(table(spark, sf_dir, "documents")),
+        "op13_context_tree": lambda spark, sf_dir: context_tree.digest(table(spark, sf_dir, "documents")),
     }
 
 
