@@ -57,11 +57,13 @@ def test_two_tasks_share_the_extraction(spark, source, tmp_path, alone):
     assert stores.read_subjects(spark, str(folder), "history").count() == 2
 
 
-@pytest.mark.parametrize("ends_at", [5, 8])
+@pytest.mark.parametrize("ends_at", [5, 8, None])
 def test_a_run_that_broke_off_is_done_anew(spark, source, tmp_path, monkeypatch, ends_at, alone):
-    """The ends_at-th write fails, once in the middle of a batch and once where only _done was left to write."""
+    """The ends_at-th write fails, once in the middle of a batch and once at the start of the next stage; or, without one, the batch's commit."""
     from pyspark.sql import DataFrameWriter
 
+    from tidemark.sources import commits
+
     run = lambda: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), task="LOS", preprocess=True)
     write, left = DataFrameWriter.parquet, [ends_at]
 
@@ -71,7 +73,13 @@ def test_a_run_that_broke_off_is_done_anew(spark, source, tmp_path, monkeypatch,
             raise OSError("lost")
         return write(self, path, *a, **k)
 
-    monkeypatch.setattr(type(spark.range(0).write), "parquet", failing)
+    def no_commit(*a):
+        raise OSError("lost")
+
+    if ends_at is None:
+        monkeypatch.setattr(commits, "put_if_absent", no_commit)
+    else:
+        monkeypatch.setattr(type(spark.range(0).write), "parquet", failing)
     with pytest.raises(OSError, match="lost"):
         run()
     monkeypatch.undo()
@@ -80,6 +88,17 @@ def test_a_run_that_broke_off_is_done_anew(spark, source, tmp_path, monkeypatch,
         assert sorted(map(str, got[n].collect())) == alone[n]
 
 
+def test_two_runs_at_once(spark, source, tmp_path, alone):
+    from concurrent.futures import ThreadPoolExecutor
+
+    run = lambda _: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), task="LOS", preprocess=True)
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(run, range(2)))
+    for got in both:
+        for n in ("X", "y"):
+            assert sorted(map(str, got[n].collect())) == alone[n]
+
+
 @pytest.mark.parametrize("bad", [{"subject_ids": [1], "num_subjects": 1}, {"discretize": True}, {"task": "X"}, {"engineer": True, "task": "MULTI"}])
 def test_bad_arguments(spark, source, tmp_path, bad):
     with pytest.raises(ValueError):

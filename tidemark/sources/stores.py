@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.codes import random_order
+from tidemark.sources import commits
 
 
 def common_subjects(tables: Sequence[DataFrame], key: str = "SUBJECT_ID") -> DataFrame:
@@ -19,30 +20,38 @@ def common_subjects(tables: Sequence[DataFrame], key: str = "SUBJECT_ID") -> Dat
     return reduce(lambda a, b: a.join(b, key, "left_semi"), (t.select(key).distinct() for t in tables))
 
 
-def done_subjects(spark: SparkSession, folder: str, key: str = "SUBJECT_ID", kind: str = "int") -> DataFrame:
-    """(key, batch) of what a stage's folder holds: the subjects of the batches that were written to their end."""
+def _holders(spark: SparkSession, folder: str, key: str, kind: str) -> DataFrame:
+    """(key, batch, number): which committed batches have a subject; runs that wrote at once may both have it."""
     try:
-        return spark.read.parquet(f"{folder}/_done")
+        rows = spark.read.parquet(f"{folder}/_subjects")
     except AnalysisException:
-        return spark.createDataFrame([], f"{key} {kind}, batch string")
+        return spark.createDataFrame([], f"{key} {kind}, batch string, number long")
+    return rows.join(commits.committed(spark, f"{folder}/_commits"), "batch").select(key, "batch", "number")
+
+
+def done_subjects(spark: SparkSession, folder: str, key: str = "SUBJECT_ID", kind: str = "int") -> DataFrame:
+    """(key, batch) of what a stage's folder holds: each subject with the first of the committed batches that have it."""
+    return _holders(spark, folder, key, kind).groupBy(key).agg(F.min_by("batch", "number").alias("batch"))
 
 
 def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "SUBJECT_ID") -> None:
     """The rows of subjects that all tables have and the folder doesn't, as a batch in a folder of each table.
 
-    A batch counts only once its subjects stand in _done, which is written last: a run that ends before leaves files
-    that nobody reads, and the next one writes these subjects anew. Rows are clustered by ranges of subjects, so that
-    their number of files follows the data and a few subjects are found by the files' least and largest keys.
+    A batch counts only once it has a number, which it is given last: a run that ends before leaves files that nobody
+    reads, and the next one writes these subjects anew. Runs may write at once, without waiting: of the batches that
+    have a subject, the one with the least number counts and the others' rows of it are never read, whatever the order
+    in which files appear. Rows are clustered by ranges of subjects, so that their number of files follows the data and
+    a few subjects are found by the files' least and largest keys.
     """
     spark = next(iter(tables.values())).sparkSession
-    batch = uuid.uuid4().hex
+    batch = f"b{uuid.uuid4().hex}"  # never read as a number
     kind = next(iter(tables.values())).schema[key].dataType.simpleString()
     new = common_subjects(list(tables.values()), key).join(done_subjects(spark, folder, key, kind), key, "left_anti")
-    new.write.parquet(f"{folder}/_subjects/{batch}")  # once, not with each table
-    ids = spark.read.schema(new.schema).parquet(f"{folder}/_subjects/{batch}")
+    new.write.parquet(f"{folder}/_subjects/batch={batch}")  # once, not with each table
+    ids = spark.read.schema(new.schema).parquet(f"{folder}/_subjects/batch={batch}")
     for name, t in tables.items():
         t.join(ids, key, "left_semi").repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}/batch={batch}")
-    ids.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/_done")
+    commits.commit(spark, f"{folder}/_commits", batch)
 
 
 def sample_subjects(ids: DataFrame, n: int, seed: int = 42, key: str = "SUBJECT_ID", skip: int = 0) -> DataFrame:
@@ -54,8 +63,12 @@ def read_subjects(spark: SparkSession, folder: str, kind: str, ids: Sequence[int
     """A stage's table, of all subjects, given ones, or a seeded sample; ids and a number together are an error."""
     if ids is not None and num_subjects is not None:
         raise ValueError("give subject ids or their number, not both")
-    batches = [r["batch"] for r in done_subjects(spark, folder, key).select("batch").distinct().collect()]  # one for each run
-    table = spark.read.parquet(f"{folder}/{kind}").where(F.col("batch").isin(*batches)).drop("batch")
+    batches = [r["batch"] for r in commits.committed(spark, f"{folder}/_commits").select("batch").collect()]  # one for each run
+    table = spark.read.parquet(f"{folder}/{kind}").where(F.col("batch").isin(*batches))
+    held = _holders(spark, folder, key, table.schema[key].dataType.simpleString())
+    # Only runs at once leave subjects in two batches; without them nothing is joined.
+    lost = held.withColumn("first", F.min("number").over(Window.partitionBy(key))).where("number > first").select(key, "batch")
+    table = (table if lost.isEmpty() else table.join(lost, [key, "batch"], "left_anti")).drop("batch")
     if ids is not None:
         return table.where(F.col(key).isin(*ids)) if ids else table.limit(0)
     if num_subjects is not None:
