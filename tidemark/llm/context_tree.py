@@ -30,7 +30,7 @@ DEPTH = 5
 #: Contexts of so many bytes lie together; the trees' parts above have a row for two bytes and a decision at most.
 SPLIT = 3
 #: Text of a block, in bytes; one longer document is a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
 #: Positions that are looked at at a time.
 CHUNK = 2_000_000
 #: Grams of whole three-byte contexts that are worked on together.
