@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.catalog import learning, relational, series, splits, storage
+from tidemark.catalog import exports, learning, relational, series, splits, storage
 
-ENTRIES = relational.ENTRIES | series.ENTRIES | splits.ENTRIES | learning.ENTRIES | storage.ENTRIES
+ENTRIES = relational.ENTRIES | series.ENTRIES | splits.ENTRIES | learning.ENTRIES | storage.ENTRIES | exports.ENTRIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
