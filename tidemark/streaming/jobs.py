@@ -28,10 +28,10 @@ def recovered(events: DataFrame, history: DataFrame) -> DataFrame:
 
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Every file that is there now, once, and then an end."""
-    return _now(stream.writeStream.format("parquet").option("path", path), checkpoint)
+    return now(stream.writeStream.format("parquet").option("path", path), checkpoint)
 
 
-def _now(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+def now(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -50,7 +50,7 @@ def scaler_states(rows: DataFrame, columns: Sequence[str], path: str, checkpoint
     def keep(batch: DataFrame, number: int) -> None:
         scale.moments_of(batch, columns).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return _now(rows.writeStream.foreachBatch(keep), checkpoint)
+    return now(rows.writeStream.foreachBatch(keep), checkpoint)
 
 
 def merged_states(spark: SparkSession, path: str) -> DataFrame:
