@@ -2,11 +2,13 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import jobs, online
+from tidemark.operators import timeseries
+from tidemark.streaming import grids, jobs, online
 
 SCHEMA = "id int, features array<double>, y int"
 
@@ -73,3 +75,53 @@ def test_features_of_different_number_are_refused(spark):
         online.gradient(rows, {}).collect()
     assert online.gradient(rows.limit(0), {}).count() == 0
     assert [r.p for r in online.scored(rows, {-1: 0.0, 0: 1.0, 1: 1.0}).orderBy("id").collect()] == pytest.approx([1 / (1 + math.exp(-3)), 1 / (1 + math.exp(-1))])
+
+
+T0 = datetime(2100, 1, 1)
+EVENT = "ICUSTAY_ID long, CHARTTIME timestamp, INTIME timestamp, OUTTIME timestamp, VARIABLE string, VALUE double"
+
+
+def event(stay, hours, name, value, length=30):
+    begun = T0 + timedelta(hours=stay)
+    return stay, begun + timedelta(hours=hours), begun, begun + timedelta(hours=length), name, value
+
+
+def batch_grid(spark, rows, normal):
+    series = spark.createDataFrame([(r[0], (r[1] - r[2]).total_seconds() / 3600, *((r[5] if r[4] == c else None) for c in normal)) for r in rows], "ICUSTAY_ID long, hours double, " + ", ".join(f"{c} double" for c in normal))
+    by = ["ICUSTAY_ID"]
+    grid = timeseries.dense_grid(timeseries.last_in_bin(timeseries.with_bins(series, 1.0, True, by), list(normal), by), by)
+    return sorted(map(tuple, timeseries.imputed(grid, normal, "previous", by).select("ICUSTAY_ID", "bins", *normal).collect()))
+
+
+def run_grid(spark, folder, rows, normal, delay):
+    """One more file, and all that is there; each call goes on where the last one ended."""
+    frame = spark.createDataFrame(rows, EVENT)
+    frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    with grids.keyed_state(spark):
+        made = grids.filled_grid(jobs.event_stream(spark, f"{folder}/in", frame.schema), list(normal), list(normal.values()), delay)
+        jobs.append(made, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return sorted(map(tuple, spark.read.schema(made.schema).parquet(f"{folder}/out").where("ICUSTAY_ID >= 0").collect()))
+
+
+def test_grid_of_rows_out_of_order(spark, tmp_path):
+    rng = random.Random(9)
+    normal = {"HR": 86.0, "pH": None}
+    rows = [event(s, h, rng.choice(list(normal)), rng.choice([None, rng.random()])) for s in range(4) for h in [0.0, 1.0, 2.0, 2.0, 29.5, *(rng.random() * 30 for _ in range(25))] if rng.random() < 0.7]
+    rng.shuffle(rows)
+    cut = len(rows) // 3
+    last = event(-1, 1000, "HR", 1.0, 2000)
+    got = None
+    for part in (rows[:cut], rows[cut : 2 * cut], rows[2 * cut :], [last]):
+        got = run_grid(spark, tmp_path, part, normal, "40 hours")
+    assert got == batch_grid(spark, rows, normal)
+    assert len({r[0] for r in got}) == 4
+
+
+def test_late_rows_and_the_end_of_a_stay(spark, tmp_path):
+    normal = {"HR": 0.0}
+    assert run_grid(spark, tmp_path, [event(0, 0.5, "HR", 1.0, 10), event(0, 4.5, "HR", 2.0, 10)], normal, "2 hours") == [(0, 0, 1.0), (0, 1, 1.0)]
+    # in time for bin 3, too late for bin 1; what lies outside of the stay doesn't count
+    assert run_grid(spark, tmp_path, [event(0, 3.2, "HR", 9.0, 10), event(0, 1.5, "HR", 7.0, 10), event(0, 12.0, "HR", 8.0, 10), event(0, -1.0, "HR", 8.0, 10)], normal, "2 hours") == [(0, k, v) for k, v in enumerate([1.0, 1.0, 1.0, 9.0, 2.0])]
+    # the stay ended with its last bin, and what comes behind the watermark starts no new one
+    after = run_grid(spark, tmp_path, [event(0, 9.0, "HR", 5.0, 10), event(-1, 60, "HR", 1.0, 100)], normal, "2 hours")
+    assert after == [(0, k, v) for k, v in enumerate([1.0, 1.0, 1.0, 9.0, 2.0])]

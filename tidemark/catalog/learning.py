@@ -203,14 +203,18 @@ def recalibrated(method: str):
     return query
 
 
-def _source(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream over copies of the table in several files, in the order of time."""
+def _source(spark: SparkSession, d: str, closed: bool = False) -> DataFrame:
+    """The events as a stream over copies of the table in several files, in the order of time; with closed, a row of no stay (-1) comes 60 days later, so that the watermark passes all others."""
     folder = P.folder(spark)
     e = P.events(spark, d).select("SUBJECT_ID", "ICUSTAY_ID", "EVENT_ID", "CHARTTIME", "INTIME", "hours", "VARIABLE", "VALUE")
     day = codes.hours_between(P.start(), F.col("CHARTTIME")) / 24
     for first in range(0, 32, 8):  # a stay's rows of a span are in one file, and later spans in later files
         span = e.where((day >= first) & ((day < first + 8) if first < 24 else F.lit(True)))
         span.repartition("ICUSTAY_ID").write.mode("append").parquet(f"{folder}/in")
+    if closed:
+        later = lambda c: (F.max(c) + F.expr("INTERVAL 60 DAYS")).alias(c)
+        last = e.agg(later("CHARTTIME"), later("INTIME")).where("CHARTTIME IS NOT NULL")
+        last.select(*(F.col(c) if c in ("CHARTTIME", "INTIME") else F.lit(-1 if c == "ICUSTAY_ID" else None).cast(t).alias(c) for c, t in e.dtypes)).write.mode("append").parquet(f"{folder}/in")
     return jobs.event_stream(spark, f"{folder}/in", e.schema, files=2)
 
 
@@ -225,14 +229,13 @@ def ingested(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bins of the stream; the watermark lets all rows pass, and the last bins stay open."""
-    folder = P.folder(spark)
+    """Daily bins of the stream, each given out once the watermark has passed it; files hold eight days."""
+    folder, source = P.folder(spark), _source(spark, d, closed=True)
     stays = P.episodic(spark, d).select("ICUSTAY_ID", "INTIME")
-    binned = jobs.hourly_bins(_source(spark, d).drop("INTIME"), stays, 24.0, "3650 days")
-    query = binned.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"))
-    query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{folder}/out").groupBy("ICUSTAY_ID", "VARIABLE", "bins").agg(F.max_by("VALUE", "batch").alias("VALUE"))
-    return last
+    none = stays.agg(F.lit(-1).cast("long").alias("ICUSTAY_ID"), (F.max("INTIME") + F.expr("INTERVAL 60 DAYS")).alias("INTIME"))
+    binned = jobs.hourly_bins(source.drop("INTIME"), stays.unionByName(none), 24.0, "12 days")
+    jobs.append(binned, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(binned.schema).parquet(f"{folder}/out").where("ICUSTAY_ID >= 0").select("ICUSTAY_ID", "VARIABLE", "bins", "VALUE")
 
 
 def streamed_scaler(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import proxies as P
-from tidemark.streaming import jobs, online
+from tidemark.catalog.series import NORMAL, STEP, _imputed_sql
+from tidemark.streaming import grids, jobs, online
 
 #: Days of events that come at a time, and what is to be told of an event: whether its value is above this.
 SPAN, HIGH = 4, 15.0
@@ -43,6 +44,29 @@ m AS (SELECT 0::BIGINT AS k, 0.0::DOUBLE AS b, {", ".join(f"0.0::DOUBLE AS {w}"
 s AS (SELECT k, y, 1 / (1 + exp(-(b + {" + ".join(f"x{i} * {w}" for i, w in enumerate(_W))}))) AS p FROM m JOIN r USING (k))
 SELECT k AS batch, count(*) AS n, round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 8) AS log_loss, round(avg(pow(p - y, 2)), 8) AS brier, round(avg(((p > 0.5)::INT = y)::INT), 8) AS accuracy FROM s GROUP BY 1"""
 
+def streamed_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The daily grid of all channels, filled from the days before, from files with rows up to eight days out of order; the watermark is ten days behind."""
+    folder, e = P.folder(spark), P.events(spark, d)
+    day = F.floor((F.unix_micros("CHARTTIME") - F.unix_micros(P.start())) / 86_400_000_000)
+    ends = F.timestamp_micros(F.unix_micros("INTIME") + P.STAY_DAYS * 86_400_000_000)
+    late = F.crc32(F.col("EVENT_ID").cast("string").cast("binary")) % 5  # by up to four days, in files of four days
+    rows = e.select("ICUSTAY_ID", "CHARTTIME", "INTIME", ends.alias("OUTTIME"), "VARIABLE", "VALUE", F.floor((day + late) / 4).alias("file"))
+    rows.write.partitionBy("file").parquet(f"{folder}/rows")
+    held = spark.read.parquet(f"{folder}/rows")
+    last = held.agg(F.max("file"), F.max("CHARTTIME")).first()
+    for n in range((last[0] if last[0] is not None else -1) + 1):
+        held.where(F.col("file") == n).drop("file").write.mode("append").parquet(f"{folder}/in")
+    schema = held.drop("file").schema
+    # What comes long after: the watermark passes the last stays' ends.
+    after = held.limit(1).select(F.lit(-1).cast("long").alias("ICUSTAY_ID"), *((F.lit(last[1]) + F.expr("INTERVAL 60 DAYS")).alias(c) for c in ("CHARTTIME", "INTIME", "OUTTIME")), F.lit(P.CHANNELS[0]).alias("VARIABLE"), F.lit(None).cast("double").alias("VALUE"))
+    spark.createDataFrame(after.collect(), schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    with grids.keyed_state(spark):
+        made = grids.filled_grid(jobs.event_stream(spark, f"{folder}/in", schema, files=8), P.CHANNELS, [NORMAL[c] for c in P.CHANNELS], "10 days", STEP)
+        jobs.append(made, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out").where("ICUSTAY_ID >= 0")
+
+
 ENTRIES = {
+    "r7_r3_streamed_grid": (streamed_grid, f"SELECT * EXCLUDE (SUBJECT_ID) FROM ({_imputed_sql('previous')})"),
     "r6_learned_in_stream": (learned, LEARNED_SQL),
 }
