@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
@@ -32,7 +33,7 @@ SPLIT = 3
 #: Text of a block, in bytes; one longer document is a block of its own.
 BLOCK_BYTES = 32_000_000
 #: Positions that are looked at at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Grams of whole three-byte contexts that are worked on together.
 GROUP = 500_000
 #: A byte that no UTF-8 has: what lies before a text, and its end.
@@ -49,34 +50,38 @@ class Windows:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int):
         n, self.depth = len(offsets) - 1, depth
         length = np.diff(offsets)
-        self.buffer = np.full(len(data) + n * (depth + 1), EDGE, np.uint8)
-        self.first = offsets[:-1] + np.arange(n) * (depth + 1) + depth
+        self.buffer = np.full(8 + len(data) + n * (depth + 1), EDGE, np.uint8)
+        self.first = 8 + offsets[:-1] + np.arange(n) * (depth + 1) + depth
         self.last = self.first + length  # where the end is
-        self.buffer[np.arange(len(data)) + np.repeat(self.first - offsets[:-1], length)] = _LOWER[data]
+        self.own = np.zeros(len(self.buffer), bool)
+        self.own[8:] = True
+        for k in range(depth):
+            self.own[self.first - 1 - k] = False
+        at = self.own.copy()
+        at[self.last] = False
+        self.buffer[at] = _LOWER[data]
 
     def chunks(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(low, high, grams) for stretches of positions; those of the padding too."""
-        for a in range(self.depth, len(self.buffer), CHUNK):
+        before = np.lib.stride_tricks.as_strided(self.buffer[: max(0, len(self.buffer) - 8)].view(np.uint8), (len(self.buffer) - 8, 8), (1, 1))
+        for a in range(8, len(self.buffer), CHUNK):
             b = min(len(self.buffer), a + CHUNK)
-            gram = self.buffer[a:b].astype(np.int64)
-            for k in range(1, self.depth + 1):
-                gram |= self.buffer[a - k : b - k].astype(np.int64) << (8 * (self.depth + 1 - k))
-            yield a, b, gram
+            # the eight bytes before each position as a little-endian number: the nearest one is its highest
+            gram = np.ascontiguousarray(before[a - 8 : b - 8]).view("<u8")[:, 0]
+            gram >>= np.uint64(8 * (8 - self.depth))
+            gram <<= np.uint64(8)
+            gram |= self.buffer[a:b]
+            yield a, b, gram.view(np.int64)
 
     def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        own = np.zeros(len(self.buffer) + 1, np.int32)
-        own[self.first] += 1
-        own[self.last + 1] -= 1
-        own = np.cumsum(own[:-1]).astype(bool)
-        return [np.unique(g[own[a:b]], return_counts=True) for a, b, g in self.chunks()]
-
-    def sums(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each text, the sum of its grams' values; grams are sorted and hold all of them."""
+        return [np.unique(g[self.own[a:b]], return_counts=True) for a, b, g in self.chunks()]
+
+    def sums(self, grams: pd.Index, values: np.ndarray) -> np.ndarray:
+        """For each text, the sum of its grams' values."""
         out = np.zeros(len(self.first))
         for a, b, gram in self.chunks():
-            told = values[np.minimum(np.searchsorted(grams, gram), len(grams) - 1)]
+            total = np.concatenate([[0.0], np.cumsum(values[grams.get_indexer(gram)] * self.own[a:b])])
             low, high = np.searchsorted(self.last, a), np.searchsorted(self.first, b)
-            total = np.concatenate([[0.0], np.cumsum(told)])
             s, e = np.clip(self.first[low:high], a, b) - a, np.clip(self.last[low:high] + 1, a, b) - a
             out[low:high] += total[e] - total[s]
         return out
@@ -297,30 +302,32 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     told = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ends = texts.agg(F.count_if("learn")).first()[0]
     total, kinds = told["n"] + ends, told["v"] + (ends > 0)
-    log_of = lambda c: math.log10((c + SMOOTH) / (total + SMOOTH * (kinds + 1)))
-
-    given_grams = gram_asked.select("block", "gram").join(_answers(grams, depth), "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    given_words = word_asked.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))
+    # A gram's answer goes to its blocks as a float, at half the bytes: it is off by less than a millionth.
+    given_grams = gram_asked.select("block", "gram").join(_answers(grams, depth), "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("value").cast("float").alias("value"), F.lit(None).cast("long").alias("n"))
+    given_words = word_asked.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.lit(None).cast("float").alias("value"), "n")
 
     def score(rows: pa.Table, given: pa.Table) -> pa.Table:
         is_word = given.column("word").is_valid()
-        counts = given.filter(is_word)
-        of = {w: (log_of(c), c > 0) for w, c in zip(counts.column("word").to_pylist(), counts.column("value").to_pylist(), strict=True)}
-        values = given.filter(pa.compute.invert(is_word))
+        counts, values = given.filter(is_word), given.filter(pa.compute.invert(is_word))
+        times = np.append(counts.column("n").to_numpy(), ends)  # the end's place is -1
+        place = dict(zip(counts.column("word").to_pylist(), range(len(times) - 1), strict=True))
+        log = np.log10((times + SMOOTH) / (total + SMOOTH * (kinds + 1)))
         gram, first = np.unique(values.column("gram").to_numpy(), return_index=True)
-        value = values.column("value").to_numpy()[first]
+        value, gram = values.column("value").to_numpy()[first].astype(float), pd.Index(gram)
         out = []
         for batch in rows.to_batches():
             for a, b, data, offsets in pieces(batch):
                 raw, ends_at = _LOWER[data].tobytes(), offsets.tolist()
-                n, known, base = [], [], []
+                met: list[int] = []
+                stops = [0]
                 for s, e in zip(ends_at, ends_at[1:], strict=False):
-                    met = [of[w] for w in raw[s:e].split()]
-                    n.append(len(met) + 1)
-                    known.append(sum(k for _, k in met) + (ends > 0))
-                    base.append(math.fsum(x for x, _ in met) + log_of(ends))
+                    met += [place[w] for w in raw[s:e].split()]
+                    met.append(-1)
+                    stops.append(len(met))
+                met = np.array(met)
+                base, known = (np.add.reduceat(x, stops[:-1]) for x in (log[met], (times[met] > 0).astype(np.int64)))
                 own = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", "learn")]
-                made = [pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(Windows(data, offsets, depth).sums(gram, value))]
+                made = [pa.array(np.diff(offsets)), pa.array(np.diff(stops)), pa.array(known), pa.array(base), pa.array(Windows(data, offsets, depth).sums(gram, value))]
                 out.append(pa.RecordBatch.from_arrays([*own, *made], ["id", "learn", "n_bytes", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
