@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import timeseries
-from tidemark.streaming import grids, jobs, online
+from tidemark.streaming import grids, jobs, online, rolling
 
 SCHEMA = "id int, features array<double>, y int"
 
@@ -125,3 +125,41 @@ def test_late_rows_and_the_end_of_a_stay(spark, tmp_path):
     # the stay ended with its last bin, and what comes behind the watermark starts no new one
     after = run_grid(spark, tmp_path, [event(0, 9.0, "HR", 5.0, 10), event(-1, 60, "HR", 1.0, 100)], normal, "2 hours")
     assert after == [(0, k, v) for k, v in enumerate([1.0, 1.0, 1.0, 9.0, 2.0])]
+
+
+ROW = "key string, at long, id long, y int, p double, own int, told int"
+
+
+def plain_rolling(rows, size, every):
+    """(key, seen, n, auc, quadratic kappa) by sorting and counting each window anew."""
+    out = []
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        for end in range(every, len(own) + 1, every):
+            w = own[max(0, end - size) : end]
+            pos, neg = ([min(9, math.floor(r[4] * 10 + 1e-9)) for r in w if r[3] == y and r[4] is not None] for y in (1, 0))
+            auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
+            told = [(r[5], r[6]) for r in w if r[5] is not None and r[6] is not None]
+            o, e = sum((a - b) ** 2 for a, b in told), sum((a - b) ** 2 for a, _ in told for _, b in told)
+            out.append((key, end, len(w), auc, (1 - o * len(told) / e if e else 0.0) if told else None))
+    return sorted(out, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize(("size", "every"), [(7, 3), (5, 20), (100, 10)])
+def test_rows_that_leave_a_window_are_taken_back(spark, tmp_path, size, every):
+    rng = random.Random(size)
+    rows = [(rng.choice("ab"), i, i % 3, rng.choice([0, 1, None]), rng.choice([None, rng.random(), 1.0]), rng.choice([0, 1, 2, None]), rng.randrange(3)) for i in range(90)]
+    rows += [("c", 100 + i, 0, 1, 0.5, None, None) for i in range(20)]  # one label only, and no classes
+    got = []
+    for part in (rows[:40], rows[40:44], rows[44:]):
+        frame = spark.createDataFrame(rng.sample(part, len(part)), ROW)
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with grids.keyed_state(spark):
+            stream = jobs.event_stream(spark, f"{tmp_path}/in", frame.schema)
+            made = rolling.rolling_metrics(stream, "key", "at", "id", "y", "p", F.col("own"), F.col("told"), size, every, 10, 3, "quadratic")
+            jobs.append(made, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        got = sorted(map(tuple, spark.read.schema(made.schema).parquet(f"{tmp_path}/out").collect()))
+    want = plain_rolling(rows, size, every)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[3:] == tuple(x if x is None else pytest.approx(x) for x in w[3:])

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import proxies as P
+from tidemark.catalog.learning import _source
 from tidemark.catalog.series import NORMAL, STEP, _imputed_sql
+from tidemark.operators import scale
 from tidemark.streaming import grids, jobs, online
+from tidemark.streaming.rolling import rolling_metrics
 
 #: Days of events that come at a time, and what is to be told of an event: whether its value is above this.
 SPAN, HIGH = 4, 15.0
@@ -66,7 +69,59 @@ def streamed_grid(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(made.schema).parquet(f"{folder}/out").where("ICUSTAY_ID >= 0")
 
 
+#: Rows of a window, and after how many of them it is told.
+SIZE, EVERY = 1000, 100
+
+
+def rolling(spark: SparkSession, d: str) -> DataFrame:
+    """AUC and linear kappa of the last 1 000 events of each type: a score and a class that follow the value, but not always."""
+    folder, e = P.folder(spark), P.events(spark, d)
+    day = F.floor((F.unix_micros("CHARTTIME") - F.unix_micros(P.start())) / 86_400_000_000)
+    cents = F.floor((F.col("VALUE") * 3 + F.col("EVENT_ID") % 50) % 100)
+    rows = e.select("VARIABLE", "CHARTTIME", "EVENT_ID", (F.col("VALUE") > HIGH).cast("int").alias("y"), (cents / 100).alias("p"), F.least(F.lit(4), F.floor(F.col("VALUE") / 8)).alias("own"), F.floor(cents / 20).alias("told"), F.floor(day / SPAN).alias("span"))
+    rows.write.partitionBy("span").parquet(f"{folder}/rows")
+    held = spark.read.parquet(f"{folder}/rows")
+    last = held.agg(F.max("span")).first()[0]
+    for span in range((last if last is not None else -1) + 1):
+        held.where(F.col("span") == span).drop("span").write.mode("append").parquet(f"{folder}/in")
+        with grids.keyed_state(spark):
+            stream = jobs.event_stream(spark, f"{folder}/in", held.drop("span").schema, files=1_000_000)
+            made = rolling_metrics(stream, "VARIABLE", "CHARTTIME", "EVENT_ID", "y", "p", F.col("own"), F.col("told"), SIZE, EVERY, 100, 5, "linear")
+            jobs.append(made, f"{folder}/out", f"{folder}/state").awaitTermination()
+    told = spark.read.parquet(f"{folder}/out")
+    return told.select("VARIABLE", "seen", "n", F.round("roc_auc", 8).alias("roc_auc"), F.round("kappa", 8).alias("kappa"))
+
+
+ROLLING_SQL = f"""WITH r AS (SELECT event_type AS VARIABLE, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, (value > {HIGH})::INT AS y, floor((value * 3 + event_id % 50) % 100)::INT AS c, least(4, floor(value / 8))::INT AS own FROM events),
+w AS (SELECT a.VARIABLE, a.i AS seen, b.y, b.c, b.own, b.c // 20 AS told FROM r a JOIN r b ON a.VARIABLE = b.VARIABLE AND b.i BETWEEN a.i - {SIZE - 1} AND a.i WHERE a.i % {EVERY} = 0),
+h AS (SELECT *, sum(neg) OVER (PARTITION BY VARIABLE, seen ORDER BY c) AS cneg FROM (SELECT VARIABLE, seen, c, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM w GROUP BY ALL)),
+auc AS (SELECT VARIABLE, seen, sum(pos * (cneg - neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS v FROM h GROUP BY ALL),
+o AS (SELECT VARIABLE, seen, count(*) AS n, sum(abs(own - told))::DOUBLE AS o FROM w GROUP BY ALL),
+e AS (SELECT VARIABLE, seen, sum(abs(own - told) * a.k * b.k)::DOUBLE AS e FROM (SELECT VARIABLE, seen, own, count(*) AS k FROM w GROUP BY ALL) a JOIN (SELECT VARIABLE, seen, told, count(*) AS k FROM w GROUP BY ALL) b USING (VARIABLE, seen) GROUP BY ALL)
+SELECT VARIABLE, seen, n, round(v, 8) + 0.0::DOUBLE AS roc_auc, round(CASE WHEN e = 0 THEN 0 ELSE 1 - o * n / e END, 8) + 0.0::DOUBLE AS kappa FROM o JOIN auc USING (VARIABLE, seen) JOIN e USING (VARIABLE, seen)"""
+
+#: Quantiles that the median imputer and the robust scaler are made from.
+SHARES = [0.25, 0.5, 0.75]
+
+
+def streamed_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the quartiles that sketches tell, kept batch by batch, have a rank within the stated error in the whole table."""
+    folder, source = P.folder(spark), _source(spark, d)
+    columns = ["VALUE", "hours"]
+    jobs.sketch_states(source, columns, f"{folder}/out", f"{folder}/state").awaitTermination()
+    told = scale.sketched_quantiles(jobs.merged_sketches(spark, f"{folder}/out"), SHARES)
+    told = told.select("name", "n", F.posexplode("q").alias("i", "v"))  # three rows a column
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns)))
+    rows = P.events(spark, d).select(each.alias("s")).select("s.*").join(F.broadcast(told), "name")
+    ranks = rows.groupBy("name", "n", "i").agg(F.count_if(F.col("x") < F.col("v")).alias("below"), F.count_if(F.col("x") <= F.col("v")).alias("upto"))
+    share, error = F.element_at(F.array(*map(F.lit, SHARES)), F.col("i") + 1), scale.rank_error()
+    within = (F.col("below") / F.col("n") <= share + error) & (F.col("upto") / F.col("n") >= share - error)
+    return ranks.select("name", share.alias("share"), "n", within.alias("within"))
+
+
 ENTRIES = {
+    "r5_e5_streamed_quantiles": (streamed_quantiles, f"SELECT name, unnest({SHARES})::DOUBLE AS share, n, true AS within FROM (SELECT 'VALUE' AS name, count(value) AS n FROM events UNION ALL SELECT 'hours', count(ts) FROM events)"),
+    "m16_rolling_metrics": (rolling, ROLLING_SQL),
     "r7_r3_streamed_grid": (streamed_grid, f"SELECT * EXCLUDE (SUBJECT_ID) FROM ({_imputed_sql('previous')})"),
     "r6_learned_in_stream": (learned, LEARNED_SQL),
 }

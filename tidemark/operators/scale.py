@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import prefix_sums
 from tidemark.operators.timeseries import quoted
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
@@ -16,9 +17,27 @@ def _one_row(rows: DataFrame, columns: Sequence[str], of) -> DataFrame:
     return rows.agg(*(of(quoted(c)).alias(c) for c in columns))
 
 
-def quantile(c: Column, share: float, accuracy: int | None) -> Column:
-    """Exact, from all distinct values; or from a sketch of bounded size, with a rank error of 1 / accuracy."""
-    return F.percentile(c, F.lit(share)) if accuracy is None else F.percentile_approx(c, share, accuracy)
+def quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(name, q): each column's exact quantiles, between two values as far along as the share is; q is null without known values.
+
+    Values are counted over the cluster and ranked by running sums, so no task holds a column's values.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("v")) for c in columns)))
+    counts = rows.select(each.alias("x")).select("x.*").where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counts, ["name"], "v", ["n"])
+    total = counts.groupBy("name").agg(F.sum("n").alias("_all"))
+    at = [F.lit(float(s)) * (F.col("_all") - 1) for s in shares]
+    met = lambda place: F.min(F.when(F.col("cum_n") > place, F.col("v")))
+    low, high = ([met(of(a)) for a in at] for of in (F.floor, F.ceil))
+    found = ranked.join(total, "name").groupBy("name").agg(F.array(*low).alias("_l"), F.array(*high).alias("_h"), F.max("_all").alias("_all"))
+    part = lambda l, i: l + (F.get("_h", i) - l) * (F.get(F.array(*at), i) - F.floor(F.get(F.array(*at), i)))
+    return found.select("name", F.transform("_l", part).alias("q"))
+
+
+def _in_a_row(rows: DataFrame, columns: Sequence[str], of) -> DataFrame:
+    """One row of a (name, ...) table, with of(name's value) for each column; of gets an aggregate that picks a name's value of a column."""
+    pick = lambda c: lambda v: F.max_by(v, F.when(F.col("name") == c, F.lit(1)))
+    return rows.agg(*(of(pick(c)).alias(c) for c in columns))
 
 
 def _modes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,12 +49,14 @@ def _modes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_imputer(rows: DataFrame, columns: Sequence[str], strategy: str = "mean", constant: float = 0.0, accuracy: int | None = None) -> DataFrame:
-    """One row with each column's fill value, over known values. With accuracy the median comes from a sketch, for data of which the distinct values don't fit a task."""
+    """One row with each column's fill value, over known values. With accuracy the median comes from a sketch, of a rank error of 1 / accuracy, in one pass."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if strategy == "most_frequent":
         return _modes(rows, columns)
-    of = {"mean": F.avg, "median": lambda c: quantile(c, 0.5, accuracy), "constant": lambda c: F.first(F.lit(float(constant)))}[strategy]
+    if strategy == "median" and accuracy is None:
+        return _in_a_row(quantiles(rows, columns, [0.5]), columns, lambda pick: pick(F.get("q", F.lit(0))))
+    of = {"mean": F.avg, "median": lambda c: F.percentile_approx(c, 0.5, accuracy), "constant": lambda c: F.first(F.lit(float(constant)))}[strategy]
     return _one_row(rows, columns, of)
 
 
@@ -54,14 +75,25 @@ SCALERS: dict[str, tuple] = {
 }
 
 
-def _robust(accuracy: int | None) -> tuple:
-    return lambda c: quantile(c, 0.5, accuracy), lambda c: quantile(c, 0.75, accuracy) - quantile(c, 0.25, accuracy)
+def _robust(accuracy: int) -> tuple:
+    of = lambda c, share: F.percentile_approx(c, share, accuracy)
+    return lambda c: of(c, 0.5), lambda c: of(c, 0.75) - of(c, 0.25)
+
+
+def _by_quartiles(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The robust scaler of (name, q), q being the quartiles."""
+    q = lambda i: F.get("q", F.lit(i))
+    one = F.when(q(2) == q(0), 1.0).otherwise(q(2) - q(0))
+    empty = F.struct(F.lit(None).cast("double").alias("centre"), F.lit(None).cast("double").alias("scale"))
+    return _in_a_row(rows, columns, lambda pick: F.coalesce(pick(F.struct(q(1).alias("centre"), one.alias("scale"))), empty))
 
 
 def fit_scaler(rows: DataFrame, columns: Sequence[str], kind: str = "minmax", accuracy: int | None = None) -> DataFrame:
     """One row (centre, scale) for each column, as structs; a scale of 0 is 1. accuracy as for the imputer, for robust."""
     if kind not in (*SCALERS, "robust"):
         raise ValueError(f"unknown scaler {kind}")
+    if kind == "robust" and accuracy is None:
+        return _by_quartiles(quantiles(rows, columns, [0.25, 0.5, 0.75]), columns)
     centre, scale = SCALERS[kind] if kind in SCALERS else _robust(accuracy)
     state = rows.agg(*(F.struct(centre(quoted(c)).cast("double").alias("centre"), scale(quoted(c)).cast("double").alias("scale")).alias(c) for c in columns))
     one = lambda c: F.when(quoted(c)["scale"] == 0, 1.0).otherwise(quoted(c)["scale"])
@@ -119,3 +151,41 @@ def from_moments(state: DataFrame) -> DataFrame:
     """(name, mean, std, lo, hi) of merged states: the exact pooled values."""
     mean = F.col("s") / F.nullif(F.col("n"), F.lit(0))
     return state.select("name", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.nullif(F.col("n"), F.lit(0)) - mean * mean)).alias("std"), "lo", "hi")
+
+
+#: Size of a quantile sketch; see rank_error().
+SKETCH = 2000
+
+
+def rank_error(k: int = SKETCH) -> float:
+    """How far the rank of a told quantile is off at most, as a share of the values, in 99 of 100 cases: that of a KLL sketch of size k, merged or not."""
+    return 2.446 / k**0.9433
+
+
+def sketches_of(rows: DataFrame, columns: Sequence[str], k: int = SKETCH) -> DataFrame:
+    """(name, n, sketch), a row a column: what is known of its quantiles, in some 10 k bytes however many values there are."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), quoted(c).cast("double").alias("v")) for c in columns)))
+    known = rows.select(each.alias("x")).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return known.groupBy("name").agg(F.count("v").alias("n"), F.kll_sketch_agg_double("v", k).alias("sketch"))
+
+
+def merged_sketches(*states: DataFrame, k: int = SKETCH) -> DataFrame:
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out.groupBy("name").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketched_quantiles(state: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(name, n, q) of merged states."""
+    return state.select("name", "n", F.array(*(F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))) for s in shares)).alias("q"))
+
+
+def imputer_of(state: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The median imputer of merged sketches, as fit_imputer() gives it."""
+    return _in_a_row(sketched_quantiles(state, [0.5]), columns, lambda pick: pick(F.get("q", F.lit(0))))
+
+
+def scaler_of(state: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The robust scaler of merged sketches, as fit_scaler() gives it."""
+    return _by_quartiles(sketched_quantiles(state, [0.25, 0.5, 0.75]), columns)

@@ -57,6 +57,19 @@ def merged_states(spark: SparkSession, path: str) -> DataFrame:
     return scale.from_moments(scale.merged_moments(spark.read.parquet(path).select("name", "n", "s", "q", "lo", "hi")))
 
 
+def sketch_states(rows: DataFrame, columns: Sequence[str], path: str, checkpoint: str, k: int = scale.SKETCH) -> StreamingQuery:
+    """Each batch's quantile sketches by column; merged when read, so a retried batch counts once. A state is a row a column and batch."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        scale.sketches_of(batch, columns, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return now(rows.writeStream.foreachBatch(keep), checkpoint)
+
+
+def merged_sketches(spark: SparkSession, path: str, k: int = scale.SKETCH) -> DataFrame:
+    return scale.merged_sketches(spark.read.parquet(path).select("name", "n", "sketch"), k=k)
+
+
 def running_errors(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(split, n, mae, mse) of scores made before learning, in update mode."""
     d = F.col(y) - F.col(p)
