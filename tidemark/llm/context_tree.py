@@ -36,6 +36,8 @@ BLOCK_BYTES = 32_000_000
 CHUNK = 1_000_000
 #: Grams of whole three-byte contexts that are worked on together.
 GROUP = 500_000
+#: Grams that are held beside a block's distinct ones before they are merged.
+MERGED = 1_000_000
 #: A byte that no UTF-8 has: what lies before a text, and its end.
 EDGE = 0xFF
 SMOOTH = 0.1
@@ -89,9 +91,13 @@ class Windows:
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their numbers."""
-    keys, n = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, n, len(distinct)).astype(n.dtype)
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")  # the parts are sorted, and merged
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(keys) else n
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -225,11 +231,11 @@ def _asked(depth: int):
                     for _, _, data, offsets in pieces(part):
                         found = Windows(data, offsets, depth).distinct()
                         grams += found if learn else [(g, np.zeros_like(n)) for g, n in found]
+                        if sum(len(g) for g, _ in grams[1:]) > MERGED:
+                            grams = [_summed(grams)]
                         raw, ends = _LOWER[data].tobytes(), offsets.tolist()
                         for s, e in zip(ends, ends[1:], strict=False):
                             words.update(raw[s:e].split() if learn else dict.fromkeys(raw[s:e].split(), 0))
-                if len(grams) > 16:
-                    grams = [_summed(grams)]
         if block is not None:
             yield put(block, grams, words)
 
@@ -281,30 +287,8 @@ def _answers(grams: DataFrame, depth: int) -> DataFrame:
     return together.mapInArrow(run, "gram long, value double")
 
 
-def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(id, learn, n_bytes, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
-
-    Rows where `learn` is true are learned from; null is false. Texts are whole, A-Z in lower case; null is empty.
-    score is log10 of the weighted probability of the text's UTF-8 bytes and its end, each given the `depth` bytes (3 to
-    6) before it; -score * log2(10) / (n_bytes + 1) is the code length of a byte. base_score is that of the words and an
-    end, each by its own frequency (0.1 added to each count). Without rows to learn from, every bit has probability
-    1/2. Repeated rows are learned as often as they stand and get a score each; null ids stay; empty docs give no rows.
-    The result is staged.
-    """
-    if not SPLIT <= depth <= 6:
-        raise ValueError("depth is 3 to 6")
-    scratch, kind = Scratch(docs.sparkSession, "context-tree"), docs.schema[id_col].dataType.simpleString()
-    texts = scratch.stage(_in_blocks(docs, id_col, text_col, learn))
-    asked = scratch.stage(texts.select("block", "text", "learn").mapInArrow(_asked(depth), "block long, gram long, word binary, n long"))
-    gram_asked, word_asked = asked.where("word IS NULL").select("block", "gram", "n"), asked.where("word IS NOT NULL").select("block", "word", "n")
-    grams = scratch.stage(gram_asked.groupBy("gram").agg(F.sum("n").alias("n")))
-    words = scratch.stage(word_asked.groupBy("word").agg(F.sum("n").alias("n")))
-    told = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    ends = texts.agg(F.count_if("learn")).first()[0]
-    total, kinds = told["n"] + ends, told["v"] + (ends > 0)
-    # A gram's answer goes to its blocks as a float, at half the bytes: it is off by less than a millionth.
-    given_grams = gram_asked.select("block", "gram").join(_answers(grams, depth), "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("value").cast("float").alias("value"), F.lit(None).cast("long").alias("n"))
-    given_words = word_asked.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.lit(None).cast("float").alias("value"), "n")
+def _scorer(depth: int, total: int, kinds: int, ends: int):
+    """Scores a block's rows by what it was given: total tokens that were learned, their kinds, and how many of them are ends."""
 
     def score(rows: pa.Table, given: pa.Table) -> pa.Table:
         is_word = given.column("word").is_valid()
@@ -331,6 +315,35 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 out.append(pa.RecordBatch.from_arrays([*own, *made], ["id", "learn", "n_bytes", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
+    return score
+
+
+def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """(id, learn, n_bytes, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
+
+    Rows where `learn` is true are learned from; null is false. Texts are whole, A-Z in lower case; null is empty.
+    score is log10 of the weighted probability of the text's UTF-8 bytes and its end, each given the `depth` bytes (3 to
+    6) before it; -score * log2(10) / (n_bytes + 1) is the code length of a byte. base_score is that of the words and an
+    end, each by its own frequency (0.1 added to each count). Without rows to learn from, every bit has probability
+    1/2. Repeated rows are learned as often as they stand and get a score each; null ids stay; empty docs give no rows.
+    The result is staged.
+    """
+    if not SPLIT <= depth <= 6:
+        raise ValueError("depth is 3 to 6")
+    scratch, kind = Scratch(docs.sparkSession, "context-tree"), docs.schema[id_col].dataType.simpleString()
+    texts = scratch.stage(_in_blocks(docs, id_col, text_col, learn))
+    asked = scratch.stage(texts.select("block", "text", "learn").mapInArrow(_asked(depth), "block long, gram long, word binary, n long"))
+    gram_asked, word_asked = asked.where("word IS NULL").select("block", "gram", "n"), asked.where("word IS NOT NULL").select("block", "word", "n")
+    grams = scratch.stage(gram_asked.groupBy("gram").agg(F.sum("n").alias("n")))
+    words = scratch.stage(word_asked.groupBy("word").agg(F.sum("n").alias("n")))
+    told = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    ends = texts.agg(F.count_if("learn")).first()[0]
+    total, kinds = told["n"] + ends, told["v"] + (ends > 0)
+    # A gram's answer goes to its blocks as a float, at half the bytes: it is off by less than a millionth.
+    given_grams = gram_asked.select("block", "gram").join(_answers(grams, depth), "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("value").cast("float").alias("value"), F.lit(None).cast("long").alias("n"))
+    given_words = word_asked.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.lit(None).cast("float").alias("value"), "n")
+
+    score = _scorer(depth, total, kinds, ends)
     given = given_grams.unionByName(given_words)
     told_rows = texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, f"id {kind}, learn boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double")
     done = stage(told_rows.withColumn("train_tokens", F.lit(total).cast("long")), "context-tree-scores")
