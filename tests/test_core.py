@@ -1,7 +1,10 @@
 """Operators on small hand-written clinical tables, with the cases that the given tables don't hold."""
 
 import datetime as dt
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +97,19 @@ def test_stay_recovery_and_episodes(spark):
     assert sorted((r.n, r.hours) for r in got.collect()) == [(1, 10), (2, 0), (3, 20), (5, 90)]
 
 
+def test_rows_of_stays_that_overlap(spark):
+    """Against the plain condition: stays of a day to weeks, without an end, backwards, and rows that name other stays, none, or several."""
+    rng = random.Random(7)
+    stays = [(s, 10 * s + k, hours(a), None if k == 3 else hours(a + rng.choice([-5, 0, 3, 30, 400]))) for s in range(3) for k in range(5) for a in [rng.randrange(200)]]
+    rows = [(s, rng.choice([None, *range(10 * s, 10 * s + 6)]), hours(t), float(t)) for s in range(4) for t in range(0, 300, 3) for _ in range(rng.choice([1, 1, 2]))]
+    series = spark.createDataFrame(rows, "SUBJECT_ID int, ICUSTAY_ID int, CHARTTIME timestamp, n double")
+    got = extract.episodes(series, spark.createDataFrame(stays, "SUBJECT_ID int, ICUSTAY_ID int, INTIME timestamp, OUTTIME timestamp"))
+    want = {(r[0], s[1], r[2], r[3], s[2]) for r in rows for s in stays if r[0] == s[0] and (r[1] == s[1] or (s[3] is not None and s[2] <= r[2] <= s[3]))}
+    assert sorted((r.SUBJECT_ID, r.ICUSTAY_ID, r.CHARTTIME, r.n, r.INTIME) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[SUBJECT_ID" in plan and "_at" in plan and "n#" not in plan.split("keys=[")[1].split("]")[0]
+
+
 def test_pivot_orders(spark):
     events = spark.createDataFrame([(1, T0, "Heart Rate", "9"), (1, T0, "Heart Rate", "100"), (1, T0, "pH", None)], "SUBJECT_ID int, CHARTTIME timestamp, VARIABLE string, VALUE string")
     assert extract.pivot_events(events, ["Heart Rate", "pH"]).first()["Heart Rate"] == "100"
@@ -244,3 +260,23 @@ def test_rows_behind_the_watermark_go(spark, tmp_path):
         assert n < 2 or 99.0 not in out.values()
     # the second batch was still in time for bin 1, the third too late for bin 0; what is behind 21 less two hours is closed
     assert out == {0: 1.0, 1: 4.0, 9: 5.0}
+
+
+def test_correlations_of_many_columns(spark):
+    """714 columns in one pass, with unknown values, against NumPy; and columns with large means, that don't vary, or that nothing knows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 714))
+    x[:, 1] = x[:, 0] * 2 + rng.normal(size=300)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 2] += 1e9
+    x[:, 3] = 5.0
+    x[:, 4] = np.nan
+    names = [f"f {i}" for i in range(714)]
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=names).astype("Float64"))
+    got = {(r.a, r.b): r.r for r in stats.correlations(frame, names).collect()}
+    assert len(got) == 714 * 715 // 2
+    for i, j in [(0, 0), (0, 1), (1, 2), (2, 2), (17, 500), (600, 713)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)
+    assert got[names[0], names[3]] is None and got[names[4], names[5]] is None and got[names[3], names[3]] is None
+    assert stats.correlations(frame.limit(0), names[:2]).count() == 0

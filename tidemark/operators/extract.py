@@ -82,12 +82,24 @@ def series_with_stays(events: DataFrame, variables: Sequence[str], legacy_order:
     return wide.join(events.select("SUBJECT_ID", "CHARTTIME", "ICUSTAY_ID").distinct(), ["SUBJECT_ID", "CHARTTIME"])
 
 
-def episodes(series: DataFrame, stays: DataFrame, time: str = "CHARTTIME") -> DataFrame:
-    """Rows of each stay: those with its id, or within [INTIME, OUTTIME]. A row may belong to several stays."""
+def episodes(series: DataFrame, stays: DataFrame, time: str = "CHARTTIME", row: Sequence[str] | None = None, days: float = 1.0) -> DataFrame:
+    """Rows of each stay: those with its id, or within [INTIME, OUTTIME]. A row may belong to several stays.
+
+    A row looks for its stays under its stay's id and under the span of `days` that it lies in, and a stay is put under
+    its id and all its spans: one equi-join, in which the rows of a subject are spread over its stays and time. `row`
+    names the columns that tell a subject's rows apart, whatever stay they name (by default the time, as in a pivoted
+    series): of equal ones one stays in a stay.
+    """
+    span = lambda c: F.floor(F.unix_micros(c) / F.lit(days * 86_400_000_000)).cast("long")
+    look = lambda by, at: F.struct(F.lit(by).alias("_by"), at.cast("long").alias("_at"))
     s = stays.select("SUBJECT_ID", F.col("ICUSTAY_ID").alias("_stay"), "INTIME", "OUTTIME").distinct()
-    member = (F.col("ICUSTAY_ID") == F.col("_stay")) | F.col(time).between(F.col("INTIME"), F.col("OUTTIME"))
-    rows = series.join(s, "SUBJECT_ID").where(member).withColumn("ICUSTAY_ID", F.col("_stay")).drop("_stay", "OUTTIME")
-    return rows.distinct()
+    spans = F.when(F.col("INTIME") <= F.col("OUTTIME"), F.transform(F.sequence(span("INTIME"), span("OUTTIME")), lambda x: look("time", x)))
+    put = s.withColumn("_put", F.explode(F.concat(F.array(look("id", F.col("_stay"))), F.coalesce(spans, F.array().cast("array<struct<_by:string,_at:bigint>>")))))
+    own = series.withColumn("_put", F.explode(F.array(look("id", F.col("ICUSTAY_ID")), look("time", span(time)))))
+    inside = F.col(time).between(F.col("INTIME"), F.col("OUTTIME")) & ~F.col("ICUSTAY_ID").eqNullSafe(F.col("_stay"))
+    met = own.join(put, ["SUBJECT_ID", "_put"]).where((F.col("_put._by") == "id") | inside)
+    rows = met.withColumn("ICUSTAY_ID", F.col("_stay")).drop("_stay", "_put", "OUTTIME")
+    return rows.dropDuplicates([*(row or ["SUBJECT_ID", time]), "ICUSTAY_ID"])
 
 
 def hour_index(rows: DataFrame, time: str = "CHARTTIME", start: str = "INTIME") -> DataFrame:
