@@ -280,3 +280,20 @@ def test_correlations_of_many_columns(spark):
         assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)
     assert got[names[0], names[3]] is None and got[names[4], names[5]] is None and got[names[3], names[3]] is None
     assert stats.correlations(frame.limit(0), names[:2]).count() == 0
+
+
+def test_cuts_by_binary_search(spark):
+    """Counts above each cut against the plain condition, with scores on cuts, beyond them, unknown ones and one label only; no row is multiplied."""
+    rng = random.Random(5)
+    rows = [(g, None if rng.random() < 0.1 else rng.randrange(2) if g != "one" else 1, rng.choice([None, -3.0, 9.0, rng.random(), rng.randrange(11) / 10])) for g in ("a", "b", "one") for _ in range(80)]
+    frame = spark.createDataFrame(rows, "g string, y int, p double")
+    for n in (2, 3, 11, 20):
+        some = metrics.cuts(n)
+        got = {(r.g, r.cut): (r.tp, r.fp, r.pos, r.neg) for r in metrics.curve(frame, "y", "p", some, ["g"]).collect()}
+        for g in ("a", "b", "one"):
+            own = [(y, p) for h, y, p in rows if h == g and y is not None and p is not None]
+            for c in some:
+                assert got[g, c] == (sum(y == 1 and p > c for y, p in own), sum(y == 0 and p > c for y, p in own), sum(y == 1 for y, _ in own), sum(y == 0 for y, _ in own))
+    for made in (metrics.pr_auc(frame, "y", "p", 20, ["g"]), metrics.roc_auc_cuts(frame, "y", "p", 200), metrics.at_operating_point(frame, "y", "p", 0.5)):
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert metrics.pr_auc(frame.limit(0), "y", "p", 20, ["g"]).count() == 0

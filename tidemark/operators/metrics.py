@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,12 +73,28 @@ def roc_auc(rows: DataFrame, y: str, p: str, by: Sequence[str] = (), weight: str
     return s.groupBy(*by).agg((area / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
 
 
+def curve_points(rows: DataFrame, y: str, p: str, cuts: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, points, pos, neg): for each of the ascending cuts a struct (cut, tp, fp) of what lies strictly above it.
+
+    A score is put between two cuts by binary search, and rows are counted by that: a group has one more counts than
+    cuts at most, and these are added up from the top.
+    """
+    n = len(cuts)
+    given = F.array(*(F.lit(float(c)) for c in cuts))
+    halves = F.array(*(F.lit(1 << k) for k in range(max(n, 1).bit_length() - 1, -1, -1)))
+    score = F.col(p).cast("double")
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(given, at + step - 1) < score), at + step).otherwise(at))
+    known = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    cells = known.groupBy(*by, below.alias("_below")).agg(F.sum((F.col(y) == 1).cast("double")).alias("pos"), F.sum((F.col(y) != 1).cast("double")).alias("neg"))
+    own = cells.groupBy(*by).agg(F.collect_list(F.struct("_below", "pos", "neg")).alias("_c"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = lambda name, i: F.aggregate(F.filter("_c", lambda c: c["_below"] > i), F.lit(0.0), lambda a, c: a + c[name])
+    points = F.transform(given, lambda cut, i: F.struct(cut.alias("cut"), above("pos", i).alias("tp"), above("neg", i).alias("fp")))
+    return own.where("_c IS NOT NULL AND size(_c) > 0").select(*by, points.alias("points"), "pos", "neg")
+
+
 def curve(rows: DataFrame, y: str, p: str, cuts: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, cut, tp, fp, pos, neg): what lies strictly above each cut."""
-    each = F.explode(F.array(*(F.lit(float(c)) for c in cuts)))
-    s = scores(rows, y, p, by).withColumn("cut", each)
-    above = F.when(F.col("p") > F.col("cut"), 1.0).otherwise(0.0)
-    return s.groupBy(*by, "cut").agg(F.sum(F.col("pos") * above).alias("tp"), F.sum(F.col("neg") * above).alias("fp"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    """(by, cut, tp, fp, pos, neg): the same, a row a cut."""
+    return curve_points(rows, y, p, cuts, by).select(*by, "pos", "neg", F.inline("points")).select(*by, "cut", "tp", "fp", "pos", "neg")
 
 
 def cuts(n: int) -> list[float]:
@@ -87,10 +103,10 @@ def cuts(n: int) -> list[float]:
     return [out[0] - 1e-7, *out[1:-1], out[-1] + 1e-7]
 
 
-def _trapezoid(curve_rows: DataFrame, x: Column, height: Column, name: str, by: Sequence[str]) -> DataFrame:
-    points = curve_rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cut", x.alias("x"), height.alias("h")))).alias("_p"))  # one for each cut
+def _trapezoid(points: DataFrame, x: Callable[[Column], Column], height: Callable[[Column], Column], name: str, by: Sequence[str]) -> DataFrame:
+    at = F.transform("points", lambda q: F.struct(x(q).alias("x"), height(q).alias("h")))
     steps = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: (F.get("_p", i - 1)["x"] - F.get("_p", i)["x"]) * (F.get("_p", i - 1)["h"] + F.get("_p", i)["h"]) / 2)
-    return points.select(*by, F.aggregate(steps, F.lit(0.0), lambda a, s: a + s).alias(name))
+    return points.withColumn("_p", at).select(*by, F.aggregate(steps, F.lit(0.0), lambda a, s: a + s).alias(name))
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -100,14 +116,14 @@ def _rate(a: Column, b: Column) -> Column:
 
 def pr_auc(rows: DataFrame, y: str, p: str, n: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """M7: (by, pr_auc), by trapezoids over n cuts."""
-    c = curve(rows, y, p, cuts(n), by)
-    return _trapezoid(c, _rate(F.col("tp"), F.col("pos")), _rate(F.col("tp"), F.col("tp") + F.col("fp")), "pr_auc", by)
+    c = curve_points(rows, y, p, cuts(n), by)
+    return _trapezoid(c, lambda q: _rate(q["tp"], F.col("pos")), lambda q: _rate(q["tp"], q["tp"] + q["fp"]), "pr_auc", by)
 
 
 def roc_auc_cuts(rows: DataFrame, y: str, p: str, n: int = 200, by: Sequence[str] = ()) -> DataFrame:
     """M6, by trapezoids over n cuts: (by, roc_auc)."""
-    c = curve(rows, y, p, cuts(n), by)
-    return _trapezoid(c, _rate(F.col("fp"), F.col("neg")), _rate(F.col("tp"), F.col("pos")), "roc_auc", by)
+    c = curve_points(rows, y, p, cuts(n), by)
+    return _trapezoid(c, lambda q: _rate(q["fp"], F.col("neg")), lambda q: _rate(q["tp"], F.col("pos")), "roc_auc", by)
 
 
 def average_precision(rows: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -170,10 +186,11 @@ def top_k(rows: DataFrame, y: str, p: str, k: int, by: Sequence[str] = ()) -> Da
 
 def at_operating_point(rows: DataFrame, y: str, p: str, value: float, fixed: str = "sensitivity", n: int = 200, by: Sequence[str] = ()) -> DataFrame:
     """The best specificity at a sensitivity of at least value, or the other way round: (by, specificity or sensitivity)."""
-    c = curve(rows, y, p, cuts(n), by)
-    sens, spec = _rate(F.col("tp"), F.col("pos")), 1 - F.when(F.col("neg") == 0, 0.0).otherwise(F.col("fp") / F.col("neg"))
+    c = curve_points(rows, y, p, cuts(n), by)
+    sens = lambda q: _rate(q["tp"], F.col("pos"))
+    spec = lambda q: 1 - F.when(F.col("neg") == 0, 0.0).otherwise(q["fp"] / F.col("neg"))
     have, best, name = (sens, spec, "specificity") if fixed == "sensitivity" else (spec, sens, "sensitivity")
-    return c.groupBy(*by).agg(F.coalesce(F.max(F.when(have >= value, best)), F.lit(0.0)).alias(name))
+    return c.select(*by, F.coalesce(F.array_max(F.transform(F.filter("points", lambda q: have(q) >= value), best)), F.lit(0.0)).alias(name))
 
 
 def binned_mae(rows: DataFrame, y: str, p: str, means: Sequence[float] = codes.LOS_MEANS, by: Sequence[str] = (), mask: str | None = None) -> DataFrame:
