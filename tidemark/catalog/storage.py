@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import proxies as P
 from tidemark.catalog.series import _task
+from tidemark.functions import permutation
 from tidemark.operators import features, metrics, scale
 from tidemark.sources import raw, stores
 
@@ -79,6 +80,35 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.json(path).select("run", "split", "metric", F.round("value", 6).alias("value"))
 
 
+#: Draws of a call, of each ten customers, and calls.
+_PART, _CALLS = 4, 6
+
+
+def epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Six calls that draw four of ten customers each, and so go on into a third epoch."""
+    folder = P.folder(spark)
+    stores.numbered_subjects(P.table(spark, d, "customer"), "c_custkey").write.parquet(folder)
+    subjects = spark.read.parquet(folder)
+    total = subjects.count()
+    n, out = -(-total * _PART // 10), None
+    for call in range(_CALLS):
+        drawn = stores.draw_subjects(subjects, total, n, call * n, key="c_custkey").withColumn("call", F.lit(call))
+        out = drawn if out is None else out.unionByName(drawn)
+    return out
+
+
+def _epochs_sql() -> str:
+    turn = lambda i, half: f"('0x' || substr(md5('42|' || e || '|{i}|' || {half}), 1, 15))::BIGINT"
+    out = "SELECT k, e, x % a AS l, x // a AS r, a, b, n FROM w"
+    for i in range(permutation.ROUNDS):
+        out = f"SELECT * REPLACE ((l + {turn(i, 'r')} % a) % a AS l) FROM ({out})" if i % 2 == 0 else f"SELECT * REPLACE ((r + {turn(i, 'l')} % b) % b AS r) FROM ({out})"
+    return f"""WITH RECURSIVE s AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS x FROM (SELECT DISTINCT c_custkey FROM customer)),
+    z AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM s)),
+    w AS (SELECT k, e, x, a, b, n, false AS done FROM s, z, (SELECT unnest(range(0, 1 + {_CALLS * _PART} // 10 + 1)) AS e)
+      UNION ALL SELECT k, e, r * a + l, a, b, n, r * a + l < n FROM ({out.replace('FROM w', 'FROM w WHERE NOT done')}))
+    SELECT k AS c_custkey, e * n + x AS draw, ((e * n + x) // ((n * {_PART} + 9) // 10))::INT AS call FROM w WHERE done AND e * n + x < {_CALLS} * ((n * {_PART} + 9) // 10)"""
+
+
 def rows_of_file(spark: SparkSession, d: str) -> DataFrame:
     folder = _as_csv(spark, P.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "LINES", header=False)
     return spark.range(1).select(F.lit(raw.row_count(spark, f"{folder}/LINES.csv")).cast("long").alias("n"))
@@ -116,6 +146,7 @@ ENTRIES = {
     "s19_b4_flat_samples": (flat_samples, f"""{_T}, y AS (SELECT SUBJECT_ID, ICUSTAY_ID, max(hours) AS t, any_value(MORTALITY)::DOUBLE AS y FROM x WHERE LOS * 24 >= 48 AND hours < 48 + 1e-6::DOUBLE GROUP BY ALL)
       SELECT SUBJECT_ID, ICUSTAY_ID, any_value(y) AS y, nullif(count(click), 0)::INT AS clicks, round(max("view")::FLOAT::DOUBLE, 3) AS largest_view FROM y JOIN w USING (SUBJECT_ID, ICUSTAY_ID) WHERE hours < t + 1e-6::DOUBLE GROUP BY ALL"""),
     "s20_metric_history": (history, """SELECT 'r1' AS run, event_type AS split, unnest(['mae', 'rmse']) AS metric, unnest([round(avg(abs(value - 20)), 6), round(sqrt(avg(pow(value - 20, 2))), 6)]) AS value FROM events GROUP BY event_type"""),
+    "s14_o5_epochs": (epochs, _epochs_sql()),
     "s21_rows_of_file": (rows_of_file, "SELECT count(*) AS n FROM orders"),
     "e7_kept_scaler": (kept_scaler, "SELECT l_orderkey, l_linenumber, round((l_quantity - a) / (b - a), 8) AS l_quantity, round((l_tax - c) / (e - c), 8) AS l_tax FROM lineitem, (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS e FROM lineitem)"),
     "e1_e5_approximate_quantiles": (approximate, f"""WITH o AS (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS i, count(*) OVER () AS n FROM lineitem)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codes
 from tidemark.functions.codes import random_order
+from tidemark.functions.permutation import permuted
 from tidemark.operators import scale, split
 from tidemark.operators.running import prefix_sums
 from tidemark.operators.timeseries import EPS, KEYS, padded, quoted
@@ -37,6 +38,11 @@ def with_batch(samples: DataFrame, size: int, by: Sequence[str], seed: int = 42)
     return placed.withColumn("batch", F.floor((F.col("cum__one") - 1) / size)).drop("_order", "_one", "cum__one")
 
 
+def epoch_batches(numbered: DataFrame, total: int, size: int, epoch: int, seed: int = 42) -> DataFrame:
+    """Samples, numbered from 0 to total - 1, with their batch in an epoch; each epoch deals them out anew, without a sort."""
+    return numbered.withColumn("batch", F.floor(permuted(F.col("number"), total, seed, F.lit(epoch)) / size))
+
+
 def batches(samples: DataFrame, size: int, by: Sequence[str], width: int, seed: int = 42) -> DataFrame:
     """(batch, x, y, lengths): size samples, filled up with zero rows to the batch's longest."""
     placed = with_batch(samples, size, by, seed)
@@ -108,4 +114,4 @@ def batch_count(samples: DataFrame, size: int, least: int = 0) -> DataFrame:
     return samples.agg(F.greatest(F.lit(least), F.floor(F.count(F.lit(1)) / size)).cast("long").alias("batches"))
 
 
-__all__ = ["stay_arrays", "prefix_samples", "with_batch", "batches", "batch_count", "exported", "padded"]
+__all__ = ["stay_arrays", "prefix_samples", "with_batch", "epoch_batches", "batches", "batch_count", "exported", "padded"]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.codes import random_order
+from tidemark.functions.permutation import permuted
+from tidemark.operators.running import prefix_sums
 from tidemark.sources import commits
 
 
@@ -59,6 +61,27 @@ def sample_subjects(ids: DataFrame, n: int, seed: int = 42, key: str = "SUBJECT_
     return ids.select(key).distinct().orderBy(random_order(F.col(key), seed), key).offset(skip).limit(n)
 
 
+def numbered_subjects(ids: DataFrame, key: str = "SUBJECT_ID") -> DataFrame:
+    """(key, number): the distinct subjects, numbered from 0 in their order, by running counts of ranges."""
+    rows = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    return prefix_sums(rows, [], key, ["_one"]).select(key, (F.col("cum__one") - 1).cast("long").alias("number"))
+
+
+def draw_subjects(subjects: DataFrame, total: int, n: int, start: int = 0, seed: int = 42, key: str = "SUBJECT_ID") -> DataFrame:
+    """(key, draw), the draws number start to start + n - 1: each epoch of `total` draws has every subject once, in an order of its own.
+
+    subjects are numbered ones. A subject's place in an epoch is computed from its number, so nothing is sorted and a
+    call needs to know of the calls before only how many draws they made. Draws of a whole epoch and more are as many
+    rows as they are draws.
+    """
+    if total <= 0 or n <= 0:
+        return subjects.select(key, F.lit(0).cast("long").alias("draw")).limit(0)
+    epochs = F.sequence(F.lit(start // total).cast("long"), F.lit((start + n - 1) // total).cast("long"))
+    each = subjects.withColumn("_epoch", F.explode(epochs))
+    placed = each.select(key, (F.col("_epoch") * total + permuted(F.col("number"), total, seed, F.col("_epoch"))).alias("draw"))
+    return placed.where((F.col("draw") >= start) & (F.col("draw") < start + n))
+
+
 def read_subjects(spark: SparkSession, folder: str, kind: str, ids: Sequence[int] | None = None, num_subjects: int | None = None, seed: int = 42, key: str = "SUBJECT_ID") -> DataFrame:
     """A stage's table, of all subjects, given ones, or a seeded sample; ids and a number together are an error."""
     if ids is not None and num_subjects is not None:
