@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import Scratch, pieces, stage
 
-DEPTH = 5
+DEPTH = 4
 #: Contexts of so many bytes lie together; the trees' parts above have a row for two bytes and a decision at most.
 SPLIT = 3
 #: Text of a block, in bytes; one longer document is a block of its own.
