@@ -57,9 +57,9 @@ def test_two_tasks_share_the_extraction(spark, source, tmp_path, alone):
     assert stores.read_subjects(spark, str(folder), "history").count() == 2
 
 
-@pytest.mark.parametrize("ends_at", [5, 8, None])
+@pytest.mark.parametrize("ends_at", [5, 11, None])
 def test_a_run_that_broke_off_is_done_anew(spark, source, tmp_path, monkeypatch, ends_at, alone):
-    """The ends_at-th write fails, once in the middle of a batch and once at the start of the next stage; or, without one, the batch's commit."""
+    """The ends_at-th write fails, once while events are staged and once in the middle of a batch; or, without one, the batch's commit."""
     from pyspark.sql import DataFrameWriter
 
     from tidemark.sources import commits
@@ -99,6 +99,40 @@ def test_two_runs_at_once(spark, source, tmp_path, alone):
             assert sorted(map(str, got[n].collect())) == alone[n]
 
 
+def test_each_event_log_is_read_once(spark, source, tmp_path, monkeypatch):
+    """Every row that leaves an event log is counted where it is read; a second run, with nothing new, opens none."""
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import raw
+
+    seen = spark.sparkContext.accumulator(0)
+    read = raw.read_events
+
+    def counted(*a):
+        @F.udf("string")
+        def count(v):
+            seen.add(1)
+            return v
+
+        return read(*a).withColumn("VALUE", count.asNondeterministic()("VALUE"))
+
+    monkeypatch.setattr(raw, "read_events", counted)
+    run = lambda task: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), task=task, preprocess=True)
+    run("IHM")["X"].collect()
+    assert seen.value == 6  # of CHARTEVENTS four rows, of LABEVENTS two
+    run("LOS")["X"].collect()
+    assert seen.value == 6
+    assert not list((tmp_path / "out").glob("extracted/*/_staged/*"))
+
+
+def test_some_subjects_first(spark, source, tmp_path):
+    run = lambda **k: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), **k)
+    one = {r.SUBJECT_ID for r in run(num_subjects=1)["history"].collect()}
+    assert len(one) == 1
+    assert {r.SUBJECT_ID for r in run(num_subjects=1)["history"].collect()} == one  # it is there already
+    assert {r.SUBJECT_ID for r in run(num_subjects=2)["history"].collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("bad", [{"subject_ids": [1], "num_subjects": 1}, {"discretize": True}, {"task": "X"}, {"engineer": True, "task": "MULTI"}])
 def test_bad_arguments(spark, source, tmp_path, bad):
     with pytest.raises(ValueError):

@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.catalog import exports, learning, relational, series, splits, storage, streams
+from tidemark.catalog import exports, learning, plans, relational, series, splits, storage, streams
 
-ENTRIES = relational.ENTRIES | series.ENTRIES | splits.ENTRIES | learning.ENTRIES | storage.ENTRIES | exports.ENTRIES | streams.ENTRIES
+ENTRIES = relational.ENTRIES | series.ENTRIES | splits.ENTRIES | learning.ENTRIES | storage.ENTRIES | exports.ENTRIES | streams.ENTRIES | plans.ENTRIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,21 +28,61 @@ def check_inputs(storage: str | None, subject_ids: Sequence[int] | None, num_sub
         raise ValueError("a storage folder is needed")
 
 
-def extract_all(spark: SparkSession, source: str, definitions: Mapping[str, Mapping], varmap_path: str) -> dict[str, DataFrame]:
-    """The extracted tables: history, info, diagnoses, events, series, episodic."""
+def extract_static(spark: SparkSession, source: str, definitions: Mapping[str, Mapping]) -> dict[str, DataFrame]:
+    """What is known without events: history, info, diagnoses."""
     clinical, admission_info = raw.read_admissions(spark, source)
     stays, patients = raw.read_raw(spark, source, "ICUSTAYS"), raw.read_raw(spark, source, "PATIENTS")
     merged = extract.merge_history(stays, clinical, patients)
     history = extract.icu_history(merged)
     phenotypes = raw.phenotype_codes(spark, definitions)
     told = extract.diagnoses(raw.read_raw(spark, source, "DIAGNOSES_ICD"), raw.read_raw(spark, source, "D_ICD_DIAGNOSES"), history, phenotypes)
-    events = extract.recover_stays(raw.read_events(spark, source), history)
-    named = cleaning.clean(extract.with_variables(events, raw.read_variable_map(spark, varmap_path)))
+    return {"history": history, "info": extract.subject_info(merged, admission_info), "diagnoses": told}
+
+
+def extract_events(events: DataFrame, history: DataFrame) -> DataFrame:
+    """Events with their stays, of the subjects of history alone: others are left out as they are read."""
+    own = events.join(history.select("SUBJECT_ID").distinct(), "SUBJECT_ID", "left_semi")
+    return extract.recover_stays(own, history)
+
+
+def extract_series(events: DataFrame, history: DataFrame, variables: DataFrame) -> DataFrame:
+    named = cleaning.clean(extract.with_variables(events, variables))
     wide = extract.series_with_stays(named, channels.CHANNELS)
-    series = extract.hour_index(extract.episodes(wide, history)).select(*timeseries.KEYS, "hours", *(f"`{c}`" for c in channels.CHANNELS))
+    return extract.hour_index(extract.episodes(wide, history)).select(*timeseries.KEYS, "hours", *(f"`{c}`" for c in channels.CHANNELS))
+
+
+def extract_episodic(history: DataFrame, series: DataFrame, diagnoses: DataFrame, definitions: Mapping[str, Mapping]) -> DataFrame:
     codes = sorted({c for d in definitions.values() for c in map(str, d["codes"])})
-    episodic = extract.episodic_data(history, series, extract.code_flags(told, codes))
-    return {"history": history, "info": extract.subject_info(merged, admission_info), "diagnoses": told, "events": events, "series": series, "episodic": episodic}
+    return extract.episodic_data(history, series, extract.code_flags(diagnoses, codes))
+
+
+def extract_new(spark: SparkSession, source: str, extracted: str, definitions: Mapping[str, Mapping], varmap_path: str, start_hours: float | None, subject_ids: Sequence[int] | None, num_subjects: int | None) -> None:
+    """Adds to the extracted tables what they lack: the subjects asked for that can give a sample and aren't there yet.
+
+    Which subjects are open is settled first. Their events are read once, kept beside the storage, and the series made
+    from these once, and from both what else there is; without an open subject no event log is opened.
+    """
+    with stores.staging(spark, f"{extracted}/_staged") as staged:
+        static = {n: staged(t, n) for n, t in extract_static(spark, source, definitions).items()}
+        able = extract.processable(static["history"], start_hours)
+        if subject_ids is not None:
+            able = able.where(F.col("SUBJECT_ID").isin(*subject_ids))
+        done = stores.done_subjects(spark, extracted)
+        open_ = staged(able.join(done, "SUBJECT_ID", "left_anti").select("SUBJECT_ID").distinct(), "open")
+        if open_.isEmpty():
+            return
+        own = {n: t.join(open_, "SUBJECT_ID", "left_semi") for n, t in static.items()}
+        events = staged(extract_events(raw.read_events(spark, source), own["history"]), "events")
+        series = staged(extract_series(events, own["history"], raw.read_variable_map(spark, varmap_path)), "series")
+        episodic = staged(extract_episodic(own["history"], series, own["diagnoses"], definitions), "episodic")
+        tables = {**own, "events": events, "series": series, "episodic": episodic}
+        if num_subjects is not None:  # those that are there already have samples
+            first = extract.first_with_samples(able, episodic.select("SUBJECT_ID").unionByName(done.select("SUBJECT_ID")), num_subjects)
+            tables = {n: t.join(first, "SUBJECT_ID", "left_semi") for n, t in tables.items()}
+        stores.write_by_subject(tables, extracted)
+
+
+EXTRACTED = ("history", "info", "diagnoses", "events", "series", "episodic")
 
 
 def load_data(spark: SparkSession, source: str, storage: str, definitions: Mapping[str, Mapping], varmap_path: str, subject_ids: Sequence[int] | None = None, num_subjects: int | None = None, time_step_size: float = 1.0, impute_strategy: str = "previous", start_at_zero: bool = True, deep_supervision: bool = False, preprocess: bool = False, engineer: bool = False, discretize: bool = False, task: str | None = None) -> dict[str, DataFrame]:
@@ -52,18 +92,11 @@ def load_data(spark: SparkSession, source: str, storage: str, definitions: Mappi
     yet (R4): extraction is shared by all tasks, samples by all ways to discretize or engineer them.
     """
     check_inputs(storage, subject_ids, num_subjects, discretize, engineer, preprocess, task)
-    tables = extract_all(spark, source, definitions, varmap_path)
-    able = extract.processable(tables["history"], START_HOURS.get(task) if task else None)
-    if subject_ids is not None:
-        able = able.where(F.col("SUBJECT_ID").isin(*subject_ids))
-    elif num_subjects is not None:
-        able = extract.first_with_samples(able, tables["episodic"], num_subjects)
     named = lambda **settings: split.fingerprint(definitions=definitions, variables=varmap_path, **settings)[:16]
     extracted = f"{storage}/extracted/{named()}"
-    open_ = able.join(stores.done_subjects(spark, extracted), "SUBJECT_ID", "left_anti")
-    stores.write_by_subject({n: t.join(open_, "SUBJECT_ID", "left_semi") for n, t in tables.items()}, extracted)
+    extract_new(spark, source, extracted, definitions, varmap_path, START_HOURS.get(task) if task else None, subject_ids, num_subjects)
     if not task:
-        return {n: stores.read_subjects(spark, extracted, n) for n in tables}
+        return {n: stores.read_subjects(spark, extracted, n) for n in EXTRACTED}
     processed = f"{storage}/processed/{task}-{named()}"
     new = lambda folder, of, n: stores.read_subjects(spark, of, n).join(stores.done_subjects(spark, folder), "SUBJECT_ID", "left_anti")
     own = {n: new(processed, extracted, n) for n in ("series", "episodic", "history", "diagnoses")}

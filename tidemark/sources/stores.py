@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -61,6 +62,22 @@ def sample_subjects(ids: DataFrame, n: int, seed: int = 42, key: str = "SUBJECT_
     return ids.select(key).distinct().orderBy(random_order(F.col(key), seed), key).offset(skip).limit(n)
 
 
+@contextmanager
+def staging(spark: SparkSession, folder: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that writes a table and reads it again, in a folder of its own that goes in the end: what is read several times is made once."""
+    own = f"{folder}/{uuid.uuid4().hex}"
+
+    def staged(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{own}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{own}/{name}")
+
+    try:
+        yield staged
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered_subjects(ids: DataFrame, key: str = "SUBJECT_ID") -> DataFrame:
     """(key, number): the distinct subjects, numbered from 0 in their order, by running counts of ranges."""
     rows = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1))
