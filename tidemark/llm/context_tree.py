@@ -32,6 +32,8 @@ DEPTH = 4
 SPLIT = 3
 #: Text of a block, in bytes; one longer document is a block of its own.
 BLOCK_BYTES = 32_000_000
+#: Text that is packed together, so that nobody unpacks a block at once.
+PACK_BYTES = 4_000_000
 #: Positions that are looked at at a time.
 CHUNK = 1_000_000
 #: Grams of whole three-byte contexts that are worked on together.
@@ -201,13 +203,14 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            numbers = []
+            numbers, packs = [], []
             for n in pa.compute.binary_length(batch.column(1)).to_pylist():
                 if held and held + n > BLOCK_BYTES:
                     block, held = block + 1, 0
                 held += n + 1
                 numbers.append(block)
-            for a, b in _same(np.array(numbers, np.int64)):
+                packs.append((block, held // PACK_BYTES))
+            for a, b in _same(np.array(packs, np.int64).reshape(-1, 2)):
                 part = batch.slice(a, b - a)
                 learned = pa.compute.sum(part.column(2)).as_py() or 0
                 yield pa.RecordBatch.from_arrays([pa.array([numbers[a]], pa.int64()), pa.array([_packed(part)], pa.binary()), pa.array([int(learned)], pa.int64())], ["block", "rows", "learned"])
@@ -217,8 +220,10 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> Da
 
 
 def _same(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of equal values."""
-    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)] if len(values) else [0]
+    """Stretches of equal values, or rows."""
+    differ = values[1:] != values[:-1]
+    differ = differ.any(1) if values.ndim > 1 else differ
+    cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), len(values)] if len(values) else [0]
     yield from zip(cuts, cuts[1:], strict=False)
 
 
@@ -243,6 +248,7 @@ def _asked(depth: int):
                 if batch.column(0)[a].as_py() != block:
                     if block is not None:
                         yield put(block, grams, words)
+                        pa.default_memory_pool().release_unused()
                     block, grams, words = batch.column(0)[a].as_py(), [], Counter()
                 for rows in _unpacked(batch.column(1).slice(a, b - a)):
                     for learn in (True, False):
@@ -311,12 +317,13 @@ def _scorer(depth: int, total: int, kinds: int, ends: int):
 
     def score(rows: pa.Table, given: pa.Table) -> pa.Table:
         is_word = given.column("word").is_valid()
-        counts, values = given.filter(is_word), given.filter(pa.compute.invert(is_word))
+        counts, values = given.select(["word", "n"]).filter(is_word), given.select(["gram", "value"]).filter(pa.compute.invert(is_word))
         times = np.append(counts.column("n").to_numpy(), ends)  # the end's place is -1
         place = dict(zip(counts.column("word").to_pylist(), range(len(times) - 1), strict=True))
         log = np.log10((times + SMOOTH) / (total + SMOOTH * (kinds + 1)))
         gram, first = np.unique(values.column("gram").to_numpy(), return_index=True)
         value, gram = values.column("value").to_numpy()[first].astype(float), pd.Index(gram)
+        del counts, values, first, is_word
         out = []
         for batch in _unpacked(rows.column("rows")):
             for a, b, data, offsets in pieces(batch):
@@ -332,6 +339,7 @@ def _scorer(depth: int, total: int, kinds: int, ends: int):
                 own = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", "learn")]
                 made = [pa.array(np.diff(offsets)), pa.array(np.diff(stops)), pa.array(known), pa.array(base), pa.array(Windows(data, offsets, depth).sums(gram, value))]
                 out.append(pa.RecordBatch.from_arrays([*own, *made], ["id", "learn", "n_bytes", "n_tokens", "n_known", "base_score", "score"]))
+        pa.default_memory_pool().release_unused()  # what a worker holds on to, others lack
         return pa.Table.from_batches(out)
 
     return score
