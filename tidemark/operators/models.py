@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import codes
 from tidemark.operators import metrics, scale
 
 
@@ -132,11 +133,32 @@ def calibrated(rows: DataFrame, fit: DataFrame, method: str = "isotonic", y: str
     return out.drop(*names, "features", "rawPrediction", "probability", "prediction")
 
 
-def fit_and_test(rows: DataFrame, assignment: DataFrame, columns: Sequence[str], kind: str = "logistic", scaler: str = "standard", key: str = "SUBJECT_ID") -> DataFrame:
-    """(split, roc_auc or the regression's metrics): imputed, scaled, fitted on train, judged on each split."""
-    imputer, scaling = scale.fit_on_train(rows, assignment, columns, scaler, key=key)
-    ready = assembled(scale.transform(rows, imputer, scaling).join(assignment, key), columns)
+def fit_and_test(rows: DataFrame, assignment: DataFrame, columns: str | Sequence[str], kind: str = "logistic", scaler: str = "standard", key: str = "SUBJECT_ID") -> DataFrame:
+    """(split, roc_auc or the regression's metrics): imputed, scaled, fitted on train, judged on each split.
+
+    Features are an array column, or a few columns that are made one: the plan doesn't grow with their number.
+    """
+    x = F.col(columns).cast("array<double>") if isinstance(columns, str) else F.array(*(F.col(f"`{c}`").cast("double") for c in columns))
+    some = rows.join(assignment, key).select("split", "y", x.alias("_x"))
+    state = scale.fit_arrays(some.where("split = 'train'"), "_x", scaler)
+    ready = scale.scaled_arrays(some, "_x", state).select("split", F.col("y").cast("double").alias("label"), array_to_vector("_x").alias("features"))
     train = ready.where("split = 'train'")
     model = {"logistic": logistic, "linear": linear}[kind](train) if kind in ("logistic", "linear") else classifier(train, kind)
     told = predictions(model, ready)
     return metrics.regression(told, "label", "p", ["split"]) if kind == "linear" else metrics.roc_auc(told, "label", "p", ["split"])
+
+
+def across_sources(rows: DataFrame, source: str, columns: str | Sequence[str], kind: str = "logistic", key: str = "SUBJECT_ID") -> DataFrame:
+    """(source, split, roc_auc or the regression's metrics): a model for each source, fitted on its train subjects and judged on its other ones (own) and on all of the other sources (other).
+
+    Every fifth subject, by a digest of its key, is not learned from. The sources' names, a few, come to the driver.
+    """
+    names = [r[source] for r in rows.select(source).where(F.col(source).isNotNull()).distinct().orderBy(source).collect()]
+    out = None
+    for name in names:
+        split = F.when(F.col(source) != name, "other").when(codes.random_order(F.col(key)) % 5 == 0, "own").otherwise("train")
+        told = fit_and_test(rows, rows.where(F.col(source).isNotNull()).select(key, split.alias("split")).distinct(), columns, kind, key=key).withColumn(source, F.lit(name))
+        out = told if out is None else out.unionByName(told)
+    if out is None:
+        raise ValueError("there are no sources")
+    return out

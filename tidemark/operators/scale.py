@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +123,42 @@ def fit_on_train(rows: DataFrame, assignment: DataFrame, columns: Sequence[str],
     return imputer, fit_scaler(impute(train, imputer), columns, kind)
 
 
+def fit_arrays(train: DataFrame, features: str, kind: str = "standard") -> tuple[list[float], list[float], list[float]]:
+    """E6, E8 for an array column, however long: what fills a place (its mean), and its centre and scale, standard, minmax or maxabs.
+
+    Two passes over the rows, each one aggregate of vectors: the plan doesn't grow with the features. A number a
+    feature and statistic comes to the driver. A place that no row knows is filled with 0.
+    """
+    if kind not in SCALERS:
+        raise ValueError(f"unknown scaler {kind}")
+    known = lambda v: v.isNotNull() & ~F.isnan(v)
+    x = F.col(features).cast("array<double>")
+    value = array_to_vector(F.transform(x, lambda v: F.when(known(v), v).otherwise(0.0)))
+    told = train.agg(Summarizer.sum(value).alias("s"), Summarizer.sum(array_to_vector(F.transform(x, lambda v: known(v).cast("double")))).alias("n")).select(vector_to_array("s").alias("s"), vector_to_array("n").alias("n")).first()
+    fill = [s / n if n else 0.0 for s, n in zip(told["s"], told["n"], strict=True)]
+    some = train.select(array_to_vector(_filled(x, fill)).alias("x")).agg(Summarizer.metrics("mean", "std", "min", "max", "count").summary(F.col("x")).alias("m"))
+    m = some.select(*(vector_to_array(f"m.{c}").alias(c) for c in ("mean", "std", "min", "max")), F.col("m.count").alias("n")).first()
+    all_ = {
+        "standard": lambda: (m["mean"], [s * math.sqrt((m["n"] - 1) / m["n"]) for s in m["std"]]),
+        "minmax": lambda: (m["min"], [b - a for a, b in zip(m["min"], m["max"], strict=True)]),
+        "maxabs": lambda: ([0.0] * len(fill), [max(abs(a), abs(b)) for a, b in zip(m["min"], m["max"], strict=True)]),
+    }
+    centre, size = all_[kind]()
+    return fill, list(centre), [s or 1.0 for s in size]
+
+
+def _filled(x: Column, fill: Sequence[float]) -> Column:
+    values = F.array(*map(F.lit, fill))
+    return F.transform(x, lambda v, i: F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.get(values, i)))
+
+
+def scaled_arrays(rows: DataFrame, features: str, state: tuple[Sequence[float], Sequence[float], Sequence[float]]) -> DataFrame:
+    """rows with the array column filled and scaled as fit_arrays() told."""
+    fill, centre, size = state
+    middle, length = F.array(*map(F.lit, centre)), F.array(*map(F.lit, size))
+    return rows.withColumn(features, F.transform(_filled(F.col(features).cast("array<double>"), fill), lambda v, i: (v - F.get(middle, i)) / F.get(length, i)))
+
+
 def transform(rows: DataFrame, imputer: DataFrame, scaler: DataFrame, clip: tuple[float, float] | None = None) -> DataFrame:
     return scaled(impute(rows, imputer), scaler, clip)
 
