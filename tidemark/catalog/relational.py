@@ -109,7 +109,7 @@ def _line_series(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def episodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.hour_index(extract.episodes(*_line_series(spark, d), row=["SUBJECT_ID", "ROW", "CHARTTIME", "l_quantity"]))
+    rows = extract.hour_index(extract.episodes(*_line_series(spark, d), row=["SUBJECT_ID", "ROW", "CHARTTIME", "l_quantity"], days=60.0))
     return rows.groupBy("SUBJECT_ID", "ICUSTAY_ID").agg(F.count(F.lit(1)).alias("n"), F.min("hours").alias("first"), F.max("hours").alias("last"), F.sum("l_quantity").alias("quantity"))
 
 

@@ -16,7 +16,10 @@ KEY = "SUBJECT_ID"
 def _shares(spark: SparkSession, d: str) -> DataFrame:
     """A subject is a customer, its samples are its orders."""
     n = P.table(spark, d, "orders").groupBy(F.col("o_custkey").alias(KEY)).agg(F.count(F.lit(1)).alias("n"))
-    return sample_shares(n)
+    made = sample_shares(n)
+    path = P.folder(spark)  # counted once, and read by each search
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def _info(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +34,7 @@ _I = """i AS (SELECT o_custkey AS SUBJECT_ID, CASE WHEN o_orderkey % 7 <> 0 THEN
 _S = "s AS (SELECT o_custkey AS SUBJECT_ID, count(*) / sum(count(*)) OVER () AS ratio FROM orders GROUP BY 1)"
 RANGE = {"BALANCE": {"geq": 500, "less": 6000}, "PRICE": {"leq": 480000}}
 CHOICE = {"SEGMENT": {"choice": ["BUILDING", "MACHINERY"]}}
-TRIES = 20
+TRIES = split.TRIES
 
 
 def _nearest(rows: str, target: float, name: str, tries: int = TRIES) -> str:

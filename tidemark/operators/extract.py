@@ -82,11 +82,12 @@ def series_with_stays(events: DataFrame, variables: Sequence[str], legacy_order:
     return wide.join(events.select("SUBJECT_ID", "CHARTTIME", "ICUSTAY_ID").distinct(), ["SUBJECT_ID", "CHARTTIME"])
 
 
-def episodes(series: DataFrame, stays: DataFrame, time: str = "CHARTTIME", row: Sequence[str] | None = None, days: float = 1.0) -> DataFrame:
+def episodes(series: DataFrame, stays: DataFrame, time: str = "CHARTTIME", row: Sequence[str] | None = None, days: float = 7.0) -> DataFrame:
     """Rows of each stay: those with its id, or within [INTIME, OUTTIME]. A row may belong to several stays.
 
     A row looks for its stays under its stay's id and under the span of `days` that it lies in, and a stay is put under
-    its id and all its spans: one equi-join, in which the rows of a subject are spread over its stays and time. `row`
+    its id and all its spans: one equi-join, in which the rows of a subject are spread over its stays and time. `days` is best
+    about the length of a stay, which then is put under two spans or so. `row`
     names the columns that tell a subject's rows apart, whatever stay they name (by default the time, as in a pivoted
     series): of equal ones one stays in a stay.
     """
