@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import proxies as P
-from tidemark.catalog.series import _F, _LABELS, _grid, _grid_sql, _task
+from tidemark.catalog.series import _F, _LABELS, _T, _grid, _grid_sql, _task
 from tidemark.functions import codes
-from tidemark.operators import samples, scale
+from tidemark.operators import extract, samples, scale
 from tidemark.operators.timeseries import KEYS
-from tidemark.sources import tensors
+from tidemark.sources import stores, tensors
 
 
 def _written(spark: SparkSession, d: str, **how) -> DataFrame:
@@ -47,12 +47,31 @@ def exported_deep(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def labelled_stays(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and labels of each stay of the LOS task: a stay has both, or is in neither table."""
+    task = _task(spark, d, "LOS")
+    rows, labels = (t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias(n)) for t, n in ((task.x, "rows"), (task.y, "labels")))
+    return rows.join(labels, list(KEYS), "full")
+
+
+def episodic_info(spark: SparkSession, d: str) -> DataFrame:
+    """First known height and weight of each stay (clicks and purchases stand in), stored by subject and read back."""
+    folder, wide = P.folder(spark), P.wide(spark, d)
+    info = wide.select(*KEYS).distinct()
+    for c, name in (("click", "Height"), ("purchase", "Weight")):
+        info = info.join(extract.first_value(wide, c).withColumnRenamed(c, name), list(KEYS), "left")
+    stores.write_by_subject({"episodic_info": info}, folder)
+    return stores.read_subjects(spark, folder, "episodic_info").select(*KEYS, "Height", "Weight")
+
+
 _SCALED = f"""{_grid_sql()}, {P.P_SQL}, x AS (SELECT w.*, LOS, MORTALITY, death_hours FROM w JOIN p USING (SUBJECT_ID, ICUSTAY_ID) WHERE hours > -1e-6::DOUBLE AND hours < LOS * 24 + 1e-6::DOUBLE), {_F},
   y AS (SELECT SUBJECT_ID, ICUSTAY_ID, t / 24 AS t, len([b FOR b IN {[24 * x for x in codes.LOS_DAYS]} IF b <= y]) AS y FROM ({_LABELS})),
   im AS (SELECT SUBJECT_ID, ICUSTAY_ID, bins, {", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in P.CHANNELS)} FROM g),
   sc AS (SELECT SUBJECT_ID, ICUSTAY_ID, bins, {" + ".join(f"(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()))::FLOAT::DOUBLE" for c in P.CHANNELS)} AS v FROM im)"""
 
 ENTRIES = {
+    "p14_labelled_stays": (labelled_stays, f"""{_T}, {_F}, y AS ({_LABELS}) SELECT SUBJECT_ID, ICUSTAY_ID, rows, labels FROM (SELECT SUBJECT_ID, ICUSTAY_ID, count(*) AS rows FROM x GROUP BY ALL) JOIN (SELECT SUBJECT_ID, ICUSTAY_ID, count(*) AS labels FROM y GROUP BY ALL) USING (SUBJECT_ID, ICUSTAY_ID)"""),
+    "s23_episodic_info": (episodic_info, f"WITH {P.E_SQL}, {P.W_SQL} SELECT SUBJECT_ID, ICUSTAY_ID, arg_min(click, hours) FILTER (click IS NOT NULL) AS Height, arg_min(purchase, hours) FILTER (purchase IS NOT NULL) AS Weight FROM w GROUP BY ALL"),
     "e9_array_export": (exported, f"""{_SCALED}, s AS (SELECT SUBJECT_ID, ICUSTAY_ID, t, count(*) AS n, round(sum(v), 3) AS total, y::DOUBLE AS y FROM y JOIN sc USING (SUBJECT_ID, ICUSTAY_ID) WHERE bins <= t GROUP BY ALL)
       SELECT SUBJECT_ID, ICUSTAY_ID, t, n, max(n) OVER () AS steps, {len(P.CHANNELS)}::BIGINT AS width, total, y FROM s"""),
     "e9_deep_export": (exported_deep, f"""{_SCALED}, l AS (SELECT SUBJECT_ID, ICUSTAY_ID, t::INT AS bins, y FROM y WHERE t = floor(t)),

@@ -315,6 +315,14 @@ b AS (SELECT SUBJECT_ID, g.source, split, y, c, ln(n) - 0.5 * ({" + ".join(f"ln(
 s AS (SELECT source, split, y, sum(CASE c WHEN 1 THEN l ELSE -l END) AS p FROM b GROUP BY SUBJECT_ID, source, split, y),
 a AS (SELECT source, split, {_NEAR} AS v FROM (SELECT *, sum(neg) OVER (PARTITION BY source, split ORDER BY p) AS cneg FROM (SELECT source, split, p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM s GROUP BY ALL)) GROUP BY ALL)
 SELECT source, {", ".join(f"round(max(v) FILTER (split = '{n}'), 6) AS {n}" for n in ("train", "own", "other"))}, round(max(v) FILTER (split = 'own') - max(v) FILTER (split = 'other'), 6) + 0.0::DOUBLE AS delta FROM a GROUP BY 1"""
+#: Isotonic regression in closed form: at a score, the largest over the starts before it of the least mean over the ends after it; between two scores a line.
+_ISOTONIC_SQL = f"""WITH {_L}, g AS (SELECT *, sum(n) OVER w AS cn, sum(v) OVER w AS cv FROM (SELECT p, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS v FROM s WHERE doc_id % 2 = 0 GROUP BY 1) WINDOW w AS (ORDER BY p)),
+m AS (SELECT a.p AS a, b.p AS b, (b.cv - a.cv + a.v) / (b.cn - a.cn + a.n) AS mean FROM g a JOIN g b ON a.p <= b.p),
+f AS (SELECT p, max(low) AS f FROM (SELECT g.p, m.a, min(m.mean) AS low FROM g JOIN m ON m.a <= g.p AND m.b >= g.p GROUP BY ALL) GROUP BY 1),
+q AS (SELECT DISTINCT p AS x FROM s), nb AS (SELECT x, max(p) FILTER (p <= x) AS lo, min(p) FILTER (p >= x) AS hi FROM q, f GROUP BY 1),
+t AS (SELECT x, CASE WHEN lo IS NULL THEN h.f WHEN hi IS NULL OR lo = hi THEN l.f ELSE l.f + (h.f - l.f) * (x - lo) / (hi - lo) END AS f FROM nb LEFT JOIN f l ON l.p = lo LEFT JOIN f h ON h.p = hi),
+c AS (SELECT y, f AS p FROM s JOIN t ON x = s.p), b AS (SELECT least(9, floor(p * 10)) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM c GROUP BY 1)
+SELECT round(sum(abs(c - a) * n) / sum(n), 8) AS ece FROM b"""
 _RATE = "CASE WHEN {b} = 0 THEN CASE WHEN {a} = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {a} / {b} END"
 _M = [f"{m}::DOUBLE" for m in codes.LOS_MEANS]
 
@@ -363,7 +371,8 @@ ENTRIES = {
     "g5_neighbours": (nearest, f"""WITH {_ROWS}, p AS (SELECT a.SUBJECT_ID, b.y, row_number() OVER (PARTITION BY a.SUBJECT_ID ORDER BY {" + ".join(f"pow(a.{x} - b.{x}, 2)" for x in _X)}, b.SUBJECT_ID) AS i
       FROM r a JOIN r b ON a.SUBJECT_ID <> b.SUBJECT_ID WHERE a.SUBJECT_ID % 100 = 0) SELECT SUBJECT_ID, round(avg(y), 6) AS p FROM p WHERE i <= 5 GROUP BY 1"""),
     "g9_penalised": (penalised, None),
-    **{f"g7_calibrated_{m}": (recalibrated(m), None) for m in ("isotonic", "logistic", "temperature", "beta")},
+    "g7_calibrated_isotonic": (recalibrated("isotonic"), _ISOTONIC_SQL),
+    **{f"g7_calibrated_{m}": (recalibrated(m), None) for m in ("logistic", "temperature", "beta")},
     "g7_calibrated_histogram": (recalibrated("histogram"), f"""WITH {_L}, h AS (SELECT least(9, floor(p * 10)) AS bin, avg(y) AS share FROM s WHERE doc_id % 2 = 0 GROUP BY 1), c AS (SELECT y, coalesce(share, p) AS p FROM s LEFT JOIN h ON bin = least(9, floor(p * 10))),
       b AS (SELECT least(9, floor(p * 10)) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM c GROUP BY 1) SELECT round(sum(abs(c - a) * n) / sum(n), 8) AS ece FROM b"""),
     "s8_r1_r2_ingested": (ingested, f"WITH {P.E_SQL} SELECT ICUSTAY_ID, EVENT_ID, VALUE FROM e WHERE SUBJECT_ID % 3 = 0"),
