@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import channels, cleaning, codes
-from tidemark.operators import extract, features, metrics, running, samples, scale, split, stats, tasks, timeseries
+from tidemark.operators import extract, features, metrics, models, running, samples, scale, split, stats, tasks, timeseries
 from tidemark.sources import raw, stores
 
 T0 = dt.datetime(2100, 1, 1)
@@ -297,3 +297,19 @@ def test_cuts_by_binary_search(spark):
     for made in (metrics.pr_auc(frame, "y", "p", 20, ["g"]), metrics.roc_auc_cuts(frame, "y", "p", 200), metrics.at_operating_point(frame, "y", "p", 0.5)):
         assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
     assert metrics.pr_auc(frame.limit(0), "y", "p", 20, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_neighbours_with_ties(spark, block_rows, monkeypatch):
+    """Against all distances, with many equal ones, large numbers, and fewer rows than neighbours."""
+    monkeypatch.setattr(models, "QUERIES", 3)
+    monkeypatch.setattr(models, "EXACT", 5)
+    rng = random.Random(8)
+    rows = [(i, float(i % 3), [1e6 + rng.randrange(3), float(rng.randrange(3))]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, label double, x array<double>")
+    got = {r.id: r.p for r in models.neighbours(frame, frame.where("id % 2 = 0"), 5, "id", block_rows).collect()}
+    for i, _, x in rows[::2]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), j, label) for j, label, y in rows if j != i)[:5]
+        assert got[i] == pytest.approx(sum(n[2] for n in near) / 5)
+    few = {r.id: r.p for r in models.neighbours(frame.where("id < 3"), frame.where("id = 1"), 5, "id").collect()}
+    assert few == {1: pytest.approx((0.0 + 2.0) / 2)}

@@ -14,6 +14,8 @@ from tidemark.operators.timeseries import EPS, KEYS, quoted
 
 #: Which part of a channel's time span, and how much of it in percent.
 SUB_WINDOWS = [("first", 100), ("first", 10), ("first", 25), ("first", 50), ("last", 10), ("last", 25), ("last", 50)]
+#: Labels of which the statistics are held before they are given out; a stay's channel with more of them goes alone.
+TOLD = 20_000
 STATISTICS = ["min", "max", "mean", "std", "skew", "len"]
 
 
@@ -108,7 +110,7 @@ def windowed(series: DataFrame, labels: DataFrame, values: Sequence[str], by: Se
     """(by, t, channel, stats), stats an array of a struct for each sub-window of what precedes the label.
 
     A channel of a stay is one sorted array, and all labels of the stay look into it by binary search: the work grows
-    with the labels, not with labels times events. What meets in a task's memory is bounded by one stay. A label
+    with the labels, not with labels times events. What meets in a task's memory is bounded by one stay, and results by TOLD labels beside it. A label
     without known values before it has no row for that channel; skew is null for constants and single values.
     """
     seen = melt(series.where(F.col(time).isNotNull()), values, by, time).groupBy(*by, "channel").agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("h"), "v"))).alias("_r"))
@@ -116,25 +118,30 @@ def windowed(series: DataFrame, labels: DataFrame, values: Sequence[str], by: Se
     asked = labels.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("_t"))
     keys = [*by, "channel"]
 
+    def given(batch: pa.RecordBatch, times: pa.Array, row: np.ndarray, which: np.ndarray, told: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(told[:, j], mask=np.isnan(told[:, j]) if n == "skew" else None) for j, n in enumerate(STATISTICS)]
+        stats = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * len(windows), pa.int32()), pa.StructArray.from_arrays(columns, STATISTICS))
+        return pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row)) for j in range(len(keys))), times.take(pa.array(which)), stats], [*keys, t, "stats"])
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = {c: batch.column(batch.schema.get_field_index(c)) for c in ("_h", "_v", "_t")}
             ends = {c: x.offsets.to_numpy() - x.offsets[0].as_py() for c, x in flat.items()}
             flat = {c: x.flatten() for c, x in flat.items()}
             plain = {c: x.cast(pa.float64()).to_numpy() for c, x in flat.items()}
-            row, which, told = [], [], []
+            row, which, told, held = [], [], [], 0
             for i in range(batch.num_rows):
                 h, v, ts = (plain[c][ends[c][i] : ends[c][i + 1]] for c in ("_h", "_v", "_t"))
                 some, stats = looked_up(h, v, ts, windows)
                 row.append(np.full(len(some), i))
                 which.append(ends["_t"][i] + some)
                 told.append(stats)
-            if not row:
-                continue
-            row, which, told = np.concatenate(row), np.concatenate(which), np.concatenate(told)
-            columns = [pa.array(told[:, j], mask=np.isnan(told[:, j]) if n == "skew" else None) for j, n in enumerate(STATISTICS)]
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * len(windows), pa.int32()), pa.StructArray.from_arrays(columns, STATISTICS))
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row)) for j in range(len(keys))), flat["_t"].take(pa.array(which)), stats], [*keys, t, "stats"])
+                held += len(some)
+                if held >= TOLD:
+                    yield given(batch, flat["_t"], *map(np.concatenate, (row, which, told)))
+                    row, which, told, held = [], [], [], 0
+            if held:
+                yield given(batch, flat["_t"], *map(np.concatenate, (row, which, told)))
 
     rows = seen.join(asked, list(by)).select(*keys, "_h", "_v", "_t")
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)

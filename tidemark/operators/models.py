@@ -61,6 +61,12 @@ def predictions(model: Model, rows: DataFrame) -> DataFrame:
     return out.withColumn("p", vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction"))
 
 
+#: Query rows that are compared with a block at a time.
+QUERIES = 256
+#: Pairs whose exact distances are computed at a time.
+EXACT = 50_000
+
+
 def neighbours(train: DataFrame, rows: DataFrame, k: int, id_col: str = "id", block_rows: int = 16_384) -> DataFrame:
     """(id, p): the mean label of the k rows of train that are nearest to each of rows by Euclidean distance, itself not among them.
 
@@ -87,13 +93,21 @@ def neighbours(train: DataFrame, rows: DataFrame, k: int, id_col: str = "id", bl
                     continue
                 held = [tuple(np.concatenate(h) for h in zip(*held, strict=True))]
                 others, label, points = held[0]
-                for i, q in zip(ids[first:end], x, strict=True):
-                    d = np.square(points - q).sum(1)
-                    d[others == i] = np.inf
-                    some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                    some = some[np.lexsort((others[some], d[some]))][:k]
-                    some = some[np.isfinite(d[some])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(others[some]), pa.array(label[some]), pa.array(d[some])], ["id", "other", "label", "d"])
+                square = np.square(points).sum(1)
+                for a in range(0, len(x), QUERIES):
+                    q, own_ids = x[a : a + QUERIES], ids[first:end][a : a + QUERIES]
+                    near = square - 2 * (q @ points.T) + np.square(q).sum(1)[:, None]
+                    near[own_ids[:, None] == others] = np.inf
+                    last = min(k, len(others)) - 1
+                    # what the product leaves within its rounding of the k-th is compared anew, exactly
+                    far = np.partition(near, last, 1)[:, last : last + 1]
+                    at, of = np.nonzero((near <= far + 1e-9 * (1 + square.max() + np.abs(np.where(np.isfinite(far), far, 0.0)))) & np.isfinite(near))
+                    d = np.concatenate([np.empty(0), *(np.square(points[of[s : s + EXACT]] - q[at[s : s + EXACT]]).sum(1) for s in range(0, len(at), EXACT))])
+                    order = np.lexsort((others[of], d, at))
+                    at, of, d = at[order], of[order], d[order]
+                    place = np.arange(len(at)) - np.searchsorted(at, at)
+                    at, of, d = (v[place < k] for v in (at, of, d))
+                    yield pa.RecordBatch.from_arrays([pa.array(own_ids[at]), pa.array(others[of]), pa.array(label[of]), pa.array(d)], ["id", "other", "label", "d"])
 
     found = own.unionByName(asked).repartition("block").sortWithinPartitions("block", "part").mapInArrow(search, "id long, other long, label double, d double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
