@@ -89,7 +89,7 @@ def rolling(spark: SparkSession, d: str) -> DataFrame:
             made = rolling_metrics(stream, "VARIABLE", "CHARTTIME", "EVENT_ID", "y", "p", F.col("own"), F.col("told"), SIZE, EVERY, 100, 5, "linear")
             jobs.append(made, f"{folder}/out", f"{folder}/state").awaitTermination()
     told = spark.read.parquet(f"{folder}/out")
-    return told.select("VARIABLE", "seen", "n", F.round("roc_auc", 8).alias("roc_auc"), F.round("kappa", 8).alias("kappa"))
+    return told.select("VARIABLE", "seen", "n", (F.round("roc_auc", 8) + 0.0).alias("roc_auc"), (F.round("kappa", 8) + 0.0).alias("kappa"))
 
 
 ROLLING_SQL = f"""WITH r AS (SELECT event_type AS VARIABLE, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, (value > {HIGH})::INT AS y, floor((value * 3 + event_id % 50) % 100)::INT AS c, least(4, floor(value / 8))::INT AS own FROM events),
