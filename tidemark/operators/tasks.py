@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import codes
-from tidemark.operators.timeseries import EPS, KEYS, label_grid, within_stay
+from tidemark.operators.timeseries import EPS, KEYS, label_grid, label_times, within_stay
 
 # Hours.
 IHM_HOURS, LABEL_START, HORIZON = 48.0, 4.0, 24.0
@@ -49,14 +49,22 @@ def lived_hours(stays: DataFrame) -> Column:
     return F.coalesce(codes.hours_between(F.col("INTIME"), F.col("DEATHTIME")), F.lit(1e18))
 
 
+def _dies_soon(t: Column) -> Column:
+    return F.when(F.col("MORTALITY") == 1, (F.col("_lived") - t < HORIZON).cast("double")).otherwise(0.0)
+
+
+def _labelled(x: DataFrame, y: DataFrame, by: Sequence[str]) -> Task:
+    """P14 for labels that were made from the stays of x: only rows without a label go, and labels are neither shuffled nor sorted."""
+    return Task(x.drop("_los").join(y.select(*by).distinct(), list(by), "left_semi"), y)
+
+
 def decompensation(series: DataFrame, episodic: DataFrame, stays: DataFrame, by: Sequence[str] = KEYS, start: float = LABEL_START, after_first: bool = True) -> Task:
     """Hourly, whether death comes within 24 hours."""
     x = _with_los(series, episodic, by)
     lived = stays.select(*by, lived_hours(stays).alias("_lived"))
     grid = label_grid(_stays(x, episodic, by).join(lived, list(by)), F.least("_los", "_lived"), start, by)
     grid = grid.where(F.col("t") > F.col("_first")) if after_first else grid
-    y = grid.select(*by, "t", F.when(F.col("MORTALITY") == 1, (F.col("_lived") - F.col("t") < HORIZON).cast("double")).otherwise(0.0).alias("y"))
-    return _only_labelled(x.drop("_los"), y, by)
+    return _labelled(x, grid.select(*by, "t", _dies_soon(F.col("t")).alias("y")), by)
 
 
 def length_of_stay(series: DataFrame, episodic: DataFrame, by: Sequence[str] = KEYS, start: float = LABEL_START, after_first: bool = True) -> Task:
@@ -64,7 +72,7 @@ def length_of_stay(series: DataFrame, episodic: DataFrame, by: Sequence[str] = K
     x = _with_los(series, episodic, by)
     grid = label_grid(_stays(x, episodic, by), F.col("_los"), start, by)
     grid = grid.where(F.col("t") >= F.col("_first")) if after_first else grid
-    return _only_labelled(x.drop("_los"), grid.select(*by, "t", (F.col("_los") - F.col("t")).alias("y")), by)
+    return _labelled(x, grid.select(*by, "t", (F.col("_los") - F.col("t")).alias("y")), by)
 
 
 def phenotype_labels(diagnoses: DataFrame, groups: Sequence[str], by: Sequence[str] = KEYS) -> DataFrame:
@@ -88,14 +96,16 @@ def multitask(series: DataFrame, episodic: DataFrame, stays: DataFrame, diagnose
     base = pheno.y.select(*by, F.col("t").alias("LOS_value"), F.col("y").alias("PHENO_labels")).join(episodic.select(*by, F.col("MORTALITY").cast("double").alias("_m")), list(by))
     ihm = in_hospital_mortality(series, episodic, by).y.select(*by, F.col("y").alias("_ihm"))
 
-    def listed(y: DataFrame, name: str) -> DataFrame:
-        rows = y.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("_r"))
-        return rows.select(*by, F.transform("_r", lambda r: (r["t"] > LABEL_START).cast("double")).alias(f"{name}_masks"), F.transform("_r", lambda r: r["y"]).alias(f"{name}_labels"))
+    def listed(name: str, end: Column, y: Callable[[Column], Column]) -> list[Column]:
+        times = label_times(end)
+        return [F.transform(times, lambda t: (t > LABEL_START).cast("double")).alias(f"{name}_masks"), F.transform(times, y).alias(f"{name}_labels")]
 
-    dec = listed(decompensation(series, episodic, stays, by, -1e6, False).y, "DECOMP")
-    los = listed(length_of_stay(series, episodic, by, -1e6, False).y, "LOS")
+    # A stay's hourly labels are made as arrays, so that there is never a row a label.
+    own = _stays(_with_los(series, episodic, by), episodic, by)
+    hourly = own.join(stays.select(*by, lived_hours(stays).alias("_lived")), list(by), "left")
+    hourly = hourly.select(*by, *listed("DECOMP", F.when(F.col("_lived").isNotNull(), F.least("_los", "_lived")), _dies_soon), *listed("LOS", F.col("_los"), lambda t: F.col("_los") - t))
     none = F.array_repeat(F.lit(0.0), int(LABEL_START) + 1)
-    out = base.join(ihm, list(by), "left").join(dec, list(by), "left").join(los, list(by), "left")
+    out = base.join(ihm, list(by), "left").join(hourly, list(by), "left")
     y = out.select(
         *by,
         F.when(F.col("_ihm").isNull(), 0).otherwise(47).alias("IHM_pos"),

@@ -108,10 +108,14 @@ def replication_weights(grid: DataFrame, coef: float, by: Sequence[str] = KEYS)
     return grid.withColumn("weight", F.when(F.col("bins") < last, F.lit(coef)).otherwise(F.lit(1.0)))
 
 
+def label_times(end: Column, rate: float = 1.0) -> Column:
+    """The array of times 0, rate, 2 rate ... up to end; null where end is null or negative."""
+    return F.when(end >= 0, F.transform(F.sequence(F.lit(0), F.floor((end + EPS) / rate).cast("int")), lambda i: i * F.lit(rate)))
+
+
 def label_grid(stays: DataFrame, end: Column, start: float, by: Sequence[str] = KEYS, rate: float = 1.0) -> DataFrame:
     """Times 0, rate, 2 rate ... up to end that lie after start. Stays with a null or negative end have none."""
-    times = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("_end") + EPS) / rate).cast("int")), lambda i: i * F.lit(rate)))
-    return stays.withColumn("_end", end).where(F.col("_end") >= 0).withColumn("t", times).where(F.col("t") > start).drop("_end")
+    return stays.withColumn("_end", end).where(F.col("_end") >= 0).withColumn("t", F.explode(label_times(F.col("_end"), rate))).where(F.col("t") > start).drop("_end")
 
 
 def prefix_rows(series: DataFrame, labels: DataFrame, by: Sequence[str] = KEYS, time: str = "hours", t: str = "t", closed: bool = False) -> DataFrame:
