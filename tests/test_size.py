@@ -48,3 +48,14 @@ def test_pieces_of_many_labels_are_those_of_few(monkeypatch):
         assert row == told[1][label, c][0] and s == pytest.approx(told[1][label, c][1], abs=1e-9, nan_ok=True)
         own = [x for x, hour in zip(v[c][at[row] : at[row + 1]].to_pylist(), h[at[row] : at[row + 1]], strict=True) if x is not None and hour < t[label] + features.EPS]
         assert t[label] <= 35 and s[[0, 1, 2, 5]] == pytest.approx([min(own), max(own), np.mean(own), len(own)])
+
+
+def test_equal_lines_of_a_stay_all_count(spark, tmp_path):
+    for t in ("orders", "lineitem"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").limit(50 if t == "orders" else 10**6).write.parquet(f"{tmp_path}/{t}.parquet")
+    once = {(r.SUBJECT_ID, r.ICUSTAY_ID): r for r in queries()["j10_w1_episodes"](spark, str(tmp_path)).collect()}
+    again = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    again.write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    twice = {(r.SUBJECT_ID, r.ICUSTAY_ID): r for r in queries()["j10_w1_episodes"](spark, str(tmp_path)).collect()}
+    assert once and once.keys() == twice.keys()
+    assert all((twice[k].n, twice[k].quantity, twice[k].first) == (2 * r.n, 2 * r.quantity, r.first) for k, r in once.items())

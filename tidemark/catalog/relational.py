@@ -102,14 +102,14 @@ def _pivot_sql(legacy: bool) -> str:
 
 def _line_series(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o, li = P.table(spark, d, "orders"), P.table(spark, d, "lineitem")
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("SUBJECT_ID"), F.col("l_orderkey").alias("ICUSTAY_ID"), F.col("l_linenumber").alias("LINE"), F.col("l_shipdate").cast("timestamp").alias("CHARTTIME"), "l_quantity")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("SUBJECT_ID"), F.col("l_orderkey").alias("ICUSTAY_ID"), F.col("l_shipdate").cast("timestamp").alias("CHARTTIME"), "l_quantity")
     begun = F.col("o_orderdate").cast("timestamp")
     stays = o.select(F.col("o_custkey").alias("SUBJECT_ID"), F.col("o_orderkey").alias("ICUSTAY_ID"), begun.alias("INTIME"), F.timestamp_micros(F.unix_micros(begun) + F.lit(60 * 86_400_000_000)).alias("OUTTIME"))
-    return rows.withColumn("ROW", F.col("ICUSTAY_ID") * 10 + F.col("LINE")), stays
+    return rows, stays
 
 
 def episodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.hour_index(extract.episodes(*_line_series(spark, d), row=["SUBJECT_ID", "ROW", "CHARTTIME", "l_quantity"], days=60.0))
+    rows = extract.hour_index(extract.episodes(*_line_series(spark, d), row=[], days=60.0))
     return rows.groupBy("SUBJECT_ID", "ICUSTAY_ID").agg(F.count(F.lit(1)).alias("n"), F.min("hours").alias("first"), F.max("hours").alias("last"), F.sum("l_quantity").alias("quantity"))
 
 

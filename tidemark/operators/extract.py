@@ -89,7 +89,7 @@ def episodes(series: DataFrame, stays: DataFrame, time: str = "CHARTTIME", row:
     its id and all its spans: one equi-join, in which the rows of a subject are spread over its stays and time. `days` is best
     about the length of a stay, which then is put under two spans or so. `row`
     names the columns that tell a subject's rows apart, whatever stay they name (by default the time, as in a pivoted
-    series): of equal ones one stays in a stay.
+    series): of equal ones one stays in a stay. Where it is empty every row is one of its own, equal ones too.
     """
     span = lambda c: F.floor(F.unix_micros(c) / F.lit(days * 86_400_000_000)).cast("long")
     look = lambda by, at: F.struct(F.lit(by).alias("_by"), at.cast("long").alias("_at"))
@@ -100,6 +100,8 @@ def episodes(series: DataFrame, stays: DataFrame, time: str = "CHARTTIME", row:
     inside = F.col(time).between(F.col("INTIME"), F.col("OUTTIME")) & ~F.col("ICUSTAY_ID").eqNullSafe(F.col("_stay"))
     met = own.join(put, ["SUBJECT_ID", "_put"]).where((F.col("_put._by") == "id") | inside)
     rows = met.withColumn("ICUSTAY_ID", F.col("_stay")).drop("_stay", "_put", "OUTTIME")
+    if row is not None and not row:  # a row meets a stay once: by its id, or else by time
+        return rows
     return rows.dropDuplicates([*(row or ["SUBJECT_ID", time]), "ICUSTAY_ID"])
 
 
