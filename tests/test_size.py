@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from tidemark.catalog import queries
-from tidemark.operators import features
+from tidemark.operators import extract, features
+from tidemark.sources import stores
 
 DIR = "/root/testdata/sf0.001"
 
@@ -59,3 +60,13 @@ def test_equal_lines_of_a_stay_all_count(spark, tmp_path):
     twice = {(r.SUBJECT_ID, r.ICUSTAY_ID): r for r in queries()["j10_w1_episodes"](spark, str(tmp_path)).collect()}
     assert once and once.keys() == twice.keys()
     assert all((twice[k].n, twice[k].quantity, twice[k].first) == (2 * r.n, 2 * r.quantity, r.first) for k, r in once.items())
+
+
+def test_no_join_of_stored_tables_is_broadcast_by_the_size_of_files(spark, monkeypatch):
+    threshold, seen, recover = "spark.sql.autoBroadcastJoinThreshold", [], extract.recover_stays
+    before = spark.conf.get(threshold)
+    monkeypatch.setattr(extract, "recover_stays", lambda *a: (seen.append(spark.conf.get(threshold)), recover(*a))[1])
+    common = stores.common_subjects
+    monkeypatch.setattr(stores, "common_subjects", lambda *a: (seen.append(spark.conf.get(threshold)), common(*a))[1])
+    assert set(joins(plan(spark, "r8_r4_load_data"))) == {"SortMergeJoin"}
+    assert len(seen) > 3 and set(seen) == {"-1"} and spark.conf.get(threshold) == before

@@ -51,7 +51,7 @@ def loaded(spark: SparkSession, d: str) -> DataFrame:
     out = run()
     number = lambda c: F.col(f"`{c}`").try_cast("double")
     x = out["X"].groupBy("SUBJECT_ID", "ICUSTAY_ID").agg(F.count(F.lit(1)).alias("rows"), F.max("hours").alias("last"), F.sum(number("Heart Rate")).alias("rate"), F.sum(number("pH")).alias("ph"))
-    return x.join(out["y"].select("SUBJECT_ID", "ICUSTAY_ID", F.col("y").cast("int").alias("y")), ["SUBJECT_ID", "ICUSTAY_ID"])
+    return x.hint("merge").join(out["y"].select("SUBJECT_ID", "ICUSTAY_ID", F.col("y").cast("int").alias("y")), ["SUBJECT_ID", "ICUSTAY_ID"])
 
 
 ENTRIES = {

@@ -62,7 +62,7 @@ def extract_new(spark: SparkSession, source: str, extracted: str, definitions: M
     Which subjects are open is settled first. Their events are read once, kept beside the storage, and the series made
     from these once, and from both what else there is; without an open subject no event log is opened.
     """
-    with stores.staging(spark, f"{extracted}/_staged") as staged:
+    with stores.measured_broadcasts(spark), stores.staging(spark, f"{extracted}/_staged") as staged:
         static = {n: staged(t, n) for n, t in extract_static(spark, source, definitions).items()}
         able = extract.processable(static["history"], start_hours)
         if subject_ids is not None:

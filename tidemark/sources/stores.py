@@ -37,6 +37,27 @@ def done_subjects(spark: SparkSession, folder: str, key: str = "SUBJECT_ID", kin
     return _holders(spark, folder, key, kind).groupBy(key).agg(F.min_by("batch", "number").alias("batch"))
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside are broadcast only where a side was measured to be small, after its shuffle.
+
+    Stored tables are columns of few values: files of some MB hold millions of rows, which the planner would broadcast
+    by the size of the files.
+    """
+    threshold, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {c: spark.conf.get(c, None) for c in (threshold, adaptive)}
+    spark.conf.set(adaptive, before[adaptive] or spark.conf.get(threshold))
+    spark.conf.set(threshold, "-1")
+    try:
+        yield
+    finally:
+        for c, value in before.items():
+            if value is None:
+                spark.conf.unset(c)
+            else:
+                spark.conf.set(c, value)
+
+
 def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "SUBJECT_ID") -> None:
     """The rows of subjects that all tables have and the folder doesn't, as a batch in a folder of each table.
 
@@ -49,11 +70,12 @@ def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "S
     spark = next(iter(tables.values())).sparkSession
     batch = f"b{uuid.uuid4().hex}"  # never read as a number
     kind = next(iter(tables.values())).schema[key].dataType.simpleString()
-    new = common_subjects(list(tables.values()), key).join(done_subjects(spark, folder, key, kind), key, "left_anti")
-    new.write.parquet(f"{folder}/_subjects/batch={batch}")  # once, not with each table
-    ids = spark.read.schema(new.schema).parquet(f"{folder}/_subjects/batch={batch}")
-    for name, t in tables.items():
-        t.join(ids, key, "left_semi").repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}/batch={batch}")
+    with measured_broadcasts(spark):
+        new = common_subjects(list(tables.values()), key).join(done_subjects(spark, folder, key, kind), key, "left_anti")
+        new.write.parquet(f"{folder}/_subjects/batch={batch}")  # once, not with each table
+        ids = spark.read.schema(new.schema).parquet(f"{folder}/_subjects/batch={batch}")
+        for name, t in tables.items():
+            t.join(ids, key, "left_semi").repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}/batch={batch}")
     commits.commit(spark, f"{folder}/_commits", batch)
 
 
