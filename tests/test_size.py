@@ -70,3 +70,10 @@ def test_no_join_of_stored_tables_is_broadcast_by_the_size_of_files(spark, monke
     monkeypatch.setattr(stores, "common_subjects", lambda *a: (seen.append(spark.conf.get(threshold)), common(*a))[1])
     assert set(joins(plan(spark, "r8_r4_load_data"))) == {"SortMergeJoin"}
     assert len(seen) > 3 and set(seen) == {"-1"} and spark.conf.get(threshold) == before
+
+
+def test_labels_of_stays_are_in_no_join_and_arrays_of_them_in_no_rows(spark):
+    assert "explode" not in plan(spark, "t5_multi_labels")
+    for name in ("t3_w9_los_labels", "t2_w7_w8_decomp_labels"):
+        above, below = plan(spark, name).split("Generate", 1)
+        assert not joins(above) and joins(below)
