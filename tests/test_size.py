@@ -77,3 +77,9 @@ def test_labels_of_stays_are_in_no_join_and_arrays_of_them_in_no_rows(spark):
     for name in ("t3_w9_los_labels", "t2_w7_w8_decomp_labels"):
         above, below = plan(spark, name).split("Generate", 1)
         assert not joins(above) and joins(below)
+
+
+def test_hourly_arrays_are_made_after_the_last_join(spark):
+    text = plan(spark, "t5_multi_labels")
+    last = re.search(r"\w*Join\b", text).start()
+    assert "transform(" in text[:last] and "transform(" not in text[last:]

@@ -27,22 +27,20 @@ def _with_los(series: DataFrame, episodic: DataFrame, by: Sequence[str]) -> Data
     return within_stay(series.join(los, list(by)), F.col("_los"))
 
 
-def _only_labelled(x: DataFrame, y: DataFrame, by: Sequence[str]) -> Task:
-    """Stays without a label or without rows go."""
-    return Task(x.join(y.select(*by).distinct(), list(by), "left_semi"), y.join(x.select(*by).distinct(), list(by), "left_semi"))
-
-
 def in_hospital_mortality(series: DataFrame, episodic: DataFrame, by: Sequence[str] = KEYS) -> Task:
     """The first 48 hours of stays that last as long; the label stands at the last row kept."""
     long = episodic.where((F.col("LOS") * 24 >= IHM_HOURS) & F.col("MORTALITY").isNotNull()).select(*by, "MORTALITY")
-    x = series.join(long.select(*by), list(by), "left_semi").where((F.col("hours") > -EPS) & (F.col("hours") < IHM_HOURS + EPS))
-    y = x.groupBy(*by).agg(F.max("hours").alias("t")).join(long, list(by)).select(*by, "t", F.col("MORTALITY").cast("double").alias("y"))
+    early = series.where((F.col("hours") > -EPS) & (F.col("hours") < IHM_HOURS + EPS))
+    x = early.join(long.select(*by), list(by), "left_semi")
+    y = early.groupBy(*by).agg(F.max("hours").alias("t")).join(long, list(by)).select(*by, "t", F.col("MORTALITY").cast("double").alias("y"))
     return Task(x, y)
 
 
-def _stays(x: DataFrame, episodic: DataFrame, by: Sequence[str]) -> DataFrame:
-    first = x.groupBy(*by).agg(F.min("hours").alias("_first"))
-    return episodic.where(F.col("MORTALITY").isNotNull()).select(*by, (F.col("LOS") * 24).alias("_los"), "MORTALITY").join(first, list(by))
+def _stays(series: DataFrame, episodic: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The stays that _with_los() leaves rows of, and the first of these: rows are counted up by stay before the join, as one lies within the stay if the first does."""
+    first = series.where(F.col("hours") > -EPS).groupBy(*by).agg(F.min("hours").alias("_first"))
+    own = episodic.where(F.col("MORTALITY").isNotNull()).select(*by, (F.col("LOS") * 24).alias("_los"), "MORTALITY")
+    return own.join(first, list(by)).where(F.col("_first") < F.col("_los") + EPS)
 
 
 def lived_hours(stays: DataFrame) -> Column:
@@ -62,7 +60,7 @@ def decompensation(series: DataFrame, episodic: DataFrame, stays: DataFrame, by:
     """Hourly, whether death comes within 24 hours."""
     x = _with_los(series, episodic, by)
     lived = stays.select(*by, lived_hours(stays).alias("_lived"))
-    grid = label_grid(_stays(x, episodic, by).join(lived, list(by)), F.least("_los", "_lived"), start, by)
+    grid = label_grid(_stays(series, episodic, by).join(lived, list(by)), F.least("_los", "_lived"), start, by)
     grid = grid.where(F.col("t") > F.col("_first")) if after_first else grid
     return _labelled(x, grid.select(*by, "t", _dies_soon(F.col("t")).alias("y")), by)
 
@@ -70,24 +68,25 @@ def decompensation(series: DataFrame, episodic: DataFrame, stays: DataFrame, by:
 def length_of_stay(series: DataFrame, episodic: DataFrame, by: Sequence[str] = KEYS, start: float = LABEL_START, after_first: bool = True) -> Task:
     """Hourly, the hours that remain."""
     x = _with_los(series, episodic, by)
-    grid = label_grid(_stays(x, episodic, by), F.col("_los"), start, by)
+    grid = label_grid(_stays(series, episodic, by), F.col("_los"), start, by)
     grid = grid.where(F.col("t") >= F.col("_first")) if after_first else grid
     return _labelled(x, grid.select(*by, "t", (F.col("_los") - F.col("t")).alias("y")), by)
 
 
 def phenotype_labels(diagnoses: DataFrame, groups: Sequence[str], by: Sequence[str] = KEYS) -> DataFrame:
     """An array of 0/1 for each benchmark phenotype, in the order of the names."""
-    own = diagnoses.where("USE_IN_BENCHMARK = 1").groupBy(*by).agg(F.collect_set("HCUP_CCS_2015").alias("_own"))
-    order = F.array(*(F.lit(g) for g in sorted(groups)))
-    every = diagnoses.select(*by).distinct().join(own, list(by), "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
-    return every.select(*by, F.transform(order, lambda g: F.array_contains(F.col("_own"), g).cast("int")).alias("y"))
+    own = lambda g: F.max(F.when((F.col("USE_IN_BENCHMARK") == 1) & (F.col("HCUP_CCS_2015") == g), 1).otherwise(0))
+    names = sorted(groups)
+    flags = diagnoses.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *(own(g).alias(f"_{i}") for i, g in enumerate(names)))
+    return flags.select(*by, F.array(*(F.col(f"_{i}") for i in range(len(names)))).cast("array<int>").alias("y"))
 
 
 def phenotyping(series: DataFrame, episodic: DataFrame, diagnoses: DataFrame, groups: Sequence[str], by: Sequence[str] = KEYS) -> Task:
     """T4: one label row at the stay's end."""
     x = _with_los(series, episodic, by)
     y = phenotype_labels(diagnoses, groups, by).join(episodic.select(*by, (F.col("LOS") * 24).alias("t")), list(by)).select(*by, "t", "y")
-    return _only_labelled(x.drop("_los"), y, by)
+    y = y.join(_stays(series, episodic, by).select(*by), list(by), "left_semi")
+    return Task(x.drop("_los").join(y.select(*by).distinct(), list(by), "left_semi"), y)  # P14: stays without a label or without rows go
 
 
 def multitask(series: DataFrame, episodic: DataFrame, stays: DataFrame, diagnoses: DataFrame, groups: Sequence[str], by: Sequence[str] = KEYS) -> Task:
@@ -98,12 +97,11 @@ def multitask(series: DataFrame, episodic: DataFrame, stays: DataFrame, diagnose
 
     def listed(name: str, end: Column, y: Callable[[Column], Column]) -> list[Column]:
         times = label_times(end)
-        return [F.transform(times, lambda t: (t > LABEL_START).cast("double")).alias(f"{name}_masks"), F.transform(times, y).alias(f"{name}_labels")]
+        made = F.transform(times, lambda t: (t > LABEL_START).cast("double")), F.transform(times, y)
+        return [F.coalesce(m, none).alias(f"{name}_{n}") for n, m in zip(("masks", "labels"), made, strict=True)]
 
-    # A stay's hourly labels are made as arrays, so that there is never a row a label.
-    own = _stays(_with_los(series, episodic, by), episodic, by)
-    hourly = own.join(stays.select(*by, lived_hours(stays).alias("_lived")), list(by), "left")
-    hourly = hourly.select(*by, *listed("DECOMP", F.when(F.col("_lived").isNotNull(), F.least("_los", "_lived")), _dies_soon), *listed("LOS", F.col("_los"), lambda t: F.col("_los") - t))
+    # A stay's hourly labels are made as arrays, so that there is never a row a label, and after the last join, so that none is sorted or kept.
+    hourly = _stays(series, episodic, by).drop("_first").join(stays.select(*by, lived_hours(stays).alias("_lived")), list(by), "left")
     none = F.array_repeat(F.lit(0.0), int(LABEL_START) + 1)
     out = base.join(ihm, list(by), "left").join(hourly, list(by), "left")
     y = out.select(
@@ -111,7 +109,8 @@ def multitask(series: DataFrame, episodic: DataFrame, stays: DataFrame, diagnose
         F.when(F.col("_ihm").isNull(), 0).otherwise(47).alias("IHM_pos"),
         F.col("_ihm").isNotNull().cast("int").alias("IHM_mask"),
         F.coalesce("_ihm", "_m").alias("IHM_label"),
-        *(F.coalesce(c, none).alias(c) for c in ("DECOMP_masks", "DECOMP_labels", "LOS_masks", "LOS_labels")),
+        *listed("DECOMP", F.when(F.col("_lived").isNotNull(), F.least("_los", "_lived")), _dies_soon),
+        *listed("LOS", F.col("_los"), lambda t: F.col("_los") - t),
         "LOS_value",
         "PHENO_labels",
     )
