@@ -83,3 +83,20 @@ def test_hourly_arrays_are_made_after_the_last_join(spark):
     text = plan(spark, "t5_multi_labels")
     last = re.search(r"\w*Join\b", text).start()
     assert "transform(" in text[:last] and "transform(" not in text[last:]
+
+
+@pytest.mark.parametrize("name", ["t3_w9_los_labels", "t2_w7_w8_decomp_labels", "t4_j16_a13_pheno_labels"])
+def test_rows_are_counted_up_by_stay_before_any_join(spark, name):
+    """The rows of a stay are neither sorted for a join nor made wide."""
+    above, below = plan(spark, name).split("partial_min(hours", 1)
+    assert joins(above) and not joins(below.split("partial_", 1)[0]) and not re.search(r"keys=\[SUBJECT_ID[^]]*hours", above + below)
+
+
+def test_stays_are_those_with_a_row_inside(spark):
+    from tidemark.operators import tasks
+
+    rows = [(1, -3.0), (1, 0.0), (1, 5.0), (1, None), (2, -1.0), (3, 30.5), (3, 40.0), (4, 30.4), (4, float("nan")), (5, None), (6, 1.0)]
+    series = spark.createDataFrame([(n, n, h) for n, h in rows], "SUBJECT_ID long, ICUSTAY_ID long, hours double")
+    episodic = spark.createDataFrame([(n, n, 30.4 / 24, None if n == 6 else 0) for n in range(1, 8)], "SUBJECT_ID long, ICUSTAY_ID long, LOS double, MORTALITY int")
+    inside = tasks._with_los(series, episodic, tasks.KEYS).groupBy("ICUSTAY_ID").agg({"hours": "min"})
+    assert {tuple(r) for r in tasks._stays(series, episodic, tasks.KEYS).select("ICUSTAY_ID", "_first").collect()} == {tuple(r) for r in inside.collect()} == {(1, 0.0), (4, 30.4)}

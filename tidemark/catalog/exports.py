@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import proxies as P
-from tidemark.catalog.series import _F, _LABELS, _T, _grid, _grid_sql, _task
+from tidemark.catalog.series import _F, _LABELS, _T, _grid, _grid_sql, _labels, _task
 from tidemark.functions import codes
 from tidemark.operators import extract, samples, scale
 from tidemark.operators.timeseries import KEYS
@@ -16,7 +16,7 @@ from tidemark.sources import stores, tensors
 def _written(spark: SparkSession, d: str, **how) -> DataFrame:
     """The LOS task's samples over daily bins, imputed with the mean and scaled to (0, 1), as tensors of the longest one's shape."""
     path, grid = P.folder(spark), _grid(spark, d)
-    y = _task(spark, d, "LOS").y.withColumn("t", F.col("t") / 24)
+    y = _labels(spark, d, "LOS").withColumn("t", F.col("t") / 24)
     imputer = scale.fit_imputer(grid, P.CHANNELS, "mean")
     scaler = scale.fit_scaler(scale.impute(grid, imputer), P.CHANNELS, "minmax")
     made = samples.exported(grid, y, P.CHANNELS, imputer=imputer, scaler=scaler, binning="custom", **how)

@@ -66,15 +66,20 @@ g AS (SELECT * FROM (SELECT SUBJECT_ID, ICUSTAY_ID, unnest(range(0, max(bins) +
 SELECT SUBJECT_ID, ICUSTAY_ID, bins, {", ".join(f"{f'round({x}::FLOAT::DOUBLE, 4)' if c in ('click', 'view') else x + '::INT'} AS {c}" for c, n in (("click", "1.5"), ("view", "2.5"), ("low", "0"), ("middle", "1"), ("high", "0")) for x in [f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY SUBJECT_ID, ICUSTAY_ID ORDER BY bins ROWS UNBOUNDED PRECEDING), {n})"])} FROM g"""
 
 
-def _task(spark: SparkSession, d: str, task: str) -> tasks.Task:
+def _task(spark: SparkSession, d: str, task: str, series: DataFrame | None = None) -> tasks.Task:
     ep = P.episodic(spark, d)
     diag = P.events(spark, d).where("VALUE > 15").select(*KEYS, F.col("VARIABLE").alias("HCUP_CCS_2015"), (F.col("VARIABLE") != "view").cast("int").alias("USE_IN_BENCHMARK"))
     groups = [c for c in P.CHANNELS if c != "view"]
-    return tasks.task_set(task, P.wide(spark, d), ep.select(*KEYS, "AGE", "LOS", "MORTALITY"), ep.select(*KEYS, "INTIME", "DEATHTIME"), diag, groups)
+    return tasks.task_set(task, P.wide(spark, d) if series is None else series, ep.select(*KEYS, "AGE", "LOS", "MORTALITY"), ep.select(*KEYS, "INTIME", "DEATHTIME"), diag, groups)
+
+
+def _labels(spark: SparkSession, d: str, task: str) -> DataFrame:
+    """A task's labels: they go by stays and hours of rows alone, so events needn't be made wide for them."""
+    return _task(spark, d, task, P.events(spark, d).select(*KEYS, "hours")).y
 
 
 def labels(task: str):
-    return lambda spark, d: _task(spark, d, task).y
+    return lambda spark, d: _labels(spark, d, task)
 
 
 def rows(task: str):
@@ -82,12 +87,12 @@ def rows(task: str):
 
 
 def phenotyping(spark: SparkSession, d: str) -> DataFrame:
-    return _task(spark, d, "PHENO").y.select(*KEYS, "t", *(F.col("y")[i].alias(f"y{i}") for i in range(4)))
+    return _labels(spark, d, "PHENO").select(*KEYS, "t", *(F.col("y")[i].alias(f"y{i}") for i in range(4)))
 
 
 def multitask(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",").alias(c)
-    y = _task(spark, d, "MULTI").y
+    y = _labels(spark, d, "MULTI")
     return y.select(*KEYS, "IHM_pos", "IHM_mask", F.col("IHM_label").cast("int").alias("IHM_label"), *(text(c) for c in ("DECOMP_masks", "DECOMP_labels", "LOS_masks", "LOS_labels")), "LOS_value", text("PHENO_labels"))
 
 
@@ -111,38 +116,38 @@ FROM f JOIN ph USING (SUBJECT_ID, ICUSTAY_ID) LEFT JOIN i USING (SUBJECT_ID, ICU
 
 
 def sample_counts(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.sample_counts(_task(spark, d, "LOS").y)
+    return tasks.sample_counts(_labels(spark, d, "LOS"))
 
 
 def sample_shares(spark: SparkSession, d: str) -> DataFrame:
-    n = _task(spark, d, "LOS").y.groupBy("SUBJECT_ID").agg(F.count(F.lit(1)).alias("n"))
+    n = _labels(spark, d, "LOS").groupBy("SUBJECT_ID").agg(F.count(F.lit(1)).alias("n"))
     return tasks.sample_shares(n)
 
 
 def deep_supervision(spark: SparkSession, d: str) -> DataFrame:
     g = timeseries.dense_grid(timeseries.last_in_bin(timeseries.with_bins(P.wide(spark, d), 1.0), P.CHANNELS))
-    return timeseries.deep_supervision(g, _task(spark, d, "DECOMP").y)
+    return timeseries.deep_supervision(g, _labels(spark, d, "DECOMP"))
 
 
 def replicated(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d)
     weighed = timeseries.replication_weights(g.select(*KEYS, "bins"), 0.5)
-    return timeseries.target_replication(weighed, _task(spark, d, "IHM").y)
+    return timeseries.target_replication(weighed, _labels(spark, d, "IHM"))
 
 
 def prefix(spark: SparkSession, d: str) -> DataFrame:
-    y = _task(spark, d, "LOS").y
+    y = _labels(spark, d, "LOS")
     return timeseries.prefix_rows(P.wide(spark, d), y).groupBy(*KEYS, "t").agg(F.count(F.lit(1)).alias("n"), F.max("hours").alias("last"))
 
 
 def at_time(spark: SparkSession, d: str) -> DataFrame:
-    y = _task(spark, d, "IHM").y
+    y = _labels(spark, d, "IHM")
     return timeseries.rows_at(P.wide(spark, d), y).select(*KEYS, "t", "y", *P.CHANNELS)
 
 
 def window_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Six statistics of seven sub-windows of each channel before each hourly label."""
-    y = _task(spark, d, "LOS").y
+    y = _labels(spark, d, "LOS")
     told = features.windowed(P.wide(spark, d), y, P.CHANNELS)
     each = told.select(*KEYS, "t", "channel", F.posexplode("stats").alias("window", "s"))
     return each.select(*KEYS, "t", "channel", "window", *((F.round(f"s.{n}", 6) + 0.0).alias(n) for n in features.STATISTICS))
@@ -160,7 +165,7 @@ STATS_SQL = f"""{_STATS} SELECT SUBJECT_ID, ICUSTAY_ID, t, channel, "window", ro
 
 def vector(spark: SparkSession, d: str) -> DataFrame:
     """The feature vector of each hourly label: how many features are known, and the first channel's mean and length."""
-    y = _task(spark, d, "LOS").y
+    y = _labels(spark, d, "LOS")
     x = features.engineered(P.wide(spark, d), y, P.CHANNELS)
     return x.select(*KEYS, "t", F.size("x").alias("n"), F.size(F.filter("x", lambda v: v.isNotNull())).alias("known"), F.round(F.col("x")[0].cast("double"), 3).alias("first_min"), F.col("x")[5].cast("int").alias("first_len"))
 
@@ -196,7 +201,7 @@ SELECT batch, count(*) AS size, max(n) AS longest, sum(n) AS steps FROM o GROUP
 
 
 def prefix_samples(spark: SparkSession, d: str) -> DataFrame:
-    y = _task(spark, d, "LOS").y.withColumn("t", F.col("t") / 24)
+    y = _labels(spark, d, "LOS").withColumn("t", F.col("t") / 24)
     out = samples.prefix_samples(timeseries.imputed(_grid(spark, d), NORMAL), y, P.CHANNELS)
     return out.select(*KEYS, "t", "n", "y", F.round(F.element_at("x", -1)[0].cast("double"), 3).alias("click"))
 
