@@ -31,6 +31,15 @@ def folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+#: Batches of a stream over files that are there; each costs a look at all of the state.
+BATCHES = 8
+
+
+def files_a_batch(spark: SparkSession, path: str, least: int) -> int:
+    """At least so many, and more where there are many files, so that the number of batches does not grow with them."""
+    return max(least, -(-len(spark.read.parquet(path).inputFiles()) // BATCHES))
+
+
 def start() -> Column:
     return F.to_timestamp(F.lit(START))
 

@@ -64,7 +64,7 @@ def streamed_grid(spark: SparkSession, d: str) -> DataFrame:
     after = held.limit(1).select(F.lit(-1).cast("long").alias("ICUSTAY_ID"), *((F.lit(last[1]) + F.expr("INTERVAL 60 DAYS")).alias(c) for c in ("CHARTTIME", "INTIME", "OUTTIME")), F.lit(P.CHANNELS[0]).alias("VARIABLE"), F.lit(None).cast("double").alias("VALUE"))
     spark.createDataFrame(after.collect(), schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     with grids.keyed_state(spark):
-        made = grids.filled_grid(jobs.event_stream(spark, f"{folder}/in", schema, files=8), P.CHANNELS, [NORMAL[c] for c in P.CHANNELS], "10 days", STEP)
+        made = grids.filled_grid(jobs.event_stream(spark, f"{folder}/in", schema, files=P.files_a_batch(spark, f"{folder}/in", 8)), P.CHANNELS, [NORMAL[c] for c in P.CHANNELS], "10 days", STEP)
         jobs.append(made, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{folder}/out").where("ICUSTAY_ID >= 0")
 
