@@ -225,7 +225,7 @@ def _source(spark: SparkSession, d: str, closed: bool = False) -> DataFrame:
         later = lambda c: (F.max(c) + F.expr("INTERVAL 60 DAYS")).alias(c)
         last = e.agg(later("CHARTTIME"), later("INTIME")).where("CHARTTIME IS NOT NULL")
         last.select(*(F.col(c) if c in ("CHARTTIME", "INTIME") else F.lit(-1 if c == "ICUSTAY_ID" else None).cast(t).alias(c) for c, t in e.dtypes)).write.mode("append").parquet(f"{folder}/in")
-    return jobs.event_stream(spark, f"{folder}/in", e.schema, files=2)
+    return jobs.event_stream(spark, f"{folder}/in", e.schema, files=P.files_a_batch(spark, f"{folder}/in", 2))
 
 
 def ingested(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,8 @@ def ingested(spark: SparkSession, d: str) -> DataFrame:
 def streamed_bins(spark: SparkSession, d: str) -> DataFrame:
     """Daily bins of the stream, each given out once the watermark has passed it; files hold eight days."""
     folder, source = P.folder(spark), _source(spark, d, closed=True)
-    stays = P.episodic(spark, d).select("ICUSTAY_ID", "INTIME")
+    P.episodic(spark, d).select("ICUSTAY_ID", "INTIME").write.parquet(f"{folder}/stays")  # each batch reads them
+    stays = spark.read.parquet(f"{folder}/stays")
     none = stays.agg(F.lit(-1).cast("long").alias("ICUSTAY_ID"), (F.max("INTIME") + F.expr("INTERVAL 60 DAYS")).alias("INTIME"))
     binned = jobs.hourly_bins(source.drop("INTIME"), stays.unionByName(none), 24.0, "12 days")
     jobs.append(binned, f"{folder}/out", f"{folder}/state").awaitTermination()
