@@ -100,3 +100,16 @@ def test_stays_are_those_with_a_row_inside(spark):
     episodic = spark.createDataFrame([(n, n, 30.4 / 24, None if n == 6 else 0) for n in range(1, 8)], "SUBJECT_ID long, ICUSTAY_ID long, LOS double, MORTALITY int")
     inside = tasks._with_los(series, episodic, tasks.KEYS).groupBy("ICUSTAY_ID").agg({"hours": "min"})
     assert {tuple(r) for r in tasks._stays(series, episodic, tasks.KEYS).select("ICUSTAY_ID", "_first").collect()} == {tuple(r) for r in inside.collect()} == {(1, 0.0), (4, 30.4)}
+
+
+def test_differences_are_counted_in_one_pass_by_tasks_of_bounded_rows(spark, monkeypatch):
+    from tidemark.catalog import proxies
+
+    monkeypatch.setattr(proxies, "TASK_ROWS", 1000)
+    text = plan(spark, "o8_difference")
+    assert text.count("Exchange") == 1 and re.search(r"REPARTITION_BY_NUM", text) and text.count("HashAggregate") == 2
+    a = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "x"), (3, "y")], "k int, s string")
+    b = spark.createDataFrame([(1, None), (2, "x"), (4, None), (4, None)], "k int, s string")
+    for tasks in (None, 3):
+        got = extract.difference(a, b, tasks)
+        assert got.columns == a.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, None), (1, None), (3, "y"), (4, None), (4, None)]))

@@ -40,6 +40,15 @@ def files_a_batch(spark: SparkSession, path: str, least: int) -> int:
     return max(least, -(-len(spark.read.parquet(path).inputFiles()) // BATCHES))
 
 
+#: Rows of a large table that are sorted or counted in one task.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """So many tasks that each has a bounded number of the rows of a table, which is told by the files' footers."""
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
 def start() -> Column:
     return F.to_timestamp(F.lit(START))
 

@@ -165,7 +165,7 @@ def stage_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 def difference(spark: SparkSession, d: str) -> DataFrame:
     li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return extract.difference(li.where("l_linenumber <= 3"), li.where("l_linenumber >= 3").withColumn("l_quantity", F.col("l_quantity").cast("double")))
+    return extract.difference(li.where("l_linenumber <= 3"), li.where("l_linenumber >= 3").withColumn("l_quantity", F.col("l_quantity").cast("double")), P.tasks_for(li))
 
 
 def converted(spark: SparkSession, d: str) -> DataFrame:

@@ -183,6 +183,14 @@ def by_subject(rows: DataFrame, sort_by: Sequence[str], key: str = "SUBJECT_ID")
     return rows.repartition(key).sortWithinPartitions(key, *sort_by)
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one table has more often than the other, whatever their order."""
-    return a.exceptAll(b).unionAll(b.exceptAll(a))
+def difference(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows that one table has more often than the other, whatever their order.
+
+    Both are counted in one pass, one up and the other down. With tasks, rows are dealt out to so many before they are
+    counted: rows that hardly repeat are not worth a table in each task that reads them.
+    """
+    names = [f"c{i}" for i in range(len(a.columns))]
+    both = a.toDF(*names).withColumn("_n", F.lit(1)).unionAll(b.toDF(*names).withColumn("_n", F.lit(-1)))
+    both = both.repartition(tasks, *names) if tasks else both
+    odd = both.groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return odd.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_n")).select(*names).toDF(*a.columns)
