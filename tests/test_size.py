@@ -113,3 +113,11 @@ def test_differences_are_counted_in_one_pass_by_tasks_of_bounded_rows(spark, mon
     for tasks in (None, 3):
         got = extract.difference(a, b, tasks)
         assert got.columns == a.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, None), (1, None), (3, "y"), (4, None), (4, None)]))
+
+
+def test_lines_with_many_labels_are_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from tidemark.catalog import proxies
+
+    monkeypatch.setattr(proxies, "TASK_ROWS", 1000)
+    text = plan(spark, "w7_label_grid")
+    assert text.count("REPARTITION_BY_NUM") == 2

@@ -231,7 +231,9 @@ def kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagged_hours(spark: SparkSession, d: str) -> DataFrame:
-    li = P.table(spark, d, "lineitem").join(P.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = P.table(spark, d, "lineitem")
+    n = P.tasks_for(lines)
+    li = lines.repartition(n, "l_orderkey").join(P.table(spark, d, "orders").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     h = codes.hours_between(F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp"))
     grid_ = timeseries.label_grid(li.select("l_orderkey", "l_linenumber", h.alias("h")), F.col("h"), 240.0, ["l_orderkey"], 240.0)
     return grid_.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
