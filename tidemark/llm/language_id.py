@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,8 @@ ROUNDS = 4
 PART = 24
 #: Share of the probability spread over all pieces, and the probability of a character that no piece covers.
 SMOOTH, UNKNOWN = 0.02, 1e-7
-#: Words whose scores a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose scores a worker keeps, and words whose arcs are held at a time.
+CACHE_WORDS, ARC_WORDS = 400_000, 4_000
 UND = "und"
 #: Least gain of a letter over the flat model that an accepted text has.
 LEAST_GAIN = 0.0
@@ -93,21 +92,21 @@ class Lattice:
     def forward(self, some: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word by language; p: language x (pieces and the unknown)."""
         out = np.empty((len(some), len(p)))
-        for a in range(0, len(some), 20_000):
-            part = some[a : a + 20_000]
+        for a in range(0, len(some), ARC_WORDS):
+            part = some[a : a + ARC_WORDS]
             lengths, _, groups = self.arcs(part)
             alpha = np.zeros((PART + 2, len(part), len(p)))
             alpha[0] = 1
             for end, size, word, piece in groups:
                 alpha[end, word] += alpha[end - size, word] * p[:, piece].T
-            out[a : a + 20_000] = np.log(alpha[lengths, np.arange(len(part))])
+            out[a : a + ARC_WORDS] = np.log(alpha[lengths, np.arange(len(part))])
         return out
 
     def expected(self, some: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, for one language: forward-backward over the words, weighed by counts."""
         out = np.zeros(self.n + 1)
-        for a in range(0, len(some), 20_000):
-            part, n = some[a : a + 20_000], counts[a : a + 20_000]
+        for a in range(0, len(some), ARC_WORDS):
+            part, n = some[a : a + ARC_WORDS], counts[a : a + ARC_WORDS]
             lengths, _, groups = self.arcs(part)
             alpha, beta = np.zeros((PART + 2, len(part))), np.zeros((PART + 2, len(part)))
             alpha[0] = 1
@@ -297,18 +296,17 @@ def accepted(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY, least_
     model = fit(docs, path=path)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), model.key
 
-    @F.pandas_udf("boolean")
-    def told(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Judge(sent.value)
-        out = []
-        for a in range(0, len(texts), 500):
-            langs, scores, gains = _SCORERS[key].judged([t if isinstance(t, str) else None for t in texts.iloc[a : a + 500]])
-            out += [x != UND and s >= least and g >= least_gain for x, s, g in zip(langs, scores, gains, strict=True)]
-        return pd.Series(out, index=texts.index, dtype=bool)
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text"))
+            for a in range(0, batch.num_rows, 500):  # a batch's texts are never all Python strings
+                told = zip(*_SCORERS[key].judged(text[a : a + 500].to_pylist()), strict=True)
+                yield batch.slice(a, 500).filter(pa.array([x != UND and s >= least and g >= least_gain for x, s, g in told], pa.bool_()))
 
-    return docs.where(told(F.col("text")))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def brute(word: str, pieces: dict[str, float]) -> float:
