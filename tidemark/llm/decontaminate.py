@@ -1,17 +1,19 @@
-"""Benchmark decontamination: character grams counted by diagonal, exact edit verification.
-
-An item is cut into parts of about PART characters; where it lies in a text with k edits, one of its n parts has at
-most k / n of them. A part of m characters with k edits shares at least m + 1 - q - k q of its grams of q characters
-with the text (each edit spoils q), and their diagonals (place in the text less place in the part) are at most k apart.
-Grams are counted by part and band of diagonals; wherever neighbouring bands hold that many, the part's edit distance
-is computed, for many places at once, and where that is near enough the item's. So no leak within the declared edits is lost, wherever its edits are. q is GRAM, or less in short items.
+"""Benchmark decontamination: pieces of items counted by diagonal, exact edit verification.
+
+Of an item, p pieces of q characters are taken that do not overlap. Where it lies in a text with k edits, each edit
+spoils one piece at most, so the text has at least p - k of them, and their diagonals (place in the text less place in
+the item) are at most k apart. Pieces are counted by item and band of diagonals. Wherever neighbouring bands hold that
+many, the item is cut into parts of about PART characters, of which one of n has at most k / n edits: these are looked
+for at many places at once, and where one is near enough the item's edit distance is computed. So no leak within the
+declared edits is lost, wherever its edits are, and whichever pieces are taken: they are those that are rare in texts.
+q is GRAM, or less in short items.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,31 +23,42 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import pieces
 
-#: Characters of a gram at most, bits of its hash, neighbouring bands that are counted together.
-GRAM, BITS, BANDS = 4, 18, 3
-#: Bands that are looked at together where each of them has enough grams.
-MERGED = 2
+#: Characters of a piece at most, bits of its hash, neighbouring bands that are counted together, and bits of a band's width at least.
+GRAM, BITS, BANDS, SHIFT = 4, 18, 6, 4
+#: Diagonals that are looked at together.
+SPREAD = 64
 #: Characters of a part at most: bits of a machine word.
 PART = 64
 #: Characters of text whose grams are counted at a time, and bands of all parts of a group at most.
 CHUNK, MOST_BINS = 1 << 14, 4_000_000
 #: Places that are compared with their parts at a time.
 LANES = 1 << 13
+#: Items of more characters take every q-th place; in others the pieces are chosen one by one.
+CHOSEN = 1000
 #: Edits that a leak has at most, as a share of the item's characters.
 EDITS = 0.2
 #: Of the benchmark, so many bytes (in expectation) are sent to every task at a time; a larger one is judged shard by shard.
 SHARD_BYTES = 2_000_000
 #: Between texts; no normal text or item has it.
 GAP = "\n"
+#: What normal() takes for white space: the same as bytes.split().
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def normal(text: str) -> str:
     """A-Z lower-cased, runs of white space as one space."""
-    return _SPACE.sub(" ", text.translate(_LOWER)).strip(" ")
+    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_LOWER).split()).decode("utf-8", "surrogatepass")
+
 
+_LOWER = bytes(c + 32 * (65 <= c < 91) for c in range(256))
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+
+def normal_bytes(text: bytes) -> str:
+    """normal() of UTF-8, without what is none."""
+    try:
+        return b" ".join(text.translate(_LOWER).split()).decode()
+    except UnicodeDecodeError:
+        return normal(text.decode("utf-8", "ignore"))
 
 
 def distance(item: str, text: str) -> tuple[int, int]:
@@ -73,75 +86,122 @@ def distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def chosen(often: np.ndarray, q: int, edits: int) -> np.ndarray:
+    """Places of an item's pieces, which do not overlap: those that a text without the item is least likely to have enough of by chance.
+
+    often: the share of a text's places that have the gram of each place of the item.
+    """
+    n = len(often)
+    if n > CHOSEN:
+        first = min((a for a in range(q) if len(often[a::q]) > edits), key=lambda a: (often[a::q].mean(), a))
+        return np.arange(first, n, q)
+    most = (n + q - 1) // q
+    sums = np.full((most + 1, n + q), np.inf)  # the least sum of j pieces that end at a place or before
+    sums[0] = 0
+    for j in range(1, most + 1):
+        sums[j, q:] = np.minimum.accumulate(sums[j - 1, :-q] + often)
+    # the exponent of Chernoff's bound for as many hits as an item with that many pieces needs
+    pieces_ = np.arange(edits + 1, most + 1)
+    least, mean = pieces_ - edits, np.maximum(sums[edits + 1 :, -1] * (edits + 1), 1e-12)
+    j = int(pieces_[np.argmax(np.where(least > mean, least * np.log(least / mean) - least + mean, least - mean))])
+    end, out = n + q - 1, []
+    while j:
+        end = int(np.searchsorted(-sums[j], -sums[j, end]))
+        end, j = end - q, j - 1
+        out.append(end)
+    return np.array(out[::-1])
+
+
 class Group:
-    """Parts of items of one gram length and band width, as a direct-address table from a gram's hash to the places that have it."""
+    """Items of one gram length and band width, as a direct-address table from a gram's hash to the pieces that have it."""
 
-    def __init__(self, q: int, shift: int, members: list[tuple[int, np.ndarray, int, int]]):
+    def __init__(self, q: int, shift: int, members: list[tuple[int, np.ndarray, int]], often: np.ndarray):
         self.q, self.shift = q, shift
-        self.owners = np.array([n for n, _, _, _ in members])
-        self.sizes = np.array([len(x) for _, x, _, _ in members])
-        self.edits = np.array([k for _, _, k, _ in members])
-        self.places = np.array([at for _, _, _, at in members])
-        self.least = np.maximum(1, self.sizes + 1 - q - q * self.edits)
-        self.longest = int(self.sizes.max())
-        self.chunk = max(CHUNK, 4 * (self.longest + int(self.edits.max())))
+        self.owners = np.array([n for n, _, _ in members])
+        self.most = np.array([k for _, _, k in members])
+        self.longest = max(len(x) for _, x, _ in members)
+        self.chunk = max(CHUNK, 4 * (self.longest + int(self.most.max())))
         self.lead = self.longest + (1 << shift)  # no diagonal lies in the first band, which no window has
         self.bands = ((self.chunk + self.lead) >> shift) + 1 + BANDS
-        codes = [grams(x, q) for _, x, _, _ in members]
-        places = np.concatenate([np.arange(len(c)) for c in codes])
-        base = np.repeat(np.arange(len(members)) * self.bands, [len(c) for c in codes])
-        every = np.concatenate(codes)
+        codes = [grams(x, q) for _, x, _ in members]
+        places = [chosen(often[c], q, k) for c, (_, _, k) in zip(codes, members, strict=True)]
+        taken = np.array([len(x) for x in places])
+        self.least = taken - self.most
+        base = np.repeat(np.arange(len(members)) * self.bands, taken)
+        every = np.concatenate([c[x] for c, x in zip(codes, places, strict=True)])
         order = np.argsort(every, kind="stable")
-        # (place in the chunk + this) >> shift is the band of the part's first character
-        self.entries = ((base << shift) + self.lead - places)[order].astype(np.int32)
+        # (place in the chunk + this) >> shift is the band of the item's first character
+        self.entries = ((base << shift) + self.lead - np.concatenate(places))[order].astype(np.int32)
         self.counts = np.bincount(every, minlength=1 << BITS).astype(np.int32)
         self.firsts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
-        self.enough = np.repeat(self.least.astype(np.int16), self.bands)
+        self.kind = np.int16 if (int(taken.max()) * BANDS) << shift < 1 << 15 else np.int64
+        self.enough = np.repeat(self.least.astype(self.kind), self.bands)
         self.run = np.arange(1 << 20, dtype=np.int32)
-        # For each part and character, the places of the part that have it, as bits; column 0 is of characters of no part.
-        some = np.unique(np.concatenate([x for _, x, _, _ in members]))
+        # An item's parts, and for each part and character the places of the part that have it, as bits; column 0 is of characters of no part.
+        cuts = [np.linspace(0, len(x), max(1, -(-len(x) // PART)) + 1).astype(int) for _, x, _ in members]
+        self.parts = np.array([len(c) - 1 for c in cuts])
+        self.first_part = np.cumsum(self.parts) - self.parts
+        self.places, self.sizes = np.concatenate([c[:-1] for c in cuts]), np.concatenate([np.diff(c) for c in cuts])
+        self.edits = np.repeat(self.most // self.parts, self.parts)
+        some = np.unique(np.concatenate([x for _, x, _ in members]))
         self.columns = np.zeros(0x110000, np.int32)
         self.columns[some] = np.arange(1, len(some) + 1)
-        self.masks = np.zeros((len(members), len(some) + 1), np.uint64)
-        for m, (_, x, _, _) in enumerate(members):
-            np.bitwise_or.at(self.masks[m], self.columns[x], np.uint64(1) << np.arange(len(x), dtype=np.uint64))
-
-    def near(self, codes: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end): between which places of a text, given by its grams and characters, an item may begin if it has no edits before the part."""
-        edits = int(self.edits.max())
-        step, width = self.chunk - self.longest - edits, ((BANDS + MERGED - 1) << self.shift) + 2 * edits
-        pad = np.zeros(self.lead + width + self.longest, np.int32)  # around the text stands the character of no part
-        columns = np.concatenate([pad, self.columns[data], pad])
+        self.masks = np.zeros((len(self.sizes), len(some) + 1), np.uint64)
+        for m, (at, size, of) in enumerate(zip(self.places, self.sizes, np.repeat(np.arange(len(members)), self.parts), strict=True)):
+            np.bitwise_or.at(self.masks[m], self.columns[members[of][1][at : at + size]], np.uint64(1) << np.arange(size, dtype=np.uint64))
+
+    def counted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(member, diagonal) wherever, from that diagonal on, enough pieces lie at most the member's edits apart."""
+        step = self.chunk - self.longest - int(self.most.max())
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for a in range(0, len(codes), step):
             part = codes[a : a + self.chunk]
             n = self.counts[part]
             at = np.flatnonzero(n)
             n = n[at]
-            if not len(at):
-                continue
             # the entries of each place's gram, and the bands in which they are
             entry = np.repeat(self.firsts[part[at]] - (np.cumsum(n, dtype=np.int32) - n), n)
             entry += self.run[: len(entry)] if len(entry) <= len(self.run) else np.arange(len(entry), dtype=np.int32)
-            band = self.entries[entry]
-            band += np.repeat(at.astype(np.int32), n)
-            band >>= self.shift
-            held = np.bincount(band, minlength=len(self.enough) + BANDS).astype(np.int16)
+            line = self.entries[entry]
+            line += np.repeat(at.astype(np.int32), n)
+            band = line >> self.shift
+            held = np.bincount(band, minlength=len(self.enough) + BANDS).astype(self.kind)
             some = held[:-BANDS].copy()
             for i in range(1, BANDS):
                 some += held[i : i - BANDS]
-            # bands that follow on each other are looked at together
             full = np.flatnonzero(some >= self.enough)
             if not len(full):
                 continue
-            first = np.flatnonzero(np.r_[True, (full[1:] != full[:-1] + 1) | (full[1:] % self.bands == 0)])
-            full = full[(np.arange(len(full)) - np.repeat(first, np.diff(np.r_[first, len(full)]))) % MERGED == 0]
-            m, b = np.divmod(full, self.bands)
-            begin = a + (b << self.shift) - self.lead - self.edits[m]
-            for i in range(0, len(m), LANES):
-                kept = self.close(columns, len(pad), m[i : i + LANES], begin[i : i + LANES], width + self.longest)
-                for k in (i + np.flatnonzero(kept)).tolist():
-                    first = int(begin[k]) - int(self.places[m[k]])
-                    yield int(self.owners[m[k]]), first, first + width
+            # of these bands, the pieces' very diagonals
+            inside = np.zeros(len(held), bool)
+            for i in range(BANDS):
+                inside[full + i] = True
+            line = np.sort(line[inside[band]])
+            m = line // (self.bands << self.shift)
+            last = np.arange(len(line)) + self.least[m] - 1
+            far = line[np.minimum(last, len(line) - 1)] - line
+            kept = np.flatnonzero((last < len(line)) & (far <= self.most[m]))
+            found.append((m[kept], line[kept].astype(np.int64) - m[kept] * (self.bands << self.shift) - self.lead + a))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def near(self, codes: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end): between which diagonals of a text, given by its grams and characters, the first of an item's pieces may lie; others of its characters are its edits away at most."""
+        m, begin = self.counted(codes)
+        if not len(m):
+            return
+        edits, width = int(self.most.max()), int(self.sizes.max()) + SPREAD + 2 * int(self.most.max())
+        pad = np.zeros(self.lead + width + edits, np.int32)  # around the text stands the character of no part
+        columns = np.concatenate([pad, self.columns[data], pad])
+        # diagonals that lie in a spread are looked at together
+        m, begin = np.unique(np.stack([m, begin // SPREAD]), axis=1)
+        begin = begin * SPREAD
+        for i in range(0, len(m), LANES):
+            n = self.parts[m[i : i + LANES]]
+            of = np.repeat(np.arange(i, i + len(n)), n)
+            p = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.first_part[m[of]]
+            kept = self.close(columns, len(pad), p, begin[of] + self.places[p] - self.most[m[of]], width)
+            for k in np.unique(of[kept]).tolist():
+                yield int(self.owners[m[k]]), int(begin[k]), int(begin[k]) + SPREAD
 
     def close(self, columns: np.ndarray, pad: int, m: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
         """Whether each part m is within its edits somewhere in the width characters from begin (bit-parallel, as in distance)."""
@@ -182,34 +242,36 @@ def characters(text: str) -> np.ndarray:
 
 
 class Items:
-    """The benchmark in groups, none of which has more than MOST_BINS bands to count in."""
+    """The benchmark in groups, none of which has more than MOST_BINS bands to count in. Pieces are chosen by how often some texts, if given, and the items have them."""
 
-    def __init__(self, rows: list[tuple[int, str]], edits: float):
+    def __init__(self, rows: list[tuple[int, str]], edits: float, texts: Sequence[str] = ()):
         self.ids, self.texts = [r[0] for r in rows], [normal(r[1]) for r in rows]
         self.most = [int(edits * len(t)) for t in self.texts]
-        kinds: dict[tuple[int, int], list[tuple[int, np.ndarray, int, int]]] = {}
-        always: set[int] = set()
+        kinds: dict[tuple[int, int], list[tuple[int, np.ndarray, int]]] = {}
+        always: list[int] = []
         for n, (text, k) in enumerate(zip(self.texts, self.most, strict=True)):
-            n_parts = max(1, -(-len(text) // PART))
-            cuts, most = np.linspace(0, len(text), n_parts + 1).astype(int).tolist(), k // n_parts
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                q = min(GRAM, (b - a) // (most + 1))
-                if q:
-                    shift = max(3, math.ceil(math.log2(max(1, most / (BANDS - 1)))))
-                    kinds.setdefault((q, shift), []).append((n, characters(text[a:b]), most, a))
-                else:
-                    always.add(n)
-        self.always = sorted(always)  # so many edits that no gram need stay whole
+            q = min(GRAM, len(text) // (k + 1))
+            if q:
+                shift = max(SHIFT, math.ceil(math.log2(max(1, k / (BANDS - 1)))))
+                kinds.setdefault((q, shift), []).append((n, characters(text), k))
+            else:
+                always.append(n)
+        self.always = always  # so many edits that no piece need stay whole
         self.groups = []
+        seen = characters(GAP.join([*texts, *self.texts]))
+        often = {}
+        for q in {q for q, _ in kinds}:
+            n = np.bincount(grams(seen, q), minlength=1 << BITS)
+            often[q] = n / n.sum()
         for (q, shift), members in sorted(kinds.items()):
             members.sort(key=lambda x: len(x[1]))
             begin = 0
             while begin < len(members):
                 # The longest item so far sets every item's diagonals; groups are cut where they become too many.
                 end = begin + 1
-                while end < len(members) and (end + 1 - begin) * (CHUNK + 9 * len(members[end][1]) + (6 << shift)) < min(MOST_BINS << shift, 1 << 30):
+                while end < len(members) and (end + 1 - begin) * (CHUNK + 9 * len(members[end][1]) + ((BANDS + 3) << shift)) < min(MOST_BINS << shift, 1 << 30):
                     end += 1
-                self.groups.append(Group(q, shift, members[begin:end]))
+                self.groups.append(Group(q, shift, members[begin:end], often[q]))
                 begin = end
 
 
@@ -274,10 +336,12 @@ def _leaks_of(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, edi
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, edits)
+        items = None
         for batch in batches:
             for a, _, data, offsets in pieces(batch):
-                found = leaks_in([normal(data[x:y].tobytes().decode("utf-8", "ignore")) for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], items)
+                texts = [normal_bytes(data[x:y].tobytes()) for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+                items = items or Items(sent.value, edits, texts)
+                found = leaks_in(texts, items)
                 if found:
                     ids = batch.column(0).take(pa.array([a + f[0] for f in found]))
                     like = [1 - f[2] / max(1, len(items.texts[f[1]])) for f in found]
