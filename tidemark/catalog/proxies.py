@@ -44,9 +44,13 @@ def files_a_batch(spark: SparkSession, path: str, least: int) -> int:
 TASK_ROWS = 1_000_000
 
 
-def tasks_for(rows: DataFrame) -> int:
+#: Events of a task in queries that make many rows of an event.
+STAY_ROWS = 50_000
+
+
+def tasks_for(rows: DataFrame, most: int | None = None) -> int:
     """So many tasks that each has a bounded number of the rows of a table, which is told by the files' footers."""
-    return max(1, -(-rows.count() // TASK_ROWS))
+    return max(1, -(-rows.count() // (most or TASK_ROWS)))
 
 
 def start() -> Column:
@@ -57,15 +61,16 @@ def at_hours(hours: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(start()) + (hours * 3.6e9).cast("long"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(SUBJECT_ID, ICUSTAY_ID, EVENT_ID, CHARTTIME, INTIME, hours, VARIABLE, VALUE)."""
+def events(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(SUBJECT_ID, ICUSTAY_ID, EVENT_ID, CHARTTIME, INTIME, hours, VARIABLE, VALUE). dealt: out to tasks by stay, of STAY_ROWS each; aggregates and joins by stay need no other exchange then."""
     e = table(spark, sf_dir, "events").withColumn("CHARTTIME", F.col("ts").cast("timestamp"))
     k = F.floor(hours_between(start(), F.col("CHARTTIME")) / (24 * STAY_DAYS))
     e = e.withColumn("k", k).withColumn("INTIME", at_hours(F.col("k") * (24 * STAY_DAYS)))
-    return e.select(
+    out = e.select(
         F.col("user_id").alias("SUBJECT_ID"), (F.col("user_id") * 100 + F.col("k")).alias("ICUSTAY_ID"), F.col("event_id").alias("EVENT_ID"), "CHARTTIME", "INTIME",
         hours_between(F.col("INTIME"), F.col("CHARTTIME")).alias("hours"), F.col("event_type").alias("VARIABLE"), F.col("value").alias("VALUE"),
     )
+    return out.repartition(tasks_for(table(spark, sf_dir, "events"), STAY_ROWS), *KEYS) if dealt else out
 
 
 E_SQL = f"""e AS (
@@ -73,18 +78,18 @@ E_SQL = f"""e AS (
   FROM (SELECT *, us // {STAY_DAYS * 86_400_000_000} AS k FROM (SELECT *, epoch_us(ts) - epoch_us(TIMESTAMP '{START}') AS us FROM events)))"""
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """(KEYS, hours, a column for each event type): the series of the stays."""
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, dealt)
     return e.groupBy(*KEYS, "hours").agg(*(F.max(F.when(F.col("VARIABLE") == c, F.col("VALUE"))).alias(c) for c in CHANNELS))
 
 
 W_SQL = f"""w AS (SELECT SUBJECT_ID, ICUSTAY_ID, hours, {", ".join(f"max(VALUE) FILTER (VARIABLE = '{c}') AS {c}" for c in CHANNELS)} FROM e GROUP BY ALL)"""
 
 
-def episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def episodic(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """(KEYS, AGE, LOS in days, MORTALITY, INTIME, DEATHTIME): one row a stay; every third subject dies, at 60 to 180 hours."""
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, dealt)
     s = e.groupBy(*KEYS).agg(F.min("INTIME").alias("INTIME"))
     dies = F.col("SUBJECT_ID") % 3 == 0
     death = F.when(dies, F.timestamp_micros(F.unix_micros("INTIME") + ((F.lit(60.5) + F.col("SUBJECT_ID") % 120) * 3.6e9).cast("long")))

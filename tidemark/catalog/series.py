@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import proxies as P
@@ -15,8 +15,8 @@ STEP = 24.0
 NORMAL = {c: float(i + 1) for i, c in enumerate(P.CHANNELS)}
 
 
-def _grid(spark: SparkSession, d: str, zero: bool = True) -> DataFrame:
-    binned = timeseries.last_in_bin(timeseries.with_bins(P.wide(spark, d), STEP, zero), P.CHANNELS)
+def _grid(spark: SparkSession, d: str, zero: bool = True, dealt: bool = False) -> DataFrame:
+    binned = timeseries.last_in_bin(timeseries.with_bins(P.wide(spark, d, dealt), STEP, zero), P.CHANNELS)
     return timeseries.dense_grid(binned)
 
 
@@ -66,16 +66,16 @@ g AS (SELECT * FROM (SELECT SUBJECT_ID, ICUSTAY_ID, unnest(range(0, max(bins) +
 SELECT SUBJECT_ID, ICUSTAY_ID, bins, {", ".join(f"{f'round({x}::FLOAT::DOUBLE, 4)' if c in ('click', 'view') else x + '::INT'} AS {c}" for c, n in (("click", "1.5"), ("view", "2.5"), ("low", "0"), ("middle", "1"), ("high", "0")) for x in [f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY SUBJECT_ID, ICUSTAY_ID ORDER BY bins ROWS UNBOUNDED PRECEDING), {n})"])} FROM g"""
 
 
-def _task(spark: SparkSession, d: str, task: str, series: DataFrame | None = None) -> tasks.Task:
-    ep = P.episodic(spark, d)
+def _task(spark: SparkSession, d: str, task: str, series: DataFrame | None = None, dealt: bool = False) -> tasks.Task:
+    ep = P.episodic(spark, d, dealt)
     diag = P.events(spark, d).where("VALUE > 15").select(*KEYS, F.col("VARIABLE").alias("HCUP_CCS_2015"), (F.col("VARIABLE") != "view").cast("int").alias("USE_IN_BENCHMARK"))
     groups = [c for c in P.CHANNELS if c != "view"]
     return tasks.task_set(task, P.wide(spark, d) if series is None else series, ep.select(*KEYS, "AGE", "LOS", "MORTALITY"), ep.select(*KEYS, "INTIME", "DEATHTIME"), diag, groups)
 
 
-def _labels(spark: SparkSession, d: str, task: str) -> DataFrame:
+def _labels(spark: SparkSession, d: str, task: str, dealt: bool = False) -> DataFrame:
     """A task's labels: they go by stays and hours of rows alone, so events needn't be made wide for them."""
-    return _task(spark, d, task, P.events(spark, d).select(*KEYS, "hours")).y
+    return _task(spark, d, task, P.events(spark, d, dealt).select(*KEYS, "hours"), dealt).y
 
 
 def labels(task: str):
@@ -136,8 +136,8 @@ def replicated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefix(spark: SparkSession, d: str) -> DataFrame:
-    y = _labels(spark, d, "LOS")
-    return timeseries.prefix_rows(P.wide(spark, d), y).groupBy(*KEYS, "t").agg(F.count(F.lit(1)).alias("n"), F.max("hours").alias("last"))
+    y = _labels(spark, d, "LOS", dealt=True)
+    return timeseries.prefix_rows(P.wide(spark, d, dealt=True), y).groupBy(*KEYS, "t").agg(F.count(F.lit(1)).alias("n"), F.max("hours").alias("last"))
 
 
 def at_time(spark: SparkSession, d: str) -> DataFrame:
@@ -145,12 +145,17 @@ def at_time(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.rows_at(P.wide(spark, d), y).select(*KEYS, "t", "y", *P.CHANNELS)
 
 
+def _sixth(v: Column) -> Column:
+    """Half up at the sixth digit, in double precision, as SQL has it; round() makes a decimal object of each number and is left to large ones, which have few digits behind the sixth."""
+    return F.when(F.abs(v) < 2.0**20, F.signum(v) * (F.floor(F.abs(v) * 1e6 + 0.5) / F.lit(1e6))).otherwise(F.round(v, 6))
+
+
 def window_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Six statistics of seven sub-windows of each channel before each hourly label."""
-    y = _labels(spark, d, "LOS")
-    told = features.windowed(P.wide(spark, d), y, P.CHANNELS)
+    y = _labels(spark, d, "LOS", dealt=True)
+    told = features.windowed(P.wide(spark, d, dealt=True), y, P.CHANNELS)
     each = told.select(*KEYS, "t", "channel", F.posexplode("stats").alias("window", "s"))
-    return each.select(*KEYS, "t", "channel", "window", *((F.round(f"s.{n}", 6) + 0.0).alias(n) for n in features.STATISTICS))
+    return each.select(*KEYS, "t", "channel", "window", *((_sixth(F.col(f"s.{n}")) + 0.0).alias(n) for n in features.STATISTICS))
 
 
 _WINDOWS = ", ".join(f"({i}, '{p}', {n})" for i, (p, n) in enumerate(features.SUB_WINDOWS))
