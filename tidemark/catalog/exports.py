@@ -15,8 +15,8 @@ from tidemark.sources import stores, tensors
 
 def _written(spark: SparkSession, d: str, **how) -> DataFrame:
     """The LOS task's samples over daily bins, imputed with the mean and scaled to (0, 1), as tensors of the longest one's shape."""
-    path, grid = P.folder(spark), _grid(spark, d)
-    y = _labels(spark, d, "LOS").withColumn("t", F.col("t") / 24)
+    path, grid = P.folder(spark), _grid(spark, d, dealt=True)
+    y = _labels(spark, d, "LOS", dealt=True).withColumn("t", F.col("t") / 24)
     imputer = scale.fit_imputer(grid, P.CHANNELS, "mean")
     scaler = scale.fit_scaler(scale.impute(grid, imputer), P.CHANNELS, "minmax")
     made = samples.exported(grid, y, P.CHANNELS, imputer=imputer, scaler=scaler, binning="custom", **how)
