@@ -62,7 +62,7 @@ def predictions(model: Model, rows: DataFrame) -> DataFrame:
 
 
 #: Query rows that are compared with a block at a time.
-QUERIES = 256
+QUERIES = 64
 #: Pairs whose exact distances are computed at a time.
 EXACT = 50_000
 
@@ -96,11 +96,14 @@ def neighbours(train: DataFrame, rows: DataFrame, k: int, id_col: str = "id", bl
                 square = np.square(points).sum(1)
                 for a in range(0, len(x), QUERIES):
                     q, own_ids = x[a : a + QUERIES], ids[first:end][a : a + QUERIES]
-                    near = square - 2 * (q @ points.T) + np.square(q).sum(1)[:, None]
+                    near = q @ points.T
+                    near *= -2
+                    near += square
+                    near += np.square(q).sum(1)[:, None]
                     near[own_ids[:, None] == others] = np.inf
                     last = min(k, len(others)) - 1
                     # what the product leaves within its rounding of the k-th is compared anew, exactly
-                    far = np.partition(near, last, 1)[:, last : last + 1]
+                    far = np.stack([np.partition(row, last)[last : last + 1] for row in near])
                     at, of = np.nonzero((near <= far + 1e-9 * (1 + square.max() + np.abs(np.where(np.isfinite(far), far, 0.0)))) & np.isfinite(near))
                     d = np.concatenate([np.empty(0), *(np.square(points[of[s : s + EXACT]] - q[at[s : s + EXACT]]).sum(1) for s in range(0, len(at), EXACT))])
                     order = np.lexsort((others[of], d, at))
