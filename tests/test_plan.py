@@ -137,3 +137,64 @@ def test_some_subjects_first(spark, source, tmp_path):
 def test_bad_arguments(spark, source, tmp_path, bad):
     with pytest.raises(ValueError):
         pipeline.load_data(spark, str(source), str(tmp_path), DEFINITIONS, str(source / "varmap.csv"), **bad)
+
+
+def test_nothing_is_dealt_out_by_item_or_code(spark, source, tmp_path, monkeypatch):
+    """All rows have one of few items and codes: a shuffle by them would leave most tasks without work."""
+    writer, plans = type(spark.range(0).write), []
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
+    pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), task="IHM", preprocess=True)
+    text = "\n".join(plans)
+    assert "hashpartitioning(SUBJECT_ID" in text and "hashpartitioning(ITEMID" not in text and "hashpartitioning(ICD9_CODE" not in text
+
+
+def test_some_subjects_cost_no_join_of_all_stays(spark, source, tmp_path, monkeypatch):
+    seen, stay_tables = [], pipeline.extract_stays
+
+    def told(*a):
+        out = stay_tables(*a)
+        seen.append([(r.SUBJECT_ID, r.ADMISSION_TYPE) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(pipeline, "extract_stays", told)
+    run = lambda **k: pipeline.load_data(spark, str(source), str(tmp_path / "out"), DEFINITIONS, str(source / "varmap.csv"), **k)["history"].collect()
+    assert {r.SUBJECT_ID for r in run(subject_ids=[2])} == {2}
+    assert seen[0] == [(2, "EMERGENCY")]
+    assert {r.SUBJECT_ID for r in run()} == {1, 2}
+
+
+def test_an_admission_of_two_subjects_counts_whole(spark, source, tmp_path):
+    """Admission 10 has a stay of either subject, so neither stay counts, also where one subject is asked for; and an event that names a subject that isn't there goes."""
+    for name, more in {
+        "ADMISSIONS": "2,10,2100-01-01 00:00:00,2100-01-06 00:00:00,,WHITE,X,EMERGENCY,ER,HOME,P,\n",
+        "ICUSTAYS": "2,10,101,cv,A,A,1,1,2100-01-01 00:00:00,2100-01-04 00:00:00,3.0\n",
+        "CHARTEVENTS": "1,20,200,2100-01-01 06:00:00,1,60,bpm\n2,20,200,2100-01-01 07:00:00,1,61,bpm\n,20,200,2100-01-01 08:00:00,1,62,bpm\n",
+    }.items():
+        (tmp_path / f"{name}.csv").write_text(TABLES[name] + more)
+    for name in TABLES.keys() - {"ADMISSIONS", "ICUSTAYS", "CHARTEVENTS"}:
+        (tmp_path / f"{name}.csv").write_text(TABLES[name])
+    run = lambda **k: pipeline.load_data(spark, str(tmp_path), f"{tmp_path}/out", DEFINITIONS, str(source / "varmap.csv"), **k)
+    both = run()
+    assert run(subject_ids=[1])["history"].count() == 1
+    assert [r.ICUSTAY_ID for r in both["history"].collect()] == [200] and [r.SUBJECT_ID for r in both["info"].collect()] == [2]
+    assert sorted(r.VALUE for r in both["events"].collect()) == ["61", "90"]
+
+
+def test_an_event_of_another_known_subject_stays(spark, source, tmp_path):
+    for name in TABLES:
+        (tmp_path / f"{name}.csv").write_text(TABLES[name] + ("1,20,200,2100-01-01 06:00:00,1,60,bpm\n" if name == "CHARTEVENTS" else ""))
+    got = pipeline.load_data(spark, str(tmp_path), f"{tmp_path}/out", DEFINITIONS, str(source / "varmap.csv"))["events"]
+    assert [(r.SUBJECT_ID, r.ICUSTAY_ID) for r in got.where("VALUE = '60'").collect()] == [(1, 200)]
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_subjects_that_a_table_lacks(spark, tmp_path, monkeypatch, few):
+    """The subjects to leave out are sent to the rows, or are too many for that."""
+    monkeypatch.setattr(stores, "FEW_KEYS", few)
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (None, "z"), (4, "w")], "SUBJECT_ID int, v string")
+    b = spark.createDataFrame([(1, 1), (3, 1), (None, 1), (4, 1)], "SUBJECT_ID int, v int")
+    stores.write_by_subject({"a": a.where("SUBJECT_ID = 4"), "b": b.where("SUBJECT_ID = 4")}, str(tmp_path))
+    stores.write_by_subject({"a": a, "b": b}, str(tmp_path))
+    got = [sorted((r.SUBJECT_ID, r.v) for r in stores.read_subjects(spark, str(tmp_path), n).collect()) for n in "ab"]
+    assert got == [[(1, "x"), (1, "y"), (4, "w")], [(1, 1), (4, 1)]]

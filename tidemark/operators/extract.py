@@ -38,11 +38,14 @@ def icu_history(merged: DataFrame, adult: int = 18) -> DataFrame:
     return merged.where(F.col("AGE") >= adult).withColumns({"MORTALITY_INUNIT": in_unit, "MORTALITY": in_hospital, "MORTALITY_INHOSPITAL": in_hospital})
 
 
-def subject_info(merged: DataFrame, admission_info: DataFrame) -> DataFrame:
-    """Demographics of each stay, for splitting; minors stay in."""
+def subject_info(merged: DataFrame, admission_info: DataFrame | None = None) -> DataFrame:
+    """Demographics of each stay, for splitting; minors stay in. Without admission_info merged has them already."""
     cols = ["SUBJECT_ID", "ICUSTAY_ID", "DBSOURCE", "CAREUNIT", "WARDID", "ADMISSION_TYPE", "ADMISSION_LOCATION", "DISCHARGE_LOCATION", "INSURANCE", "LANGUAGE", "ETHNICITY", "GENDER", "AGE"]
-    info = merged.drop(*[c for c in admission_info.columns if c in merged.columns and c not in ("SUBJECT_ID", "HADM_ID")])
-    return info.join(admission_info, ["SUBJECT_ID", "HADM_ID"]).withColumnsRenamed({"FIRST_CAREUNIT": "CAREUNIT", "FIRST_WARDID": "WARDID"}).select(*cols)
+    info = merged
+    if admission_info is not None:
+        info = merged.drop(*[c for c in admission_info.columns if c in merged.columns and c not in ("SUBJECT_ID", "HADM_ID")])
+        info = info.join(admission_info, ["SUBJECT_ID", "HADM_ID"])
+    return info.withColumnsRenamed({"FIRST_CAREUNIT": "CAREUNIT", "FIRST_WARDID": "WARDID"}).select(*cols)
 
 
 def diagnoses(records: DataFrame, titles: DataFrame, history: DataFrame, phenotypes: DataFrame) -> DataFrame:
@@ -52,11 +55,12 @@ def diagnoses(records: DataFrame, titles: DataFrame, history: DataFrame, phenoty
     return told.join(phenotypes.select("ICD9_CODE", F.col("phenotype").alias("HCUP_CCS_2015"), F.col("use_in_benchmark").cast("int").alias("USE_IN_BENCHMARK")), "ICD9_CODE", "left")
 
 
-def recover_stays(events: DataFrame, history: DataFrame, value: str = "VALUE") -> DataFrame:
-    """Events of known admissions, with the stay filled in where it is missing; those of another stay go."""
-    known = history.select("HADM_ID", F.col("ICUSTAY_ID").alias("_stay")).distinct()
+def recover_stays(events: DataFrame, history: DataFrame, value: str = "VALUE", strange: str | None = None) -> DataFrame:
+    """Events of known admissions, with the stay filled in where it is missing; those of another stay go. strange: adds a column of this name, whether an event names another subject than its stay does, or none."""
+    known = history.select("HADM_ID", F.col("ICUSTAY_ID").alias("_stay"), *([F.col("SUBJECT_ID").alias("_subject")] if strange else [])).distinct()
     joined = events.where(F.col("HADM_ID").isNotNull()).join(known, "HADM_ID").where("ICUSTAY_ID IS NULL OR ICUSTAY_ID = _stay")
-    return joined.withColumn("ICUSTAY_ID", F.col("_stay")).withColumn(value, F.nullif(F.col(value), F.lit("None"))).select(*events.columns)
+    filled = joined.withColumn("ICUSTAY_ID", F.col("_stay")).withColumn(value, F.nullif(F.col(value), F.lit("None")))
+    return filled.select(*events.columns, *([(~F.col("SUBJECT_ID").eqNullSafe(F.col("_subject"))).alias(strange)] if strange else []))
 
 
 def with_variables(events: DataFrame, variables: DataFrame) -> DataFrame:
@@ -70,10 +74,15 @@ def value_order(value: Column, legacy: bool = False) -> Column:
 
 
 def pivot_events(events: DataFrame, variables: Sequence[str], by: Sequence[str] = ("SUBJECT_ID", "CHARTTIME"), name: str = "VARIABLE", value: str = "VALUE", legacy_order: bool = False) -> DataFrame:
-    """One row for each time and a column for each variable, with the largest of its values."""
-    some = events.where(F.col(value).isNotNull())
-    picked = [F.max_by(F.when(F.col(name) == v, F.col(value)), F.when(F.col(name) == v, value_order(F.col(value), legacy_order))).alias(v) for v in variables]
-    return some.groupBy(*by).agg(*picked)
+    """One row for each time and a column for each variable, with the largest of its values.
+
+    Each variable's largest value is found first, and only one narrow row of it is shuffled; columns are made last.
+    """
+    told = F.struct(value_order(F.col(value), legacy_order).alias("order"), F.col(value).alias("value"))
+    largest = events.where(F.col(value).isNotNull()).groupBy(*by, name).agg(F.max(told).alias("_largest"))
+    own = F.when(F.col(name).isNotNull(), F.struct(F.col(name), F.col("_largest.value")))
+    rows = largest.groupBy(*by).agg(F.map_from_entries(F.collect_list(own)).alias("_told"))
+    return rows.select(*by, *(F.try_element_at("_told", F.lit(v)).alias(v) for v in variables))
 
 
 def series_with_stays(events: DataFrame, variables: Sequence[str], legacy_order: bool = False) -> DataFrame:

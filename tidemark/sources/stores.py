@@ -18,6 +18,15 @@ from tidemark.operators.running import prefix_sums
 from tidemark.sources import commits
 
 
+#: Keys that are sent to every task; more of them are met by a shuffle.
+FEW_KEYS = 20_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The keys, to be sent to every task where they are counted to be few: the table that they meet stays where it is."""
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
+
+
 def common_subjects(tables: Sequence[DataFrame], key: str = "SUBJECT_ID") -> DataFrame:
     """Subjects that every table has."""
     return reduce(lambda a, b: a.join(b, key, "left_semi"), (t.select(key).distinct() for t in tables))
@@ -58,6 +67,13 @@ def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(c, value)
 
 
+def of_subjects(table: DataFrame, ids: DataFrame, others: DataFrame, key: str = "SUBJECT_ID") -> DataFrame:
+    """The rows of the subjects ids, others being all other subjects of the table: where these are few they are sent to the table, which is not shuffled then."""
+    if others.count() > FEW_KEYS:
+        return table.join(ids, key, "left_semi")
+    return table.where(F.col(key).isNotNull()).join(F.broadcast(others.select(key)), key, "left_anti")
+
+
 def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "SUBJECT_ID") -> None:
     """The rows of subjects that all tables have and the folder doesn't, as a batch in a folder of each table.
 
@@ -65,17 +81,22 @@ def write_by_subject(tables: Mapping[str, DataFrame], folder: str, key: str = "S
     reads, and the next one writes these subjects anew. Runs may write at once, without waiting: of the batches that
     have a subject, the one with the least number counts and the others' rows of it are never read, whatever the order
     in which files appear. Rows are clustered by ranges of subjects, so that their number of files follows the data and
-    a few subjects are found by the files' least and largest keys.
+    a few subjects are found by the files' least and largest keys. Where a table has few subjects to leave out, these
+    are sent to its rows; its rows are shuffled for that only where they are many. Tables are read several times.
     """
     spark = next(iter(tables.values())).sparkSession
     batch = f"b{uuid.uuid4().hex}"  # never read as a number
     kind = next(iter(tables.values())).schema[key].dataType.simpleString()
-    with measured_broadcasts(spark):
-        new = common_subjects(list(tables.values()), key).join(done_subjects(spark, folder, key, kind), key, "left_anti")
+    with measured_broadcasts(spark), staging(spark, f"{folder}/_staged") as staged:
+        keys = staged(reduce(DataFrame.unionAll, (t.where(F.col(key).isNotNull()).select(key, F.lit(i).alias("_table")).distinct() for i, t in enumerate(tables.values()))), "keys")
+        done = few(done_subjects(spark, folder, key, kind))
+        new = common_subjects([keys.where(F.col("_table") == i) for i in range(len(tables))], key).join(done, key, "left_anti")
         new.write.parquet(f"{folder}/_subjects/batch={batch}")  # once, not with each table
         ids = spark.read.schema(new.schema).parquet(f"{folder}/_subjects/batch={batch}")
-        for name, t in tables.items():
-            t.join(ids, key, "left_semi").repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}/batch={batch}")
+        others = staged(keys.join(ids, key, "left_anti"), "others")
+        for i, (name, t) in enumerate(tables.items()):
+            own = of_subjects(t, ids, others.where(F.col("_table") == i), key)
+            own.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}/batch={batch}")
     commits.commit(spark, f"{folder}/_commits", batch)
 
 
