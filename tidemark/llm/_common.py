@@ -33,6 +33,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many keys are sent to every task.
+FEW_KEYS = 100_000
+
+
+def few(keys: DataFrame, name: str, most: int = FEW_KEYS) -> DataFrame:
+    """keys, staged, and sent to every task where they are at most so many: the table that they meet is not shuffled then."""
+    keys = stage(keys, name)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 class Scratch:
     """Staged tables that are needed only until a result is staged itself: a folder of them, and its removal."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import pieces
+from tidemark.llm._common import few, pieces
 
 #: Characters of a piece at most, bits of its hash, neighbouring bands that are counted together, and bits of a band's width at least.
 GRAM, BITS, BANDS, SHIFT = 4, 18, 6, 4
@@ -357,5 +357,5 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", edits: float = EDITS) -> DataFrame:
     """docs without the rows that hold an item (where an id is repeated, all its rows go together)."""
-    held = leaks(docs, benchmark, id_col, edits=edits).select(F.col("id").alias("leak_id")).distinct()
+    held = few(leaks(docs, benchmark, id_col, edits=edits).select(F.col("id").alias("leak_id")).distinct(), "leak-ids")
     return docs.join(held, docs[id_col].eqNullSafe(held["leak_id"]), "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import BASE, Scratch, mix, pieces, powers, stage, word_hashes, words_of
+from tidemark.llm._common import BASE, Scratch, few, mix, pieces, powers, stage, word_hashes, words_of
 from tidemark.llm._components import components
 
 #: Link when PERCENT_OF * |A and B| >= PERCENT * |A or B|.
@@ -297,7 +297,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with the document of the least id of each group of near copies; texts without words and null ids all stay."""
-    gone = linked(docs, id_col, text_col, words, percent).where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone_id")).distinct()
+    gone = few(linked(docs, id_col, text_col, words, percent).where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone_id")).distinct(), "copy-ids", FEW_NODES)
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 #: The same in SQL: all pairs that share a shingle, so for small tables.

@@ -9,28 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._common import stage
+from tidemark.llm._common import few, stage
 
 
 @dataclass(frozen=True)
 class Kind:
-    """regex: its group 1, if it has one, else all of it, is the value. least: characters the value has at least."""
+    """regex: its group 1, if it has one, else all of it, is the value. least: characters the value has at least. marks: one of them is in the lower case of each match."""
 
     name: str
     regex: str
     group: int
     least: int
     base: bool
+    marks: tuple[str, ...] = ()
 
 
 KEYWORDS = "(?i:password|passwd|secret|token|api_?key)"
 KINDS = (
-    Kind("assign", KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, True),
+    Kind("assign", KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, True, ("passw", "secret", "token", "key")),
     Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18, True),
     Kind("hex", r"[0-9a-f]{16,}", 0, 16, True),
     # Added by the method: long opaque strings, kept only where the corpus says that they belong to few owners.
@@ -60,7 +62,9 @@ def _hits(text: Column, number: int, kind: Kind) -> Column:
 
     hits = F.zip_with(found, values, told)
     gaps = F.transform(F.split(text, kind.regex, -1), lambda x: F.length(x))
-    return F.when(F.size(found) > 0, F.struct(F.lit(number).alias("kind"), gaps.alias("gaps"), hits.alias("hits")))
+    # A text without a mark is not searched.
+    marked = reduce(Column.__or__, (F.contains(F.lower(text), F.lit(m)) for m in kind.marks), F.lit(not kind.marks))
+    return F.when(marked & (F.size(found) > 0), F.struct(F.lit(number).alias("kind"), gaps.alias("gaps"), hits.alias("hits")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
@@ -140,7 +144,7 @@ def without_live_secrets(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Rows are told apart by id_col; where an id is repeated, all its rows go together. Rows with a null id stay only if no row with a null id holds one.
     """
-    held = scan(docs, id_col).where(F.exists("spans", lambda x: x["live"])).select(F.col("id").alias("held_id")).distinct()
+    held = few(scan(docs, id_col).where(F.exists("spans", lambda x: x["live"])).select(F.col("id").alias("held_id")).distinct(), "secret-ids")
     return docs.join(held, docs[id_col].eqNullSafe(held["held_id"]), "left_anti")
 
 
