@@ -47,7 +47,7 @@ def extract_diagnoses(spark: SparkSession, source: str, history: DataFrame, defi
 
 def extract_events(events: DataFrame, history: DataFrame, staged: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Events with their stays, of the subjects of history alone. A stay of history tells that, but for an event that names another subject: those are met by subject, too."""
-    found = staged(extract.recover_stays(events, stores.few(history), strange="_strange"), "events")
+    found = staged(extract.recover_stays(events, stores.few(history), "VALUE", "_strange"), "events")
     strange = found.where("_strange")
     if strange.isEmpty():
         return found.drop("_strange")
